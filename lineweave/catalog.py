@@ -1,4 +1,4 @@
-"""Queries of the reference's operators over the driver's tables, with their SQL twins."""
+"""Queries of the library's operators over the driver's tables, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_records, catalog_text
+
 FLAGSHIP = "goals_from_findings"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_text.QUERIES | catalog_records.QUERIES
+ORACLES: dict[str, str] = catalog_text.ORACLES | catalog_records.ORACLES
