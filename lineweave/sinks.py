@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The fields of a plan and of its CSV form, in their order.
 PLAN = ("id", "type", "file", "line", "original", "replacement", "token", "helper_id", "helper_ref", "helper_source")
+CSV = ("id", "file", "line", "file_hash", "type", "original", "replacement", "token", "helper_id", "helper_path", "helper_source", "insertion_line", "confidence", "notes")
 _TYPES = {"line": "int"}
 
 
@@ -22,15 +23,31 @@ def write_plan_json(changes: DataFrame, path: str) -> None:
     plan_columns(changes).withColumn("type", kind).write.option("ignoreNullFields", "true").json(path)
 
 
+def plan_csv(changes: DataFrame) -> DataFrame:
+    """A plan's CSV columns: helpers have an insertion line and a note instead of texts."""
+    p = plan_columns(changes)
+    helper = F.col("type") == "helper"
+    text = lambda c: F.when(~F.coalesce(helper, F.lit(False)), F.col(c))
+    values = {
+        "id": F.col("id"), "file": F.col("file"), "line": F.col("line"), "file_hash": F.lit(None), "type": F.coalesce("type", F.lit("replace")), "original": text("original"), "replacement": text("replacement"),
+        "token": text("token"), "helper_id": F.col("helper_id"), "helper_path": F.col("helper_ref"), "helper_source": F.col("helper_source"), "insertion_line": F.when(helper, F.col("line")), "confidence": F.lit(None),
+        "notes": F.when(helper, "helper insertion point"),
+    }
+    return p.select(*(values[c].cast("string").alias(c) for c in CSV))
+
+
 def write_plan_csv(changes: DataFrame, path: str) -> None:
-    """CSV with a header, in order of file and line, quotes doubled, plain UTF-8."""
-    plan_columns(changes).orderBy("file", F.coalesce("line", F.lit(0)), "id").write.option("header", "true").option("escape", '"').option("lineSep", "\n").csv(path)
+    """CSV with a header, in order of file and line, quotes doubled, plain UTF-8 without a mark."""
+    rows = plan_csv(changes).orderBy("file", F.coalesce(F.col("line").cast("int"), F.lit(0)), "id")
+    rows.write.option("header", "true").option("escape", '"').option("lineSep", "\n").csv(path)
 
 
 def read_plan_csv(spark, path: str) -> DataFrame:
     """A plan from CSV; rows without a file or with a line that is no number are dropped, a byte-order mark too."""
     raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    raw = raw.toDF(*(c.lstrip("﻿") for c in raw.columns))
+    raw = raw.toDF(*(c.lstrip("\ufeff") for c in raw.columns))
+    if "helper_path" in raw.columns:
+        raw = raw.withColumnRenamed("helper_path", "helper_ref")
     rows = raw.withColumn("line", F.col("line").try_cast("int")).where("file is not null and file != '' and line is not null")
     return plan_columns(rows).withColumn("type", F.when(F.col("type") != "replace", F.col("type")))
 
