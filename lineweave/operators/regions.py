@@ -112,3 +112,23 @@ def intact(regions: DataFrame, manifest: DataFrame, file: str = "file") -> DataF
     """(file, id, ok): every region of a manifest is there with the same hash."""
     now = regions.select(file, "id", F.col("hash").alias("now"))
     return manifest.select(file, "id", "hash").join(now, [file, "id"], "left").groupBy(file, "id").agg(F.coalesce(F.bool_or(F.col("hash") == F.col("now")), F.lit(False)).alias("ok"))
+
+
+def mark(files: DataFrame, spans: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, text) with every span (file, start, end) marked as an original region; offsets are code points from 0.
+
+    A span outside the text, or one that overlaps another, fails the query.
+    """
+    from pyspark.sql import Window
+
+    ahead = F.max("end").over(Window.partitionBy(file).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    checked = spans.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
+    lists = checked.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("start", "end", "ahead"))).alias("spans"))
+    rows = files.select(file, F.col(text).alias("text")).join(lists, file, "left")
+    t = F.col("text")
+    bad = F.exists("spans", lambda s: (s.start < 0) | (s.end < s.start) | (s.end > F.length(t)) | (s.start < s.ahead))
+    piece = lambda a, b: F.substring(t, a + 1, b - a)
+    parts = F.transform("spans", lambda s: F.concat(piece(s.ahead, s.start), format_region(region_id(F.col(file), s.start, piece(s.start, s.end)), F.lit(0), piece(s.start, s.end))))
+    rest = F.substring(t, F.element_at("spans", -1)["end"] + 1, F.lit(1 << 30))
+    done = F.when(F.col("spans").isNull(), t).when(bad, F.raise_error(F.lit("invalid or overlapping region"))).otherwise(F.concat(F.array_join(parts, ""), rest))
+    return rows.select(file, done.alias("text"))
