@@ -1,6 +1,6 @@
 """BPE encoding and decoding through one table of distinct words.
 
-Documents are dealt into blocks of bounded size. Each block lists its distinct words; the lists meet in buckets by
+Documents are packed, as they are read, into compressed blocks of bounded size. Each block lists its distinct words; the lists meet in buckets by
 the word's hash, where every distinct word of the corpus is encoded once; the ids go back to the blocks that asked
 and are joined to the words by position. Words and ids travel as packed lists, one row for each block and bucket,
 so that a word as frequent as "the" costs one entry a block and no key is hot.
@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +73,51 @@ def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _blocks(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
-    """(id, text, block) and the number of buckets. Equal ids or equal texts alone don't fill a block."""
+    """(block, ids, sizes, data) and the number of buckets: documents as they are read, packed into blocks."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), max(1, blocks * BUCKETS_A_BLOCK)
+
+    def gather(batches):
+        ids, texts, held, number = [], [], 0, TaskContext.get().partitionId() << 32
+        kind = None
+
+        def row():
+            data = b"".join(texts)
+            packed = len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+            columns = [pa.array([number]), pa.array([ids], pa.list_(kind)), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "data"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
+                if held >= BLOCK_BYTES:
+                    yield row()
+                    ids, texts, held, number = [], [], 0, number + 1
+        if ids:
+            yield row()
+
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = rows.mapInArrow(gather, f"block long, ids array<{kind}>, sizes array<int>, data binary")
+    return blocks, max(1, -(-size // BLOCK_BYTES) * BUCKETS_A_BLOCK)
+
+
+def _texts(blocks: pa.Table) -> list[bytes]:
+    out = []
+    for sizes, packed in zip(blocks.column("sizes").to_pylist(), blocks.column("data").to_pylist(), strict=True):
+        data = pa.Codec("zstd").decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), asbytes=True)
+        at = 0
+        for n in sizes:
+            out.append(data[at : at + n])
+            at += n
+    return out
 
 
 def _word_lists(buckets: int):
     def lists(key, table):
-        words = _split(text_bytes(table.column("text")))[2]
+        words = _split(_texts(table))[2]
         order, start = _by_bucket(words, buckets)
         rows = [(b, b"\n".join([words[i] for i in order[start[b] : start[b + 1]]])) for b in range(buckets) if start[b] < start[b + 1]]
         packed = [len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x, asbytes=True) for _, x in rows]
@@ -123,12 +159,15 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def _finish(path: str, buckets: int, keep: tuple[str, ...]):
     def finish(key, docs, encoded):
-        counts, flat, words = _split(text_bytes(docs.column("text")))
+        counts, flat, words = _split(_texts(docs))
         order, starts = _by_bucket(words, buckets)
         length = np.zeros(len(words), np.uint32)
         parts = {b: (unpack(x, np.uint32), unpack(y, np.uint32)) for b, x, y in zip(*(encoded.column(c).to_pylist() for c in ("bucket", "lengths", "ids")), strict=True)}
         own = [parts.get(b, (np.empty(0, np.uint32),) * 2) for b in range(buckets)]
-        length[order] = np.concatenate([x for x, _ in own]) if own else 0
+        found = np.concatenate([x for x, _ in own])
+        if len(found) != len(words):
+            raise ValueError("a block's documents were not read in the same order again")
+        length[order] = found
         pool = np.concatenate([y for _, y in own])
         start = np.empty(len(words), np.int64)
         start[order] = np.cumsum(length[order], dtype=np.int64) - length[order]
@@ -145,7 +184,7 @@ def _finish(path: str, buckets: int, keep: tuple[str, ...]):
                 texts.append(decoded)
             if "ids" in keep:
                 id_lists.append(ids.astype(np.int32))
-        out = {"id": docs.column("id"), "n_tokens": pa.array(tokens, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(sums, pa.string())}
+        out = {"id": docs.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(tokens, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(sums, pa.string())}
         if "ids" in keep:
             out["ids"] = pa.array(id_lists, pa.list_(pa.int32()))
         if "decoded" in keep:
@@ -166,7 +205,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     rows, buckets = _blocks(df, id_col, text)
     lists = rows.groupBy("block").applyInArrow(_word_lists(buckets), "block long, bucket int, words binary")
     encoded = lists.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, bucket int, lengths binary, ids binary")
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
     return rows.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_finish(path, buckets, keep), schema).withColumnRenamed("id", id_col)
 
