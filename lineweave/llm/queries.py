@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, hnsw, langid, mixing, nndescent, pii, quality, simhash, substring, toolcalls
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +60,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_tool_calls, op4_bpe, op5_substring_dedup, op6_pii, op7_simhash, op8_language, op9_hnsw, op10_mixing)}
-ORACLES: dict[str, str] = {}
+
