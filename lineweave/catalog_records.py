@@ -9,6 +9,8 @@ from .catalog_text import table
 from .functions.canonical import canonical_hash, shard_path, short_hash
 from .functions.text import module_name
 from .operators import artifact_diff, chains, plan_ops, reconcile, registry
+from .plans.inspect import inspect
+from .sources import patches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -323,3 +325,26 @@ def ingestion_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("src/a/m"), "page_id", F.lit(".py"))).otherwise(F.concat(F.lit("./src/p"), "page_id", F.lit("/__init__.py")))
     return table(spark, sf_dir, "pages").select("page_id", module_name(path).alias("module"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS artifact, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS parent FROM orders),
+  c AS (SELECT l_orderkey AS artifact, count(*) FILTER (l_returnflag = 'A') AS added, count(*) FILTER (l_returnflag = 'R') AS removed, count(*) FILTER (l_returnflag = 'N') AS modified, count(DISTINCT l_partkey) AS files FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1),
+  s AS (SELECT l_orderkey AS artifact, count(*) AS signatures, count(*) FILTER (l_quantity > 5 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) AS trusted, bool_and(l_quantity > 5) AS verified FROM lineitem GROUP BY 1)
+  SELECT artifact, parent, CASE WHEN parent IS NULL THEN 'root' WHEN c.artifact IS NULL THEN 'noop' ELSE 'derived' END AS node_type, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, coalesce(modified, 0) AS modified, coalesce(files, 0) AS files,
+    coalesce(signatures, 0) AS signatures, coalesce(trusted, 0) AS trusted, coalesce(verified, false) AS verified, coalesce(trusted, 0) > 0 AS accepted FROM a LEFT JOIN c USING (artifact) LEFT JOIN s USING (artifact)""")
+def inspected_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("artifact"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("parent"))
+    status = F.when(F.col("l_returnflag") == "A", "added").when(F.col("l_returnflag") == "R", "removed").otherwise("modified")
+    ops = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 != 0").select(F.col("l_orderkey").alias("artifact"), F.col("l_partkey").alias("file"), status.alias("status"))
+    return inspect(a, ops, *_signatures(spark, sf_dir))
+
+
+@query("""SELECT doc_id AS patch, 'd' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'added' ELSE 'modified' END AS status, 3 AS start_line, CASE WHEN doc_id % 3 = 0 THEN 'insert' ELSE 'replace' END AS type, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS before, source AS after FROM documents""")
+def patched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    mode = F.when(F.col("doc_id") % 5 == 0, "new file mode 100644").otherwise("index 1..2")
+    old = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("-"), "lang"))
+    parts = F.array(F.concat(F.lit("diff --git a/d"), d, F.lit(" b/d"), d), mode, F.lit("--- a/d"), F.lit("+++ b/d"), F.lit("@@ -2,3 +2,3 @@"), F.lit(" same"), old, F.concat(F.lit("+"), "source"), F.lit(" end"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("patch"), F.posexplode(F.array_compact(parts)).alias("n", "line"))
+    found = patches.parse_patch(lines)
+    return found.select("patch", "path", "status", "start_line", "type", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))

@@ -125,3 +125,11 @@ def rehydrate(changes: DataFrame) -> DataFrame:
 def missing_helpers(changes: DataFrame, available: DataFrame) -> DataFrame:
     """Helpers that a plan refers to and nobody has."""
     return changes.where("helper_ref is not null").select("helper_ref").distinct().join(available.select("helper_ref"), "helper_ref", "left_anti")
+
+
+def canonical(changes: DataFrame) -> DataFrame:
+    """The replacements of a plan alone, without helper fields, in the plan's order; incomplete ones fail the query."""
+    rows = changes.where(kind() == "replace")
+    bad = F.col("original").isNull() | F.col("replacement").isNull()
+    checked = F.when(bad, F.raise_error(F.lit("a replacement needs both texts"))).otherwise(F.col("original"))
+    return ordered(rows.withColumn("original", checked)).select("id", "file", "line", "original", "replacement", "token")

@@ -56,9 +56,33 @@ def write_plan_xml(changes: DataFrame, path: str) -> None:
     plan_columns(changes).write.format("xml").option("rootTag", "plan").option("rowTag", "change").save(path)
 
 
-def read_plan_xml(spark, path: str) -> DataFrame:
+def read_plan_xml(spark, path: str, xsd: str | None = None) -> DataFrame:
+    """A plan from XML; with the path of a schema, rows that break it are dropped."""
     schema = ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in PLAN)
-    return spark.read.format("xml").option("rowTag", "change").schema(schema).load(path)
+    reader = spark.read.format("xml").option("rowTag", "change").schema(schema)
+    return (reader.option("rowValidationXSDPath", xsd).option("mode", "DROPMALFORMED") if xsd else reader).load(path)
+
+
+def plan_xsd() -> str:
+    """An XML schema of one change."""
+    kinds = {"int": "xs:integer", "string": "xs:string"}
+    fields = "".join(f'<xs:element name="{c}" type="{kinds[_TYPES.get(c, "string")]}" minOccurs="0"/>' for c in PLAN)
+    return f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="change"><xs:complexType><xs:sequence>{fields}</xs:sequence></xs:complexType></xs:element></xs:schema>'
+
+
+def findings_text(found: DataFrame) -> DataFrame:
+    """A line for people for each finding (file, line, text, severity)."""
+    return found.select(F.format_string("[%s] %s:%s %s", F.upper("severity"), "file", F.col("line").cast("string"), "text").alias("value"))
+
+
+def write_findings_json(found: DataFrame, path: str) -> None:
+    """Findings as JSON lines, absent values left out."""
+    found.write.json(path)
+
+
+def read_findings_json(spark, path: str) -> DataFrame:
+    """Findings from JSON lines or lists; those without a text are dropped."""
+    return spark.read.schema("type string, file string, line int, text string, detector string, severity string").json(path).where("text is not null and text != ''")
 
 
 def plan_text(changes: DataFrame) -> DataFrame:

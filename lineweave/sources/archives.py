@@ -76,3 +76,11 @@ def payload_hashes(members: DataFrame, key: str = "path", prefix: str = "payload
     """(key, payload_hash): the hash over the sorted names and content hashes of each archive's payload."""
     rows = members.where(F.startswith("member", F.lit(prefix))).select(key, F.concat_ws(":", "member", F.sha2("content", 256)).alias("h"))
     return rows.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256).alias("payload_hash"))
+
+
+def sealed_header_ok(column: str = "content", magic: bytes = b"XDEX1", salt: int = 16):
+    """Whether an encrypted archive starts with the magic, a salt and the SHA-256 of both."""
+    c, n = F.col(column), len(magic)
+    head = F.substring(c, F.lit(1), F.lit(n + salt))
+    stated = F.lower(F.hex(F.substring(c, F.lit(n + salt + 1), F.lit(32))))
+    return F.coalesce((F.substring(c, F.lit(1), F.lit(n)) == F.lit(magic)) & (stated == F.sha2(head, 256)), F.lit(False))

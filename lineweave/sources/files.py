@@ -121,3 +121,15 @@ def decode(content: Column | str) -> Column:
     utf16 = F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF"))
     utf8 = F.try_validate_utf8(F.when(head == "EFBBBF", F.substring(c, F.lit(4), F.lit(1 << 30))).otherwise(c).cast("string"))
     return F.when(utf16, F.decode(c, "UTF-16")).when(~F.contains(utf8, F.lit("\0")), utf8)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of word lists: a word a line, lower case; blank lines and lines that start with # don't count."""
+    line = F.trim("value")
+    return spark.read.text(path).where((line != "") & ~F.startswith(line, F.lit("#"))).select(F.lower(line).alias("word")).distinct()
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Artifacts of a remote feed saved as JSON: an object with a list ``artifacts``."""
+    rows = spark.read.schema("artifacts array<struct<hash:string,parent:string,type:string,ts:string>>").option("multiLine", "true").json(path)
+    return rows.select(F.explode("artifacts").alias("a")).select("a.hash", "a.parent", "a.type", F.col("a.ts").try_cast("timestamp").alias("ts"))

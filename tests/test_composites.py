@@ -54,3 +54,29 @@ def test_a_plan_from_lines(spark):
     got = sorted((r.file, r.line, r.replacement, r.token) for r in scan_plan.generate(lines).collect())
     assert got == [("a.py", 1, 'print(messages["HELLO_WORLD"])', "HELLO_WORLD"), ("a.py", 2, 'x = messages["HELLO_WORLD"]', "HELLO_WORLD")]
     assert [r.severity for r in scan_plan.scan_artifact(lines).collect()] == ["warn", "warn"]
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    import hashlib
+    import json
+
+    from lineweave import sinks
+    from lineweave.operators import plan_ops
+    from lineweave.sources import archives, files
+
+    (tmp_path / "w.dict").write_text("# words\nSELECT\n\n from \nselect\n")
+    assert sorted(r.word for r in files.read_words(spark, str(tmp_path / "w.dict")).collect()) == ["from", "select"]
+    (tmp_path / "feed.json").write_text(json.dumps({"artifacts": [{"hash": "a", "ts": "2024-01-01"}, {"hash": "b"}]}))
+    assert [r.hash for r in files.read_feed(spark, str(tmp_path / "feed.json")).collect()] == ["a", "b"]
+    head = b"XDEX1" + b"s" * 16
+    rows = spark.createDataFrame([(head + hashlib.sha256(head).digest() + b"rest",), (head + b"x" * 32,), (b"",)], "content binary")
+    assert [r[0] for r in rows.select(archives.sealed_header_ok()).collect()] == [True, False, False]
+    plan = spark.createDataFrame([("1", None, "f", 2, "a", "b", None, None, None, None), ("2", "helper", "f", 1, None, None, None, "h", "r", "s"), ("3", "replace", "e", 1, "a", "b", "T", None, None, None)], schemas.CHANGE)
+    assert [r.id for r in plan_ops.canonical(plan).collect()] == ["3", "1"]
+    (tmp_path / "plan.xsd").write_text(sinks.plan_xsd())
+    sinks.write_plan_xml(plan, str(tmp_path / "plan"))
+    assert sinks.read_plan_xml(spark, str(tmp_path / "plan"), str(tmp_path / "plan.xsd")).count() == 3
+    found = spark.createDataFrame([("HUMAN", "f", 1, "Hi You", "d", "warn"), ("HUMAN", "f", 2, "", "d", "warn")], schemas.FINDING)
+    assert sinks.findings_text(found).first().value == "[WARN] f:1 Hi You"
+    sinks.write_findings_json(found, str(tmp_path / "found"))
+    assert sinks.read_findings_json(spark, str(tmp_path / "found")).count() == 1
