@@ -10,7 +10,7 @@ from lineweave.llm import bpe, common, langid, mixing, pii, simhash
 #: The last stage and the rejection by language can't be written in SQL.
 ORACLE_SQL = None
 #: A language is accepted from this score on.
-SURE = 0.5
+SURE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
