@@ -153,17 +153,21 @@ class FingerprintIndex:
             out = out.unionByName(self._read(path))
         return out
 
-    def add(self, blocks: DataFrame) -> DataFrame:
-        """Add a batch of (id, text, block); returns its flags (block, bucket, flags) and appends a run."""
+    def add(self, blocks: DataFrame, keep: bool = True) -> DataFrame:
+        """Add a batch of (id, text, block); returns its flags (block, bucket, flags) and appends a run.
+
+        Without ``keep`` the batch is only looked up: for the last batch before an index is dropped.
+        """
         emitted = blocks.groupBy("block").applyInArrow(_emit(self.size, self.buckets), f"block long, bucket int, {_PACKED}")
         merged = self.history().groupBy("bucket").cogroup(emitted.groupBy("bucket")).applyInArrow(_merge, f"kind string, block long, bucket int, {_PACKED}, flags binary")
+        merged = merged if keep else merged.where("kind = 'flag'")
         path = scratch(self.spark, "windows")
         with released_shuffles(self.spark):
             merged.write.partitionBy("kind").parquet(path)
         both = self.spark.read.schema(f"kind string, block long, bucket int, {_PACKED}, flags binary").parquet(path)
-        if both.where("kind = 'run'").limit(1).count():
+        if keep and both.where("kind = 'run'").limit(1).count():
             self.runs.append((0, f"{path}/kind=run"))
-        self._compact()
+            self._compact()
         return both.where("kind = 'flag'").select("block", "bucket", "flags")
 
     def _compact(self) -> None:
@@ -218,12 +222,14 @@ def _apply(size: int, buckets: int, keep: bool):
     return apply
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW, batches: int = BATCHES, keep: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW, batches: int = BATCHES, keep: bool = False, index: FingerprintIndex | None = None) -> DataFrame:
     """Remove words covered by a window whose word sequence also starts in a document with a smaller id.
 
     Returns a row for each row of ``df``: id, ``n_words``, ``n_removed`` and ``kept_sha256``, or the ``kept`` text.
     Null and empty texts have no words. A row with a null id keeps its words and makes no other lose any; rows that
     share an id don't count against each other. Documents are added to the index in order of ids, in ``batches``.
+    An ``index`` from earlier calls, whose documents have smaller ids, is looked up and extended; without one, an
+    index is made for the call and dropped.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -231,7 +237,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
     found = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("id", marks, 10_000) if marks else F.lit(None)).first()
     total, bounds = found[0] or 0, sorted(set(found[1] or []))
     blocks = max(1, -(-total // (BLOCK_BYTES * (len(bounds) + 1))))
-    index = FingerprintIndex(spark, max(1, -(-total // BUCKET_BYTES)), size)
+    own_index = index is None
+    index = index or FingerprintIndex(spark, max(1, -(-total // BUCKET_BYTES)), size)
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col("id") >= b).cast("int")
@@ -243,8 +250,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
             part = part.where(F.col("id") >= low)
         if high is not None:
             part = part.where((F.col("id") < high) | F.col("id").isNull()) if n == 0 else part.where(F.col("id") < high)
-        own = index.add(part.select("id", "text", "block")).withColumn("batch", F.lit(n))
+        own = index.add(part.select("id", "text", "block"), keep=not own_index or n < len(bounds)).withColumn("batch", F.lit(n))
         flags = own if flags is None else flags.unionByName(own)
-    index.drop()
+    if own_index:
+        index.drop()
     schema = "id long, n_words long, n_removed long, " + ("kept string" if keep else "kept_sha256 string")
     return rows.groupBy("batch", "block").cogroup(flags.groupBy("batch", "block")).applyInArrow(_apply(size, index.buckets, keep), schema).withColumnRenamed("id", id_col)

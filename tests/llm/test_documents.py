@@ -291,3 +291,15 @@ def test_topic_and_tokens(spark):
     assert [r[0] for r in rows.select(mixing.tokens()).collect()] == [3, 0, 0, 1, 3, 2]
     assert [r[0] for r in rows.select(mixing.topic()).collect()] == ["note", "note", "note", "shout", "table", "essay"]
     assert rows.where(F.lit(False)).select(mixing.draw("text")).count() == 0
+
+
+def test_an_index_serves_later_calls(spark, docs):
+    rows = [(i, t) for i, t, _, _ in corpus() if i is not None]
+    index = substring.FingerprintIndex(spark, 3)
+    got = []
+    for low, high in ((0, 50), (50, 150), (150, 400)):
+        found = substring.remove_repeats(docs.where(f"doc_id >= {low} and doc_id < {high}"), batches=1, index=index)
+        got += [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()]
+    assert sorted(got) == slow_repeats(rows, 13)
+    assert len(index.runs) == 2  # two of the three runs were compacted
+    index.drop()
