@@ -222,3 +222,25 @@ def test_streams(spark, tmp_path):
 
     assert sorted(r.hash for r in run(feeds.first_seen(stream()), "seen", "append")) == ["h1", "h2"]
     assert sorted((r["class"], r["count"]) for r in run(feeds.class_counts(stream()), "classes", "complete")) == [("human", 1), ("human", 1), ("sql", 1)]
+
+
+def test_a_streamed_chain_reports_gaps(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, schema = str(tmp_path / "in"), "scope string, n long, p string"
+    rows = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("t", 0, "x")], schema)
+    rows.coalesce(1).write.parquet(source)
+    found = feeds.chained(feeds.new_files(spark, source, schema), "scope", "n", ["p"])
+
+    def go():
+        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    go()
+    spark.createDataFrame([("s", 2, "c"), ("s", 4, "e"), ("t", 0, "y")], schema).coalesce(1).write.mode("append").parquet(source)
+    go()
+    got = {(r.scope, r.sequence, r.linked): (r.state_hash, r.previous_hash) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {("s", 0, True), ("s", 1, True), ("s", 2, True), ("s", 4, False), ("t", 0, True), ("t", 0, False)}
+    whole = {r.n: r.state_hash for r in chains.chain(spark.createDataFrame([("s", 1, "b"), ("s", 2, "c")], schema), "scope", "n", ["p"]).collect()}
+    assert got["s", 2, True] == (whole[2], whole[1]) and got["s", 0, True][1] is None
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
