@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, text_bytes, unpack
+from .common import give_back, pack, small_batches, text_bytes, unpack
 
 #: Text bytes of a block; a longer document is a block of its own size.
 BLOCK_BYTES = 8 << 20
@@ -35,6 +36,7 @@ def default_tokenizer() -> str:
 
 @functools.cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -120,6 +122,8 @@ def _word_lists(buckets: int):
         words = _split(_texts(table))[2]
         order, start = _by_bucket(words, buckets)
         rows = [(b, b"\n".join([words[i] for i in order[start[b] : start[b + 1]]])) for b in range(buckets) if start[b] < start[b + 1]]
+        del words
+        give_back()
         packed = [len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x, asbytes=True) for _, x in rows]
         return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "words": pa.array(packed, pa.binary())})
 
@@ -128,9 +132,12 @@ def _word_lists(buckets: int):
 
 def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(number of ids by word, ids in order). Bytes that aren't UTF-8 count as U+FFFD."""
-    found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-    ids = [x.ids for x in found]
-    return np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32)
+    tokenizer, ids = _tokenizer(path), []
+    for at in range(0, len(words), 4096):
+        part = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at : at + 4096]], add_special_tokens=False)
+        ids.append([x.ids for x in part])
+    counts = np.fromiter((len(x) for part in ids for x in part), np.uint32, len(words))
+    return counts, np.fromiter((i for part in ids for x in part for i in x), np.uint32, int(counts.sum()))
 
 
 def _encode_bucket(path: str):
@@ -146,6 +153,7 @@ def _encode_bucket(path: str):
         for words in asked:
             lengths.append(pack(length[words]))
             found.append(pack(ids[_spans(start[words], length[words])]))
+        give_back()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(found, pa.binary())})
 
     return encode
@@ -189,6 +197,8 @@ def _finish(path: str, buckets: int, keep: tuple[str, ...]):
             out["ids"] = pa.array(id_lists, pa.list_(pa.int32()))
         if "decoded" in keep:
             out["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
+        del counts, flat, words, pool
+        give_back()
         return pa.table(out)
 
     return finish
@@ -201,6 +211,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     integers) and ``decoded_sha256``; ``keep`` may name ``ids`` and ``decoded`` to have the lists and texts too. Null
     texts count as empty: no ids, an empty decoded text. Null and repeated ids are kept as they are.
     """
+    small_batches(df.sparkSession)
     path = tokenizer or default_tokenizer()
     rows, buckets = _blocks(df, id_col, text)
     lists = rows.groupBy("block").applyInArrow(_word_lists(buckets), "block long, bucket int, words binary")

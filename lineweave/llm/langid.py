@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, text_bytes
+from .common import crc_remainder, give_back, small_batches, text_bytes
 
 #: Bytes of a window; every byte of a text is in one.
 WINDOW = 256
@@ -108,6 +108,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     Documents are chosen by a hash of ``key``, windows evenly over the whole document. Rows with a null language,
     null or empty text or a null key aren't learnt from. Without any row the network knows no language.
     """
+    small_batches(df.sparkSession)
     known = df.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0) & F.col(key).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -151,6 +152,7 @@ def identify(df: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
     Probabilities are averaged over windows by their bytes. A text that is null or has no letter, or any text if
     the network knows no language, is ``und`` with score 0.
     """
+    small_batches(df.sparkSession)
     data = pickle.dumps(net)
 
     @F.arrow_udf("lang_pred string, score double")
@@ -179,6 +181,7 @@ def identify(df: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
             flush()
         best = sums.argmax(axis=1)
         score = sums.max(axis=1) / np.maximum(sums.sum(axis=1), 1e-9)
+        give_back()
         names = [net.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
         scores = [float(s) if k else 0.0 for s, k in zip(score, known, strict=True)]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])

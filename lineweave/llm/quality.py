@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, text_bytes
+from .common import crc_remainder, small_batches, text_bytes
 
 #: Buckets of the hashed vocabulary, and the length of a word vector: a table of 4 MB.
 BUCKETS, WIDTH = 1 << 15, 32
@@ -158,6 +158,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     null id has no label and isn't held out. Without labels every score is 0.5. Repeated labels count once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     vectors = spark.sparkContext.broadcast(word_vectors(df, text))
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & (crc_remainder("id", folds) != 0))
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)

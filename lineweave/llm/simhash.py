@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_forest, text_bytes, whole_keys
+from .common import components, cut, local_forest, small_batches, text_bytes, whole_keys
 
 THRESHOLD = 4
 SEED = 42
@@ -55,6 +55,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``df`` and the fingerprint of ``text`` as a signed long; null text counts as empty."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("long")
     def simhash(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x, shingle, seed) for x in text_bytes(column)], np.uint64).view(np.int64))
