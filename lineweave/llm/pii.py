@@ -148,6 +148,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     both = base.withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False))).withColumn("all", F.lit(True))
     counts = [F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS]
     by_text = both.groupBy("key").agg(*counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("all").alias("spans"))
+    by_text = cut(by_text, "spans")  # the join below then deals out both sides itself, and can split a text with many copies
     rows = df.select(F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     out = rows.join(by_text, "key", "left")
     return out.select(id_col, *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS), F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
