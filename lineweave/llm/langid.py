@@ -186,6 +186,8 @@ def identify(df: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
         scores = [float(s) if k else 0.0 for s, k in zip(score, known, strict=True)]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
+    # else a filter on the result would be pushed below and have every text read twice
+    predict = predict.asNondeterministic()
     return df.withColumn("_lang", predict(F.col(text))).withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
 
 
