@@ -1,7 +1,7 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index holds, for every window of words seen so far, the smallest document id that it starts in. It consists of
-sorted immutable runs: each new batch of documents is merge-joined with the runs bucket by bucket, its own windows
+The index holds the fingerprints of all windows of words seen so far. Documents enter it in order of ids, so that a
+window that it holds has started in a document with a smaller id. It consists of sorted immutable runs: each new batch of documents is merge-joined with the runs bucket by bucket, its own windows
 become a new run, and runs of one level are compacted into a run of the next. A window is keyed by a 64-bit
 fingerprint, and a match is verified by a second, independent fingerprint of 16 bits of the same word sequence.
 
@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, pack, released_shuffles, scratch, text_bytes, unpack
+from .common import drop_path, give_back, pack, released_shuffles, scratch, small_batches, text_bytes, unpack
 
 WINDOW = 13
 #: Text bytes of a block, and for each bucket of the index.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Batches that one call of ``remove_repeats`` adds to the index, in order of ids.
 BATCHES = 3
 #: Runs of a level that are compacted into one of the next level.
@@ -84,7 +84,8 @@ def _block(docs: pa.Table, size: int):
     return docs, split, owner, own, window_ids, _distinct(keys[own], checks[own], window_ids[own])
 
 
-_PACKED = "keys binary, checks binary, firsts binary"
+_RUN = "keys binary, checks binary"
+_PACKED = f"{_RUN}, firsts binary"
 
 
 def _emit(size: int, buckets: int):
@@ -93,47 +94,50 @@ def _emit(size: int, buckets: int):
         start = _bucket_starts(k, buckets)
         full = [b for b in range(buckets) if start[b] < start[b + 1]]
         cols = [[pack(np.diff(x[start[b] : start[b + 1]], prepend=x.dtype.type(0)) if x is k else x[start[b] : start[b + 1]]) for b in full] for x in (k, c, i)]
+        give_back()
         return pa.table({"block": pa.array([key[0].as_py()] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32())} | {n: pa.array(x, pa.binary()) for n, x in zip(("keys", "checks", "firsts"), cols, strict=True)})
 
     return emit
 
 
-def _open(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    rows = zip(*(table.column(c).to_pylist() for c in ("keys", "checks", "firsts")), strict=True)
-    return [(np.cumsum(unpack(k, np.uint64), dtype=np.uint64), unpack(c, np.uint16), unpack(i, np.int64)) for k, c, i in rows]
+def _open(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    rows = zip(*(table.column(c).to_pylist() for c in ("keys", "checks")), strict=True)
+    return [(np.cumsum(unpack(k, np.uint64), dtype=np.uint64), unpack(c, np.uint16)) for k, c in rows]
 
 
-def _joined(parts, dtypes=(np.uint64, np.uint16, np.int64)):
-    return tuple(np.concatenate([p[n] for p in parts] or [np.empty(0, d)]) for n, d in enumerate(dtypes))
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([p[n] for p in parts] or [np.empty(0, d)]) for n, d in enumerate((np.uint64, np.uint16)))
 
 
-def _run_row(bucket, keys, checks, firsts) -> dict:
-    return {"bucket": pa.array([bucket], pa.int32()), "keys": pa.array([pack(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "checks": pa.array([pack(checks)], pa.binary()), "firsts": pa.array([pack(firsts)], pa.binary())}
+def _run_row(bucket: int, keys: np.ndarray, checks: np.ndarray) -> dict:
+    return {"bucket": pa.array([bucket], pa.int32()), "keys": pa.array([pack(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "checks": pa.array([pack(checks)], pa.binary())}
 
 
 def _merge(key, history, batch):
     """One bucket: a flag for each of the batch's windows that has an earlier owner, and the batch's new run."""
-    old, new = _open(history), _open(batch)
-    was, now = _joined(old), _joined(new)
-    k, c, i, place = _distinct(*(np.concatenate([x, y]) for x, y in zip(was, now, strict=True)))
-    at = place[len(was[0]) :]
-    late = now[2] > i[at]
-    known = np.zeros(len(k), bool)
-    known[place[: len(was[0])]] = i[place[: len(was[0])]] == was[2]  # a smaller id than the index had is news
-    fresh = ~known
+    new = _open(batch)
+    was, now = _joined(_open(history)), _joined(new)
+    own = np.concatenate([unpack(x, np.int64) for x in batch.column("firsts").to_pylist()] or [np.empty(0, np.int64)])
+    # what the index holds comes before any id of the batch
+    ids = np.concatenate([np.full(len(was[0]), np.iinfo(np.int64).min), own])
+    k, c, i, place = _distinct(np.concatenate([was[0], now[0]]), np.concatenate([was[1], now[1]]), ids)
+    late = own > i[place[len(was[0]) :]]
+    fresh = np.ones(len(k), bool)
+    fresh[place[: len(was[0])]] = False
     ends = np.cumsum([len(x[0]) for x in new], dtype=np.int64)
     flags = [np.packbits(late[e - len(x[0]) : e]).tobytes() for e, x in zip(ends, new, strict=True)]
     n = len(flags)
-    flag_rows = pa.table({"kind": ["flag"] * n, "block": batch.column("block"), "bucket": batch.column("bucket"), "keys": pa.nulls(n, pa.binary()), "checks": pa.nulls(n, pa.binary()), "firsts": pa.nulls(n, pa.binary()), "flags": pa.array(flags, pa.binary())})
+    flag_rows = pa.table({"kind": pa.array(["flag"] * n, pa.string()), "block": batch.column("block"), "bucket": batch.column("bucket"), "keys": pa.nulls(n, pa.binary()), "checks": pa.nulls(n, pa.binary()), "flags": pa.array(flags, pa.binary())})
     if not fresh.any():
         return flag_rows
-    run = pa.table({"kind": ["run"], "block": pa.nulls(1, pa.int64())} | _run_row(key[0].as_py(), k[fresh], c[fresh], i[fresh]) | {"flags": pa.nulls(1, pa.binary())})
+    run = pa.table({"kind": pa.array(["run"]), "block": pa.nulls(1, pa.int64())} | _run_row(key[0].as_py(), k[fresh], c[fresh]) | {"flags": pa.nulls(1, pa.binary())})
     return pa.concat_tables([flag_rows, run])
 
 
 def _compact(key, runs):
-    k, c, i, _ = _distinct(*_joined(_open(runs)))
-    return pa.table(_run_row(key[0].as_py(), k, c, i))
+    keys, checks = _joined(_open(runs))
+    k, c, _, _ = _distinct(keys, checks, np.zeros(len(keys), np.int8))
+    return pa.table(_run_row(key[0].as_py(), k, c))
 
 
 class FingerprintIndex:
@@ -144,11 +148,11 @@ class FingerprintIndex:
         self.runs: list[tuple[int, str]] = []
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(f"bucket int, {_PACKED}").parquet(path)
+        return self.spark.read.schema(f"bucket int, {_RUN}").parquet(path)
 
     def history(self) -> DataFrame:
         """Every run's rows (bucket, packed sorted columns)."""
-        out = self.spark.createDataFrame([], f"bucket int, {_PACKED}")
+        out = self.spark.createDataFrame([], f"bucket int, {_RUN}")
         for _, path in self.runs:
             out = out.unionByName(self._read(path))
         return out
@@ -159,12 +163,12 @@ class FingerprintIndex:
         Without ``keep`` the batch is only looked up: for the last batch before an index is dropped.
         """
         emitted = blocks.groupBy("block").applyInArrow(_emit(self.size, self.buckets), f"block long, bucket int, {_PACKED}")
-        merged = self.history().groupBy("bucket").cogroup(emitted.groupBy("bucket")).applyInArrow(_merge, f"kind string, block long, bucket int, {_PACKED}, flags binary")
+        merged = self.history().groupBy("bucket").cogroup(emitted.groupBy("bucket")).applyInArrow(_merge, f"kind string, block long, bucket int, {_RUN}, flags binary")
         merged = merged if keep else merged.where("kind = 'flag'")
         path = scratch(self.spark, "windows")
         with released_shuffles(self.spark):
             merged.write.partitionBy("kind").parquet(path)
-        both = self.spark.read.schema(f"kind string, block long, bucket int, {_PACKED}, flags binary").parquet(path)
+        both = self.spark.read.schema(f"kind string, block long, bucket int, {_RUN}, flags binary").parquet(path)
         if keep and both.where("kind = 'run'").limit(1).count():
             self.runs.append((0, f"{path}/kind=run"))
             self._compact()
@@ -179,7 +183,7 @@ class FingerprintIndex:
                 rows = rows.unionByName(self._read(path))
             path = scratch(self.spark, "run")
             with released_shuffles(self.spark):
-                rows.groupBy("bucket").applyInArrow(_compact, f"bucket int, {_PACKED}").write.parquet(path)
+                rows.groupBy("bucket").applyInArrow(_compact, f"bucket int, {_RUN}").write.parquet(path)
             self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, path)]
             for _, gone in old:
                 drop_path(self.spark, gone)
@@ -216,6 +220,8 @@ def _apply(size: int, buckets: int, keep: bool):
             n_removed.append(int(gone.sum()))
             text = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n_removed[-1] else words)
             kept.append(text if keep else hashlib.sha256(text).hexdigest())
+        del split
+        give_back()
         out = {"id": docs.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary()).cast(pa.string())} if keep else {"kept_sha256": pa.array(kept, pa.string())}))
 
@@ -232,6 +238,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
     index is made for the call and dropped.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = [b / batches for b in range(1, batches)]
     found = rows.agg(F.sum(F.octet_length("text")), F.percentile_approx("id", marks, 10_000) if marks else F.lit(None)).first()
