@@ -3,8 +3,9 @@
 Every vector keeps a list of its most similar vectors. The lists start from random-hyperplane leaves; each round
 joins neighbours of neighbours through their common neighbour and keeps what is better, until few lists change.
 Links are list entries at the threshold or above. Where a list is saturated (its last entry still links), it is
-enlarged to its whole saturated region, which is compared in blocks, so that large groups lose no link. Recall is
-audited against brute force on a sample; if it is low, lists are doubled and refined again.
+enlarged to its whole saturated region, which is compared in blocks with itself and with every saturated region that
+a bound on their angles can't rule out, so that large groups lose no link. Recall is audited against brute force on a
+sample; if it is low, lists are doubled and refined again, and if doubling doesn't help, all vectors are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, whole_keys
+from .common import components, cut, local_forest, whole_keys
 from .hnsw import unit, usable
 
 THRESHOLD = 0.93
@@ -139,18 +140,23 @@ def neighbour_lists(nodes: DataFrame, most: int = LIST, rounds: int = ROUNDS, st
     return now.select("id", "nbr", "sim", "n")
 
 
-def _within_regions(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): for members (region, id), the copies of others of the region at the threshold, in blocks."""
+def _sized(members: DataFrame) -> DataFrame:
+    """Members (region, id) with their region's number of blocks and their own block."""
     sizes = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = members.join(sizes, "region").withColumn("own", own).withColumn("other", other)
-    rows = rows.select("id", "own", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") == F.least("own", "other")).cast("int").alias("first"))
-    rows = rows.join(nodes.select("id", "vec", "copies"), "id").select("key", "first", "own", "id", "vec", "copies")
+    return members.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def _count(rows: DataFrame, nodes: DataFrame, threshold: float, edges: str) -> DataFrame:
+    """(id, links, other) for rows (key, own, id): each key compares its one block with itself, or its two with each other.
+
+    Rows with ``other`` are edges, and count no links: with ``edges`` "all" they connect all that a key links, with
+    "one" there is one for each key that links anything.
+    """
+    rows = rows.join(nodes.select("id", "vec", "copies"), "id").select("key", "own", "id", "vec", "copies")
 
     def count(batches):
         for table in whole_keys(batches, "key"):
-            ids, links = [], []
+            out = []
             for a, b in _groups(table, "key"):
                 part = table.slice(a, b - a)
                 who, own, copies = (part.column(c).to_numpy() for c in ("id", "own", "copies"))
@@ -159,13 +165,86 @@ def _within_regions(members: DataFrame, nodes: DataFrame, threshold: float) -> D
                 s[who[:, None] == who[None, :]] = False
                 if own.min() != own.max():  # two blocks meet; each within itself has its own key
                     s[own[:, None] == own[None, :]] = False
-                ids.append(who)
-                links.append(s @ copies)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64))], ["id", "links"])
+                out.append((who, s @ copies, np.full(len(who), -1)))
+                if edges == "one" and s.any():
+                    i, j = np.unravel_index(s.argmax(), s.shape)
+                    out.append((who[[i]], np.zeros(1, np.int64), who[[j]]))
+                elif edges == "all":
+                    i, j = np.nonzero(s)
+                    src, dst = local_forest(who[i], who[j])
+                    out.append((src, np.zeros(len(src), np.int64), dst))
+            if out:
+                ids, links, other = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(other, mask=other < 0)], ["id", "links", "other"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(count, "id long, links long, other long")
+
+
+def _within_regions(members: DataFrame, nodes: DataFrame, threshold: float, edges: str = "none") -> DataFrame:
+    """:func:`_count` of members (region, id) with the others of their region, in blocks."""
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = _sized(members).withColumn("other", other)
+    rows = rows.select("id", "own", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    return _count(rows, nodes, threshold, edges)
+
+
+def _angles(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The angle between the vectors of two columns."""
+    out = []
+    for v, w in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        x, y = unit(np.array([v], np.float64))[0], unit(np.array([w], np.float64))[0]
+        out.append(float(np.arccos(np.clip(x @ y, -1, 1))))
+    return pa.array(out, pa.float64())
+
+
+def _close_regions(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: regions of one ``grp`` that may hold vectors at the threshold.
+
+    A region is named after one of its members; no member is further from it than the region's radius. By the
+    triangle inequality vectors of two regions link only if the named ones are within both radii and the threshold's angle.
+    """
+    named = nodes.select(F.col("id").alias("region"), "grp", F.col("vec").alias("middle"))
+    spread = members.join(nodes.select("id", "vec"), "id").join(named.select("region", "middle"), "region")
+    radius = spread.select("region", F.arrow_udf(_angles, "double")("vec", "middle").alias("angle")).groupBy("region").agg(F.max("angle").alias("radius"))
+    regions = cut(radius.join(named, "region"), "radii")
+    sized = _sized(regions.select(F.col("grp").alias("region"), F.col("region").alias("id")).distinct()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = sized.select("id", "own", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    rows = keyed.join(regions.select(F.col("region").alias("id"), F.col("middle").alias("vec"), "radius"), "id").select("key", "own", "id", "vec", "radius")
+    reach = float(np.arccos(threshold)) + 1e-6  # more than the angles' rounding errors
+
+    def close(batches):
+        for table in whole_keys(batches, "key"):
+            found = []
+            for a, b in _groups(table, "key"):
+                part = table.slice(a, b - a)
+                who, own, radius = (part.column(c).to_numpy() for c in ("id", "own", "radius"))
+                x = _matrix(part.column("vec"))
+                near = np.arccos(np.clip(x @ x.T, -1, 1)) <= radius[:, None] + radius[None, :] + reach
+                near &= who[:, None] < who[None, :]
+                if own.min() != own.max():
+                    near &= own[:, None] != own[None, :]
+                i, j = np.nonzero(near)
+                found.append((who[i], who[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(close, "a long, b long")
 
-    counted = rows.repartition("key").sortWithinPartitions("key").mapInArrow(count, "id long, links long")
-    return counted.groupBy("id").agg(F.sum("links").alias("links"))
+
+def _between_regions(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """:func:`_count` of members (region, id) with those of other regions, in blocks; regions that are too far apart are left out."""
+    pairs = cut(_close_regions(members, nodes, threshold), "pairs")
+    sized = cut(_sized(members), "members")
+    parts = sized.select("region", "parts").distinct()
+    both = pairs.join(parts.select(F.col("region").alias("a"), F.col("parts").alias("parts_a")), "a").join(parts.select(F.col("region").alias("b"), F.col("parts").alias("parts_b")), "b")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    left = both.select("a", "b", each("parts_b")).join(sized.withColumnRenamed("region", "a"), "a").select("id", F.lit(0).alias("own"), F.xxhash64("a", "b", "own", "other").alias("key"))
+    right = both.select("a", "b", each("parts_a")).join(sized.withColumnRenamed("region", "b"), "b").select("id", F.lit(1).alias("own"), F.xxhash64("a", "b", "other", "own").alias("key"))
+    return _count(left.unionByName(right), nodes, threshold, "one")
+
+
+def _edges(counted: DataFrame) -> DataFrame:
+    return counted.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst"))
 
 
 def _links(nodes: DataFrame, lists: DataFrame, most: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -174,15 +253,24 @@ def _links(nodes: DataFrame, lists: DataFrame, most: int, threshold: float) -> t
     saturated = near.where(F.col("n") == most).select("id")
     full = cut(saturated, "saturated")
     inner = near.select("id", "nbr").join(full, "id", "left_semi").join(full.withColumnRenamed("id", "nbr"), "nbr", "left_semi")
-    region = cut(components(inner.select(F.col("id").alias("src"), F.col("nbr").alias("dst"))), "regions")
-    region = region.unionByName(region.select(F.col("component").alias("node"), "component").distinct()).distinct()
-    of = lambda c, name: region.select(F.col("node").alias(c), F.col("component").alias(name))
+    reached = cut(components(inner.select(F.col("id").alias("src"), F.col("nbr").alias("dst"))), "regions")
+    # what no edge reaches is the smallest node of its region, or alone in it
+    region = cut(full.withColumnRenamed("id", "node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "regions")
     both = near.select("id", "nbr").unionByName(near.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"))).distinct()
-    outer = both.join(of("id", "a"), "id", "left").join(of("nbr", "b"), "nbr", "left").where("a is null or b is null or a != b")
+    # pairs of saturated vectors are compared below
+    outer = both.join(full.withColumn("a", F.lit(True)), "id", "left").join(full.select(F.col("id").alias("nbr"), F.lit(True).alias("b")), "nbr", "left").where("a is null or b is null")
     listed = outer.join(nodes.select(F.col("id").alias("nbr"), "copies"), "nbr").groupBy("id").agg(F.sum("copies").alias("links"))
-    counted = _within_regions(region.select(F.col("component").alias("region"), F.col("node").alias("id")), nodes, threshold)
+    members = region.select(F.col("component").alias("region"), F.col("node").alias("id"))
+    between = cut(_between_regions(members, nodes, threshold), "between")
+    counted = _within_regions(members, nodes, threshold).unionByName(between).groupBy("id").agg(F.sum("links").alias("links"))
     total = listed.unionByName(counted).groupBy("id").agg(F.sum("links").alias("links"))
-    return cut(total, "links"), near.select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
+    return cut(total, "links"), near.select(F.col("id").alias("src"), F.col("nbr").alias("dst")).unionByName(_edges(between))
+
+
+def _all_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What :func:`_links` returns, from comparing all vectors of each ``grp``."""
+    counted = cut(_within_regions(nodes.select(F.col("grp").alias("region"), "id"), nodes, threshold, "all"), "counted")
+    return cut(counted.groupBy("id").agg(F.sum("links").alias("links")), "links"), _edges(counted)
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> float:
@@ -234,7 +322,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         links, edges = _links(nodes, lists, most, threshold)
         recall = audit(nodes, links, threshold)
         _log.info("lists of %d: audited recall %.4f", most, recall)
-        if recall >= RECALL or most >= 4 * LIST:
+        if recall >= RECALL:
+            break
+        if most >= 4 * LIST:
+            _log.warning("lists of %d: audited recall %.4f is below %.2f; all vectors are compared", most, recall, RECALL)
+            links, edges = _all_links(nodes, threshold)
             break
         most *= 2
     reach = components(edges)

@@ -61,6 +61,30 @@ def test_links_match_brute_force(spark, monkeypatch):
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
 
 
+def saturated_groups():
+    """Two groups of one label that fill every list, with links between them that no list holds."""
+    rng = np.random.default_rng(5)
+    a = np.eye(16)[0]
+    b = 0.945 * a + np.sqrt(1 - 0.945**2) * np.eye(16)[1]
+    x = [c + rng.normal(size=16) * 0.012 for c in (a, b) for _ in range(70)]
+    far = [rng.normal(size=16) for _ in range(20)]
+    return [(i, v, 1) for i, v in enumerate([*x, *far])]
+
+
+@pytest.mark.parametrize("recall", [nndescent.RECALL, 2])
+def test_saturated_groups_that_link_only_to_each_other(spark, monkeypatch, recall):
+    monkeypatch.setattr(nndescent, "BLOCK", 32)
+    monkeypatch.setattr(nndescent, "RECALL", recall)  # no audit reaches 2: all vectors are compared
+    rows = saturated_groups()
+    x = np.array([as_float(v) / np.linalg.norm(as_float(v)) for _, v, _ in rows])
+    true = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert true[:70, :70].sum() == 70 * 69 and 1000 < true[:70, 70:140].sum()
+    assert np.sort(x[:70] @ x[:70].T, axis=1)[:, -50].min() > (x[:70] @ x[70:140].T).max()
+    got = {r.vec_id: r for r in nndescent.near_duplicates(make(spark, rows)).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == true.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(rows))] == [0] * 140 + list(range(140, 160))
+
+
 def test_links_of_nothing(spark):
     assert nndescent.near_duplicates(make(spark, [])).count() == 0
     assert [tuple(r) for r in nndescent.near_duplicates(make(spark, [(3, None, 1)])).collect()] == [(3, 0, 3, True)]
