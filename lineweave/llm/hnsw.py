@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, results merged.
 
-Vectors are dealt to shards by a hash, so that no label, source or copy makes a shard hot. A shard's graph is a row
-of flat arrays: ids, vectors, the levels' neighbour lists. Queries go in blocks to every shard.
+Equal vectors are one node of a graph, which carries as many of their rows, smallest ids first, as a result can hold.
+Distinct vectors are dealt to shards by a hash, so that no label or source makes a shard hot. A shard's graph is a row
+of flat arrays: vectors, their rows and ids, the levels' neighbour lists. Queries go in blocks to every shard.
 """
 
 from __future__ import annotations
@@ -126,11 +127,14 @@ class Graph:
         return self._walk(self.x, near[0], q, start, width)
 
 
-_INDEX = "shard long, dim int, rows array<long>, ids array<long>, vectors array<double>, levels array<int>, entry int, base array<int>, upper array<array<int>>"
+_INDEX = "shard long, dim int, rows array<long>, ids array<long>, sizes array<int>, vectors array<double>, levels array<int>, entry int, base array<int>, upper array<array<int>>"
 
 
 def build_index(vectors: DataFrame, shards: int) -> DataFrame:
-    """One row of flat arrays for each shard, from (row, id, vector); shards never mix lengths of vectors."""
+    """One row of flat arrays for each shard, from (row, vector, members); shards never mix lengths of vectors.
+
+    ``members`` are the (id, row) of the vector's rows; ``sizes`` says how many of ``rows`` and ``ids`` each vector has.
+    """
 
     def build(key, table):
         table = table.sort_by("row")
@@ -138,20 +142,25 @@ def build_index(vectors: DataFrame, shards: int) -> DataFrame:
         flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         x = flat.reshape(-1, dim)
         g = Graph.build(unit(x))
-        one = {"shard": [key[0].as_py()], "dim": [dim], "rows": [table.column("row").to_numpy()], "ids": [table.column("id").to_numpy()], "vectors": [flat]}
+        lists = table.column("members").combine_chunks()
+        members = lists.flatten()
+        one = {"shard": [key[0].as_py()], "dim": [dim], "rows": [members.field("row")], "ids": [members.field("id")], "sizes": [lists.value_lengths()], "vectors": [flat]}
         one |= {"levels": [g.levels], "entry": [g.entry], "base": [g.links[0].ravel()], "upper": [[u.ravel() for u in g.links[1:]]]}
-        types = {"shard": pa.int64(), "dim": pa.int32(), "rows": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "vectors": pa.list_(pa.float64()), "levels": pa.list_(pa.int32()), "entry": pa.int32(), "base": pa.list_(pa.int32()), "upper": pa.list_(pa.list_(pa.int32()))}
-        return pa.table({k: pa.array(v, types[k]) for k, v in one.items()})
+        types = {"shard": pa.int64(), "dim": pa.int32(), "rows": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "vectors": pa.list_(pa.float64()), "levels": pa.list_(pa.int32()), "entry": pa.int32(), "base": pa.list_(pa.int32()), "upper": pa.list_(pa.list_(pa.int32()))}
+        return pa.table({k: pa.array([x.to_numpy() if isinstance(x, pa.Array) else x for x in v], types[k]) for k, v in one.items()})
 
     dealt = vectors.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     return dealt.groupBy("shard", "dim").applyInArrow(build, _INDEX)
 
 
-def _read(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+def _read(row: dict) -> tuple[Graph, np.ndarray, list[list[tuple[int, int]]]]:
+    """The graph, its vectors, and the (id, row) of each vector's rows."""
     x = np.array(row["vectors"]).reshape(-1, row["dim"])
     levels = np.array(row["levels"], np.int32)
     links = [np.array(row["base"], np.int32).reshape(len(x), -1), *(np.array(u, np.int32).reshape(-1, LINKS) for u in row["upper"])]
-    return Graph(unit(x), levels, links, row["entry"]), x, np.array(row["rows"]), np.array(row["ids"])
+    pairs, ends = list(zip(row["ids"], row["rows"], strict=True)), np.cumsum(row["sizes"]).tolist()
+    members = [pairs[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return Graph(unit(x), levels, links, row["entry"]), x, members
 
 
 def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, width: int = SEARCH) -> DataFrame:
@@ -159,12 +168,17 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
 
     Returns (query_id, rank, id, score): nearest first, ties to the smaller id. A query's own row isn't among its
     results, another row with the same id is. Vectors that are null, zero or hold null or non-finite components
-    and rows with a null id take no part; vectors of different length never meet. Every row is indexed.
+    and rows with a null id take no part; vectors of different length never meet. Every distinct vector is indexed, and
+    found ones stand for their rows: a query that is itself one of them needs ``k + 1`` of each to lose none.
     """
     valid = df.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     table = cut(valid.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
-    shards = max(1, -(-table.count() // shard))
-    index = cut(build_index(table, shards), "hnsw")
+    order = Window.partitionBy("vector").orderBy("id", "row")
+    first = table.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    classes = first.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("id", "row"))).alias("members"))
+    classes = cut(classes.select(F.col("members")[0]["row"].alias("row"), "vector", "members"), "classes")
+    shards = max(1, -(-classes.count() // shard))
+    index = cut(build_index(classes, shards), "hnsw")
     asked = table.where(F.col("id") % every == 0).withColumn("dim", F.size("vector"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     in_blocks = asked.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "id", "vector")).alias("queries"))
@@ -174,15 +188,16 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
         for batch in batches:
             for one in range(batch.num_rows):
                 row = {c: batch.column(c)[one].as_py() for c in batch.schema.names}
-                graph, x, rows, ids = _read(row)
+                graph, x, members = _read(row)
                 near, norms = graph.lists(), np.linalg.norm(x, axis=1)
                 out = []
                 for q in row["queries"]:
                     v = np.array(q["vector"])
-                    found = [j for _, j in graph.search(near, unit(v[None])[0], width) if rows[j] != q["row"]]
+                    found = [j for _, j in graph.search(near, unit(v[None])[0], width)]
                     exact = x[found] @ v / (norms[found] * np.linalg.norm(v))
-                    last = np.sort(exact)[-k] if len(exact) > k else -2
-                    out += [(q["row"], q["id"], int(ids[j]), float(s)) for j, s in zip(found, exact, strict=True) if s >= last]
+                    last = np.sort(exact)[-k - 1] if len(exact) > k else -2  # one of the best may hold the query alone
+                    best = sorted((-float(s), i, r) for j, s in zip(found, exact, strict=True) if s >= last for i, r in members[j] if r != q["row"])
+                    out += [(q["row"], q["id"], i, -s) for s, i, _ in best[:k]]
                 columns = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["row", "query_id", "id", "score"])
 

@@ -114,6 +114,27 @@ def test_nearest_matches_brute_force(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
 
 
+def test_nearest_with_a_third_of_copies(spark):
+    rng = np.random.default_rng(3)
+    hub = rng.normal(size=16)
+    rows = [(i, hub + rng.normal(size=16) * (0.2 if i % 3 == 1 else 1) if i % 3 else hub, 1) for i in range(900)]
+    rows = rows[::-1]  # of the copies the smallest ids come last
+    got = {}
+    for r in hnsw.nearest(make(spark, rows), every=50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    x = {i: as_float(v) / np.linalg.norm(as_float(v)) for i, v, _ in rows}
+    hits = total = 0
+    for i in range(0, 900, 50):
+        exact = [j for _, j in sorted((-round(float(x[i] @ x[j]), 12), j) for j in x if j != i)[:5]]
+        mine = [j for _, j in sorted(got[i])]
+        assert len(mine) == 5
+        if i % 3 == 0:
+            assert mine == exact == [j for j in range(0, 21, 3) if j != i][:5]
+        hits += len(set(mine) & set(exact))
+        total += 5
+    assert hits / total >= 0.95
+
+
 MESSAGES = "conv_id long, pos long, role string, content string, call_id string, after_id string, name string, arguments map<string,string>, reply_to string, depth int, status string"
 
 
