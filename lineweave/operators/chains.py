@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash
 
-#: A lineage longer than this is reported as cut, so that a cycle ends.
-DEPTH = 1000
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from the shared folder, where its lineage ends; a folder of its own where ``spark.checkpoint.dir`` is unset."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineweave-")
+    path = f"{folder.rstrip('/')}/lineweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def chain(entries: DataFrame, scope: str, order: str, payload: list[str]) -> DataFrame:
@@ -67,33 +76,39 @@ def choose_lineage(parent: Column, parent_lineage: Column, own: Column, detached
     return F.when(detached, as_struct("detached", none, none)).when(parent.isNotNull(), as_struct("derived", F.coalesce(parent_lineage, own), parent)).otherwise(as_struct("root", own, none))
 
 
-def walk(artifacts: DataFrame, starts: DataFrame, node: str = "hash", parent: str = "parent", depth: int = DEPTH) -> DataFrame:
+def walk(artifacts: DataFrame, starts: DataFrame, node: str = "hash", parent: str = "parent", depth: int | None = None) -> DataFrame:
     """(start, node, depth): the artifacts on the way from each start to its root, through parent pointers.
 
-    A recursive query, level by level over all starts at once. A missing parent ends a walk, ``depth`` ends a cycle.
+    Pointer doubling over all starts at once, however long a lineage is. A missing parent ends a walk, a node that it
+    has met ends a cycle. With ``depth`` it goes so many steps at most, round a cycle too.
+    """
+    own = artifacts.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    known = _written(own.select("node").where("node is not null").distinct(), "artifacts")
+    jump = _written(own.join(known.withColumnRenamed("node", "up"), "up", "left_semi").select("node", "up").distinct(), "jumps")
+    begun = starts.select(F.col(node).alias("start")).distinct().join(known.withColumnRenamed("node", "start"), "start", "left_semi")
+    now = _written(begun.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "walks")
+    most, step = known.count() - 1 if depth is None else depth, 1
+    while step <= most and jump.limit(1).count():
+        further = now.join(jump, "node").select("start", F.col("up").alias("node"), (F.col("depth") + step).alias("depth")).where(F.col("depth") <= most)
+        both = now.unionByName(further)
+        now = _written(both.groupBy("start", "node").agg(F.min("depth").alias("depth")) if depth is None else both.distinct(), "walks")
+        jump = _written(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up")).distinct(), "jumps")
+        step *= 2
+    return now
+
+
+def approved_keys(keys: DataFrame, approvals: DataFrame) -> DataFrame:
+    """(key_id, depth): the first key is trusted, others if a trusted key has signed them; ``keys`` has ord.
+
+    Keys are reached level by level until none is new, so chains have any length and cycles end.
     """
-    spark = artifacts.sparkSession
-    artifacts.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView("lineweave_artifacts")
-    starts.select(F.col(node).alias("start")).createOrReplaceTempView("lineweave_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, node, parent, depth) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT s.start, a.node, a.parent, 0 FROM lineweave_starts s JOIN lineweave_artifacts a ON a.node = s.start
-          UNION ALL
-          SELECT w.start, a.node, a.parent, w.depth + 1 FROM walk w JOIN lineweave_artifacts a ON a.node = w.parent WHERE w.depth < {depth}
-        ) SELECT start, node, depth FROM walk""")
-
-
-def approved_keys(keys: DataFrame, approvals: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key_id, depth): the first key is trusted, others if a trusted key has signed them; ``keys`` has ord."""
-    spark = keys.sparkSession
-    keys.createOrReplaceTempView("lineweave_keys")
-    approvals.createOrReplaceTempView("lineweave_approvals")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(key_id, depth) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT min_by(key_id, ord), 0 FROM lineweave_keys
-          UNION ALL
-          SELECT a.key_id, r.depth + 1 FROM reach r JOIN lineweave_approvals a ON a.signer = r.key_id WHERE r.depth < {min(depth, 100)} AND a.key_id != a.signer
-        ) SELECT key_id, min(depth) AS depth FROM reach WHERE key_id IS NOT NULL GROUP BY key_id""")
+    signed = _written(approvals.where("key_id is not null and key_id != signer").select("signer", F.col("key_id").alias("signed")).distinct(), "approvals")
+    now, turn = _written(keys.agg(F.min_by("key_id", "ord").alias("key_id")).where("key_id is not null").withColumn("depth", F.lit(0)), "reached"), 0
+    while now.where(F.col("depth") == turn).limit(1).count():
+        ahead = now.where(F.col("depth") == turn).join(signed, F.col("key_id") == F.col("signer")).select(F.col("signed").alias("key_id")).distinct()
+        turn += 1
+        now = _written(now.unionByName(ahead.join(now, "key_id", "left_anti").withColumn("depth", F.lit(turn))), "reached")
+    return now
 
 
 def revisions(states: DataFrame, scope: str, order: str, semantic: list[str]) -> DataFrame:

@@ -244,3 +244,17 @@ def test_a_streamed_chain_reports_gaps(spark, tmp_path):
     whole = {r.n: r.state_hash for r in chains.chain(spark.createDataFrame([("s", 1, "b"), ("s", 2, "c")], schema), "scope", "n", ["p"]).collect()}
     assert got["s", 2, True] == (whole[2], whole[1]) and got["s", 0, True][1] is None
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_long_lineages_and_cycles(spark):
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(1200)] + [(2000, 2001), (2001, 2000)], "hash long, parent long")
+    starts = rows.where("hash in (1199, 2000)")
+    got = {(r.start, r.node): r.depth for r in chains.walk(rows, starts).collect()}
+    assert got == {(1199, i): 1199 - i for i in range(1200)} | {(2000, 2000): 0, (2000, 2001): 1}
+
+
+def test_keys_beyond_a_hundred_signers(spark):
+    keys = spark.createDataFrame([(i, i) for i in range(105)] + [(900, 900)], "key_id long, ord long")
+    approvals = spark.createDataFrame([(i + 1, i) for i in range(104)] + [(0, 104), (3, 1), (900, 900)], "key_id long, signer long")
+    want = {0: 0, 1: 1, 2: 2, 3: 2} | {i: i - 1 for i in range(4, 105)}
+    assert {r.key_id: r.depth for r in chains.approved_keys(keys, approvals).collect()} == want
