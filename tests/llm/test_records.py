@@ -118,7 +118,7 @@ def test_nearest_with_a_third_of_copies(spark):
     rng = np.random.default_rng(3)
     hub = rng.normal(size=16)
     rows = [(i, hub + rng.normal(size=16) * (0.2 if i % 3 == 1 else 1) if i % 3 else hub, 1) for i in range(900)]
-    rows = rows[::-1]  # of the copies the smallest ids come last
+    rows = [rows[i] for i in np.random.default_rng(7).permutation(900)]
     got = {}
     for r in hnsw.nearest(make(spark, rows), every=50).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
