@@ -32,10 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of long texts, on all cores."""
+    return tx.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(origin, id, text): strings of many kinds from six tables."""
     t = lambda name: table(spark, sf_dir, name)
-    pick = lambda df, origin, key, text: df.select(F.lit(origin).alias("origin"), key.cast("string").alias("id"), text.alias("text"))
+    pick = lambda df, origin, key, text: tx.spread(df.select(F.lit(origin).alias("origin"), key.cast("string").alias("id"), text.alias("text")))
     c = F.col
     parts = [
         pick(t("pages"), "url", c("page_id"), c("url")), pick(t("part"), "part", c("p_partkey"), c("p_name")), pick(t("part"), "type", c("p_partkey"), c("p_type")),
@@ -107,7 +112,7 @@ LINES = rf"""split AS (SELECT doc_id, regexp_split_to_array(text, '{_LINE_END}')
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, line FROM lines")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.lines(table(spark, sf_dir, "documents"), "doc_id")
+    return tx.lines(documents(spark, sf_dir), "doc_id")
 
 
 def _goal_case(x: str) -> str:
@@ -117,7 +122,7 @@ def _goal_case(x: str) -> str:
 @query(f"""WITH {LINES}, found AS (SELECT upper({_class('line')}) AS source_type, {_goal_case('line')} AS goal FROM lines)
   SELECT goal, source_type, count(*) AS "count", 1.0::DOUBLE AS confidence FROM found WHERE goal IS NOT NULL GROUP BY ALL""")
 def goals_from_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tx.lines(table(spark, sf_dir, "documents"), "doc_id").select(F.upper(cl.string_class("line")).alias("type"))
+    found = tx.lines(documents(spark, sf_dir), "doc_id").select(F.upper(cl.string_class("line")).alias("type"))
     return goals.discover_goals(found)
 
 
@@ -132,7 +137,8 @@ def specs_from_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TEXTS} SELECT origin, id, {_class('text')} AS class FROM texts")
 def string_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("origin", "id", cl.string_class("text").alias("class"))
+    rows, t = cl.with_forms(texts(spark, sf_dir))
+    return rows.select("origin", "id", cl.string_class(t).alias("class"))
 
 
 _BIN = r"(length(text) > 0 AND (length(regexp_replace(text, '[\x20-\x7e]', '', 'g')) > 0.3 * length(text) OR contains(text, chr(0)) OR (length(text) > 20 AND NOT contains(text, ' ') AND length(regexp_replace(text, '[\pL\pN]', '', 'g')) > 0.4 * length(text))))"
@@ -149,8 +155,8 @@ _SKIP = f"""(text = '' OR {_class('text')} IN ('url', 'sql', 'css', 'identifier'
   {_BIN} AS binary_like, ((contains(lower(text), '<') AND contains(lower(text), '>')) OR {_any('lower(text)', cl.HTML_SIGNS)}) AS html_like, {_any('text', cl.CODE_SIGNS)} AS code_like,
   len(list_filter({_words('text')}, lambda w: contains(w, '_') AND upper(w) = w AND lower(w) <> w)) > 0 AS has_constant FROM texts""")
 def candidate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return texts(spark, sf_dir).select("origin", "id", cl.is_candidate(t).alias("candidate"), cl.is_skipped(t).alias("skipped"), cl.is_binary_like(t).alias("binary_like"), cl.is_html_like(t).alias("html_like"), cl.is_code_like(t).alias("code_like"), cl.has_constant(t).alias("has_constant"))
+    rows, t = cl.with_forms(texts(spark, sf_dir))
+    return rows.select("origin", "id", cl.is_candidate(t).alias("candidate"), cl.is_skipped(t).alias("skipped"), cl.is_binary_like(t).alias("binary_like"), cl.is_html_like(t).alias("html_like"), cl.is_code_like(t).alias("code_like"), cl.has_constant(t).alias("has_constant"))
 
 
 _STRICT = f"({_any('upper(text)', cl.STRICT_SQL_PHRASES)} OR {_hits('upper(text)', cl.STRICT_SQL_WORDS)} >= 2)"
@@ -165,8 +171,8 @@ _SCORE = "((contains(text, '(') AND contains(text, ')'))::INT * 2 + contains(tex
 
 @query(f"WITH {TEXTS} SELECT origin, id, {_SQL} AS is_sql, {_STRICT} AS strict_sql, {_URL} AS is_url, {_CSS} AS is_css, {_CSS_LIKE} AS css_like, {_CODE} AS is_code, {_SENTENCE} AS sentence, {_SCORE} AS score FROM texts")
 def classifier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return texts(spark, sf_dir).select("origin", "id", cl.is_sql(t).alias("is_sql"), cl.is_sql_strict(t).alias("strict_sql"), cl.is_url(t).alias("is_url"), cl.is_css(t).alias("is_css"), cl.is_css_like(t).alias("css_like"), cl.is_code(t).alias("is_code"), cl.is_sentence(t).alias("sentence"), cl.sql_score(t).alias("score"))
+    rows, t = cl.with_forms(texts(spark, sf_dir))
+    return rows.select("origin", "id", cl.is_sql(t).alias("is_sql"), cl.is_sql_strict(t).alias("strict_sql"), cl.is_url(t).alias("is_url"), cl.is_css(t).alias("is_css"), cl.is_css_like(t).alias("css_like"), cl.is_code(t).alias("is_code"), cl.is_sentence(t).alias("sentence"), cl.sql_score(t).alias("score"))
 
 
 @query(f"WITH {TEXTS} SELECT origin, id FROM texts WHERE NOT ({_any('upper(text)', cl.SQL_PHRASES)}) AND (NOT {_CSS} OR {_SENTENCE}) AND NOT {_starts('text', cl.URL_PREFIXES)} AND NOT {_CODE}")
@@ -187,8 +193,8 @@ _CLEANER = rf"({_SQL}::INT * 3 + {_URL}::INT * 3 + {_LOOKS_CSS}::INT * 2 + {_LOO
 
 @query(rf"WITH {TEXTS} SELECT origin, id, {_CLEANER} AS score, {_CLEANER} < 3 AND regexp_matches(text, '\pL') AND (contains(text, ' ') OR regexp_matches(text, '\p{{Ll}}')) AS kept FROM texts")
 def cleaner_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return texts(spark, sf_dir).select("origin", "id", cl.cleaner_score(t).alias("score"), ((cl.cleaner_score(t) < 3) & cl.is_human(t)).alias("kept"))
+    rows, t = cl.with_forms(texts(spark, sf_dir))
+    return rows.select("origin", "id", cl.cleaner_score(t).alias("score"), ((cl.cleaner_score(t) < 3) & cl.is_human(t)).alias("kept"))
 
 
 def _carried(line: Column, n: Column) -> Column:
@@ -199,27 +205,26 @@ def _carried(line: Column, n: Column) -> Column:
   found AS (SELECT doc_id, line_no, regexp_extract(line, '^(?:print|raise Error|logging\.info)\("(.+?)"\)', 1) AS text FROM carried)
   SELECT doc_id, line_no, 0 AS n, text, upper({_class('text')}) AS type FROM found""")
 def carried_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tx.lines(table(spark, sf_dir, "documents"), "doc_id").where("line != ''")
+    rows = tx.lines(documents(spark, sf_dir), "doc_id").where("line != ''")
     return detect.findings(rows.withColumn("line", _carried(F.col("line"), F.col("line_no"))), "doc_id")
 
 
 @query()
 def quoted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tx.lines(table(spark, sf_dir, "documents"), "doc_id")
+    rows = tx.lines(documents(spark, sf_dir), "doc_id")
     return detect.findings(rows.withColumn("line", F.concat(F.lit("x = '"), F.replace("line", F.lit("'"), F.lit("")), F.lit("' + y"))), "doc_id")
 
 
-_HEAD = r"regexp_extract(line, '^[^ ]+( [^ ]+){0,1}')"
-_KEY = rf"upper(regexp_replace({_strip(r'''regexp_replace(text, '[^\pL\pM\pN_\t-\r\x1c-\x20\x85\pZ]', '', 'g')''')}, '{_S}+', '_', 'g'))"
+# upper case of the sharp s is SS; DuckDB knows one character for it
+_KEY = rf"upper(replace(regexp_replace({_strip(r'''regexp_replace(text, '[^\pL\pM\pN_\t-\r\x1c-\x20\x85\pZ]', '', 'g')''')}, '{_S}+', '_', 'g'), 'ß', 'SS'))"
 
 
-@query(rf"""WITH {LINES}, t AS (SELECT {_HEAD} AS text, min(doc_id * 100000 + line_no) AS first FROM lines WHERE regexp_full_match({_HEAD}, '[A-Za-z., ]+') GROUP BY 1),
+@query(rf"""WITH {LINES}, t AS (SELECT line AS text, min(doc_id * 100000 + line_no) AS first FROM lines GROUP BY 1),
   k AS (SELECT text, first, {_KEY} AS key FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first, text) AS n FROM k)
   SELECT CASE WHEN n = 1 THEN key ELSE key || '_' || n END AS token, text FROM r""")
 def dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.regexp_extract("line", "^[^ ]+( [^ ]+){0,1}", 0)
-    rows = tx.lines(table(spark, sf_dir, "documents"), "doc_id").select(head.alias("text"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"))
-    return dictionary.build(rows.where(F.col("text").rlike(r"\A[A-Za-z., ]+\z")))
+    rows = tx.lines(documents(spark, sf_dir), "doc_id").select(F.col("line").alias("text"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("ord"))
+    return dictionary.build(rows)
 
 
 @query("""WITH base AS (SELECT p_name AS token, p_brand AS text FROM part WHERE p_partkey % 3 <> 0), extra AS (SELECT p_name AS token, p_type AS text FROM part WHERE p_partkey % 2 = 0)
@@ -230,18 +235,18 @@ def merged_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.merge(pick("p_partkey % 3 != 0", "p_brand"), pick("p_partkey % 2 = 0", "p_type"))
 
 
-@query(r"""WITH d AS (SELECT p_name AS text, 'T' || min(p_partkey) AS token FROM part GROUP BY 1), l AS (SELECT p_partkey::VARCHAR AS file, 1 AS line_no, 'show("' || p_name || '")' AS line, p_name AS text FROM part WHERE p_partkey % 5 = 0)
+@query(r"""WITH d AS (SELECT p_name AS text, 'T' || min(p_partkey) AS token FROM part GROUP BY 1), l AS (SELECT p_partkey::VARCHAR AS file, 1 AS line_no, 'show("' || p_name || '")' AS line, p_name AS text FROM part)
   SELECT file, line_no, line AS original, 'show(messages["' || token || '"])' AS replacement, token FROM l JOIN d USING (text)""")
 def substituted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     tokens = part.groupBy(F.col("p_name").alias("text")).agg(F.concat(F.lit("T"), F.min("p_partkey")).alias("token"))
-    rows = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("file"), F.lit(1).alias("line_no"), F.concat(F.lit('show("'), "p_name", F.lit('")')).alias("line"))
+    rows = part.select(F.col("p_partkey").cast("string").alias("file"), F.lit(1).alias("line_no"), F.concat(F.lit('show("'), "p_name", F.lit('")')).alias("line"))
     return dictionary.substitute(rows, tokens)
 
 
 @query()
 def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tx.lines(table(spark, sf_dir, "documents").where(F.length("text") > 0), "doc_id").where("line != ''")
+    rows = tx.lines(documents(spark, sf_dir).where(F.length("text") > 0), "doc_id").where("line != ''")
     rows = rows.select(F.col("doc_id").cast("string").alias("file"), "line_no", F.concat(F.lit('print("'), F.replace("line", F.lit('"'), F.lit("")), F.lit('")')).alias("line"))
     return scan_plan.generate(rows)
 
@@ -296,13 +301,14 @@ def plan_from_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqdiff.to_plan(seqdiff.diff_pairs(_pairs(spark, sf_dir)))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS file, l_linenumber::INT AS start_line, (l_linenumber + (l_quantity > 40)::INT)::INT AS end_line FROM lineitem WHERE l_returnflag <> 'N'),
+@query("""WITH o AS (SELECT l_orderkey AS file, l_linenumber::INT AS start_line, (l_linenumber + (l_quantity > 40)::INT)::INT AS end_line, count(*) AS n FROM lineitem GROUP BY ALL),
   m AS (SELECT *, max(end_line) OVER (PARTITION BY file ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
   i AS (SELECT *, sum(CASE WHEN reach + 1 >= start_line THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM m)
-  SELECT file, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS merged FROM i GROUP BY file, island""")
+  SELECT file, min(start_line) AS start_line, max(end_line) AS end_line, sum(n)::BIGINT AS merged FROM i GROUP BY file, island""")
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag != 'N'")
-    return seqdiff.merge_adjacent(rows.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("start_line"), (F.col("l_linenumber") + (F.col("l_quantity") > 40).cast("int")).cast("int").alias("end_line")), "file")
+    end = F.col("l_linenumber") + (F.col("l_quantity") > 40).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("start_line"), end.cast("int").alias("end_line"))
+    return seqdiff.merge_adjacent(rows, "file")
 
 
 _DUP = """g AS (SELECT sha256(text) AS normalized_hash, count(*) AS "count", sum(n_chars)::BIGINT AS total_lines, count(DISTINCT source) AS names, count(DISTINCT lang || '/' || source) AS files FROM documents GROUP BY text HAVING count(*) >= 2),
@@ -358,9 +364,9 @@ def region_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.errors(broken)
 
 
-@query(rf"""SELECT conv_id, turn, length(text) - length(replace(text, chr(10), '')) + 1 AS last_line, len(regexp_extract_all(lower(text), '[a-z_]+')) AS tokens, {_KEY} AS key, replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS escaped FROM conversations WHERE regexp_full_match(text, '[\x00-\x7f]*')""")
+@query(rf"""SELECT conv_id, turn, length(text) - length(replace(text, chr(10), '')) + 1 AS last_line, len(regexp_extract_all(lower(text), '[a-z_]+')) AS tokens, {_KEY} AS key, replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS escaped FROM conversations""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    rows = table(spark, sf_dir, "conversations")
     at = tx.line_column("text", F.length("text"))
     return rows.select("conv_id", "turn", at[0].alias("last_line"), F.size(tx.tokens("text")).alias("tokens"), tx.normal_key("text").alias("key"), regions.escape(F.col("text")).alias("escaped"))
 

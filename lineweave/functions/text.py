@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode text processing sees it; spelt out, because engines disagree on ``\s``.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+#: The same characters one by one, for trimming.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: One character that is no white space.
+INK = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 #: Everything that ends a line.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+LINE_END = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}](?:(?<=\r)\n)?+"
 
 
 def _column(c: Column | str) -> Column:
@@ -20,7 +24,18 @@ def _column(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, Unicode spaces included."""
-    return F.regexp_replace(_column(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_column(c), F.lit(SPACES))
+
+
+def bound(c: Column, f) -> Column:
+    """``f`` of a column that is evaluated once, however often ``f`` uses it: branches of a CASE share nothing else."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
+def every_word(c: Column | str, pattern: str, least: int = 1) -> Column:
+    """Whether stripped text has ``least`` (1 or 2) words or more, each of the possessive ``pattern``: one pass, no list of words."""
+    again = "++" if least > 1 else "*+"
+    return _column(c).rlike(rf"\A{pattern}(?:{SPACE}++{pattern}){again}\z")
 
 
 def words(c: Column | str) -> Column:
@@ -35,8 +50,7 @@ def has_letter(c: Column | str) -> Column:
 
 def split_lines(c: Column | str) -> Column:
     """Lines without their ends; a final line end starts no further line, empty text has no line."""
-    parts = F.split(_column(c), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(_column(c), LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -44,6 +58,15 @@ def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.posexplode(split_lines(text)).alias("n", "line")).select(key, (F.col("n") + 1).alias("line_no"), "line")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer parts than the cluster has cores, dealt to all of them; larger scans stay as they are.
+
+    A file of one row group is read by one task, and rules on its texts would all run there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def nfc(c: Column | str) -> Column:
     """Unicode NFC; Spark has no such function, so this one goes through Arrow where the text isn't ASCII."""
 

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_letter, strip, tokens, words
+from ..functions.text import INK, SPACE, bound, every_word, has_letter, strip, tokens, words
 
 # What the rules look for.
 URL_PREFIXES = ("http://", "https://", "ftp://")
@@ -41,8 +41,38 @@ HTML_SIGNS = ("<div", "<span", "<button", "<table", "<tr", "<td", "<form", "<inp
 FILE_ENDINGS = (".php", ".js", ".css", ".html", ".json")
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+class Forms:
+    """A text column beside its stripped and case-folded forms, for rules that share them."""
+
+    def __init__(self, raw: Column, bare: Column, upper: Column, lower: Column, bare_lower: Column):
+        self.raw, self.bare, self.upper, self.lower, self.bare_lower = raw, bare, upper, lower, bare_lower
+
+
+def with_forms(df: DataFrame, text: str = "text") -> tuple[DataFrame, Forms]:
+    """``df`` with the forms of ``text`` as columns of their own, below the rules, so that each is made once and rules stay in generated code."""
+    made = {"_bare": strip(text), "_upper": F.upper(text), "_lower": F.lower(text)}
+    out = df.withColumns(made).withColumn("_bare_lower", F.lower("_bare"))
+    return out, Forms(*(F.col(c) for c in (text, "_bare", "_upper", "_lower", "_bare_lower")))
+
+
+def _col(c: Column | str | Forms) -> Column:
+    return c.raw if isinstance(c, Forms) else F.col(c) if isinstance(c, str) else c
+
+
+def _upper(c: Column | str | Forms, rules) -> Column:
+    return rules(c.upper) if isinstance(c, Forms) else bound(F.upper(_col(c)), rules)
+
+
+def _lower(c: Column | str | Forms, rules) -> Column:
+    return rules(c.lower) if isinstance(c, Forms) else bound(F.lower(_col(c)), rules)
+
+
+def _bare(c: Column | str | Forms, rules) -> Column:
+    return rules(c.bare) if isinstance(c, Forms) else bound(strip(_col(c)), rules)
+
+
+def _bare_lower(c: Column | str | Forms, rules) -> Column:
+    return rules(c.bare_lower) if isinstance(c, Forms) else bound(F.lower(strip(_col(c))), rules)
 
 
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
@@ -57,56 +87,57 @@ def count_hits(c: Column, parts: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (F.contains(c, F.lit(p)).cast("int") for p in parts), F.lit(0))
 
 
-def _all_words(c: Column, pattern: str) -> Column:
-    return F.forall(words(c), lambda w: w.rlike(rf"\A{pattern}\z"))
-
-
 def is_url(c: Column | str) -> Column:
     """A scheme at the start, in any case; leading white space doesn't count."""
-    return strip(_col(c)).rlike(r"\A(?i:https?|ftp|mailto)://")
+    return _col(c).rlike(rf"\A{SPACE}*+(?i:https?|ftp|mailto)://")
 
 
 def string_class(c: Column | str) -> Column:
     """empty, url, sql, css, identifier, code, human or unknown: the first rule that holds."""
     raw = _col(c)
-    t, up = strip(raw), F.upper(strip(raw))
-    sql = contains_any(up, SQL_PHRASES) | (contains_any(up, (" FROM ", " WHERE ")) & F.contains(t, F.lit("(")))
-    css = t.rlike(r"\A[a-z]+(?:-[a-z0-9]+)+\z") | (F.contains(t, F.lit(" ")) & _all_words(t, "[a-z]+(?:-[a-z0-9]+)*"))
-    identifier = t.rlike(r"\A[a-z]+[A-Za-z0-9]+\z") | (F.contains(t, F.lit("_")) & (F.lower(t) == t))
-    return (
-        F.when(raw.isNull() | (raw == ""), "empty").when(starts_any(t, URL_PREFIXES), "url").when(sql, "sql").when(css, "css")
-        .when(identifier, "identifier").when(contains_any(t, CODE_MARKS), "code").when(F.contains(t, F.lit(" ")) & has_letter(t), "human").otherwise("unknown")
-    )
+
+    def rules(t: Column) -> Column:
+        in_upper = lambda up: contains_any(up, SQL_PHRASES) | (F.contains(t, F.lit("(")) & contains_any(up, (" FROM ", " WHERE ")))
+        sql = in_upper(c.upper) if isinstance(c, Forms) else bound(F.upper(t), in_upper)
+        css = t.rlike(r"\A[a-z]++(?:-[a-z0-9]++)++\z") | (F.contains(t, F.lit(" ")) & every_word(t, "[a-z]++(?:-[a-z0-9]++)*+"))
+        identifier = t.rlike(r"\A[a-z][A-Za-z0-9]++\z") | (F.contains(t, F.lit("_")) & (F.lower(t) == t))
+        return (
+            F.when(starts_any(t, URL_PREFIXES), "url").when(sql, "sql").when(css, "css").when(identifier, "identifier")
+            .when(contains_any(t, CODE_MARKS), "code").when(F.contains(t, F.lit(" ")) & has_letter(t), "human").otherwise("unknown")
+        )
+
+    # never null, so that no join has to filter it, and evaluate it again
+    return F.when(raw.isNull() | (raw == ""), "empty").otherwise(F.coalesce(_bare(c, rules), F.lit("unknown")))
 
 
 def is_candidate(c: Column | str) -> Column:
     """Whether a string is worth translating: human text of three characters or more, with a letter and a space."""
     t = _col(c)
-    return (string_class(t) == "human") & (F.length(t) >= 3) & has_letter(t) & F.contains(t, F.lit(" "))
+    return (F.length(t) >= 3) & F.contains(t, F.lit(" ")) & has_letter(t) & (string_class(c) == "human")
 
 
 def is_skipped(c: Column | str) -> Column:
     """Whether a string is certainly not for people: a technical class, a path, a call, a constant or a single word."""
     t = F.coalesce(_col(c), F.lit(""))
-    up = F.upper(t)
-    sql = contains_any(up, (" FROM ", " WHERE ", " VALUES ")) & F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))
+    sql = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")) & contains_any(F.upper(t), (" FROM ", " WHERE ", " VALUES "))
     path = contains_any(t, ("/", "\\")) | reduce(or_, (F.endswith(t, F.lit(e)) for e in (*FILE_ENDINGS, "()")))
-    named = t.rlike(r"\A[a-z]+[A-Za-z0-9]+\z") | (F.contains(t, F.lit("_")) & (F.lower(t) == t)) | ((up == t) & (F.length(t) > 8))
-    return (t == "") | string_class(t).isin("url", "sql", "css", "identifier", "code") | sql | path | named | (F.size(words(t)) <= 1)
+    named = t.rlike(r"\A[a-z][A-Za-z0-9]++\z") | (F.contains(t, F.lit("_")) & (F.lower(t) == t)) | ((F.length(t) > 8) & (F.upper(t) == t))
+    one_word = ~t.rlike(rf"{INK}{SPACE}++{INK}")
+    return (t == "") | one_word | path | string_class(t).isin("url", "sql", "css", "identifier", "code") | sql | named
 
 
 def is_binary_like(c: Column | str) -> Column:
     """Over 30 % outside printable ASCII, a NUL, or a long word that is over 40 % punctuation."""
     t = F.coalesce(_col(c), F.lit(""))
     n = F.length(t)
-    odd = F.length(F.regexp_replace(t, r"[\x20-\x7e]", ""))
-    signs = F.length(F.regexp_replace(t, r"[\p{L}\p{N}]", ""))
+    odd = F.length(F.regexp_replace(t, r"[\x20-\x7e]++", ""))
+    signs = F.length(F.regexp_replace(t, r"[\p{L}\p{N}]++", ""))
     return (n > 0) & ((odd > 0.3 * n) | F.contains(t, F.lit("\0")) | ((n > 20) & ~F.contains(t, F.lit(" ")) & (signs > 0.4 * n)))
 
 
 def is_html_like(c: Column | str) -> Column:
-    t = F.lower(strip(_col(c)))
-    return (F.contains(t, F.lit("<")) & F.contains(t, F.lit(">"))) | contains_any(t, HTML_SIGNS)
+    t = _col(c)
+    return (F.contains(t, F.lit("<")) & F.contains(t, F.lit(">"))) | _lower(c, lambda low: contains_any(low, HTML_SIGNS))
 
 
 def is_code_like(c: Column | str) -> Column:
@@ -121,15 +152,18 @@ def has_constant(c: Column | str) -> Column:
 def is_sql(c: Column | str) -> Column:
     """A phrase, two keywords, or a keyword with a structural sign."""
     t = _col(c)
-    up = F.upper(t)
-    hits = reduce(lambda a, b: a + b, (up.rlike(rf"\b{k}\b").cast("int") for k in SQL_KEYWORDS))
     sign = (F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))) | contains_any(t, ("?", ":", " = ", ";"))
-    return contains_any(up, SQL_PHRASES) | (hits >= 2) | ((hits >= 1) & sign)
+
+    def rules(up: Column) -> Column:
+        # most keywords are nowhere in a text: the plain search decides before the expression is tried
+        hits = reduce(lambda a, b: a + b, ((F.contains(up, F.lit(k)) & up.rlike(rf"\b{k}\b")).cast("int") for k in SQL_KEYWORDS))
+        return contains_any(up, SQL_PHRASES) | (hits >= F.when(sign, 1).otherwise(2))
+
+    return _upper(c, rules)
 
 
 def is_sql_strict(c: Column | str) -> Column:
-    up = F.upper(_col(c))
-    return contains_any(up, STRICT_SQL_PHRASES) | (count_hits(up, STRICT_SQL_WORDS) >= 2)
+    return _upper(c, lambda up: contains_any(up, STRICT_SQL_PHRASES) | (count_hits(up, STRICT_SQL_WORDS) >= 2))
 
 
 def is_sql_by_words(c: Column | str, dictionary: Column | None = None) -> Column:
@@ -144,29 +178,35 @@ def is_sql_by_words(c: Column | str, dictionary: Column | None = None) -> Column
 
 def is_sentence(c: Column | str) -> Column:
     """Three words or more, one of them a stop word or starting with a capital."""
-    w = words(_col(c))
-    return (F.size(w) >= 3) & (F.exists(w, lambda x: F.lower(x).isin(*STOPWORDS)) | F.exists(w, lambda x: x.rlike(r"\A\p{Lu}")))
+    t = _col(c)
+    three = t.rlike(rf"{INK}{SPACE}++{INK}++{SPACE}++{INK}")
+    return three & (t.rlike(rf"(?<!{INK})\p{{Lu}}") | _lower(c, lambda low: low.rlike(rf"(?<!{INK})(?:{'|'.join(STOPWORDS)})(?!{INK})")))
 
 
 def is_css(c: Column | str) -> Column:
-    t = strip(_col(c))
-    lower = F.lower(t)
-    classes = (F.size(words(lower)) >= 2) & _all_words(lower, r"[a-z0-9\-]+")
-    return (t != "") & (F.startswith(t, F.lit(".")) | classes | t.rlike(r"\A[a-z0-9]+(?:-[a-z0-9]+)+\z") | starts_any(t, CSS_PREFIXES))
+
+    def rules(t: Column) -> Column:
+        classes = every_word(F.lower(t), "[a-z0-9-]++", 2)
+        return (t != "") & (F.startswith(t, F.lit(".")) | starts_any(t, CSS_PREFIXES) | t.rlike(r"\A[a-z0-9]++(?:-[a-z0-9]++)++\z") | classes)
+
+    return _bare(c, rules)
 
 
 def is_css_like(c: Column | str) -> Column:
     """Style attributes, declarations, a unit anywhere, or two keywords."""
     t = _col(c)
-    lower = F.lower(t)
-    return contains_any(lower, ("style=",)) | (F.contains(t, F.lit(":")) & F.contains(t, F.lit(";"))) | contains_any(lower, CSS_UNITS) | (count_hits(lower, CSS_KEYWORDS) >= 2)
+    signs = F.contains(t, F.lit(":")) & F.contains(t, F.lit(";"))
+    return signs | _lower(c, lambda low: contains_any(low, ("style=", *CSS_UNITS)) | (count_hits(low, CSS_KEYWORDS) >= 2))
 
 
 def is_code(c: Column | str) -> Column:
-    t = strip(_col(c))
-    shape = (t.rlike(r"\A[A-Z0-9_]+\z") & (F.length(t) > 3)) | (t.rlike(r"\A[a-z0-9_]+\z") & F.contains(t, F.lit("_"))) | t.rlike(r"\A[a-z]+[A-Za-z0-9]*\z")
-    path = F.contains(t, F.lit("/")) & ~F.contains(t, F.lit(" "))
-    return (t != "") & (F.lower(t).isin(*CODE_WORDS) | shape | F.endswith(t, F.lit("()")) | path | ((F.length(t) <= 4) & t.rlike(r"\A\p{L}+\z")))
+
+    def rules(t: Column) -> Column:
+        shape = (t.rlike(r"\A[A-Z0-9_]++\z") & (F.length(t) > 3)) | (t.rlike(r"\A[a-z0-9_]++\z") & F.contains(t, F.lit("_"))) | t.rlike(r"\A[a-z]++[A-Za-z0-9]*+\z")
+        path = F.contains(t, F.lit("/")) & ~F.contains(t, F.lit(" "))
+        return (t != "") & (F.lower(t).isin(*CODE_WORDS) | shape | F.endswith(t, F.lit("()")) | path | ((F.length(t) <= 4) & t.rlike(r"\A\p{L}++\z")))
+
+    return _bare(c, rules)
 
 
 def sql_score(c: Column | str) -> Column:
@@ -181,11 +221,11 @@ def sql_score(c: Column | str) -> Column:
 def cleaner_score(c: Column | str) -> Column:
     """How little a string looks like text for people; 3 or more is dropped."""
     t = _col(c)
-    lower = F.lower(strip(t))
-    css = F.startswith(lower, F.lit(".")) | lower.rlike(r"\A[a-z0-9]+(?:-[a-z0-9]+)+\z") | (F.contains(lower, F.lit(" ")) & _all_words(lower, r"[a-z0-9\-]+")) | starts_any(lower, CLEANER_CSS_PREFIXES)
-    code = t.rlike(r"\A[\p{L}_][\p{L}\p{N}_]*\z") | (t.rlike(r"\A[A-Z0-9_]+\z") & (F.length(t) > 4)) | (t.rlike(r"\A[a-z0-9_]+\z") & F.contains(t, F.lit("_"))) | F.endswith(t, F.lit("()"))
-    signs = F.length(F.regexp_replace(t, r"[\p{L}\p{N} .,!?]", ""))
-    points = [(is_sql(t), 3), (is_url(t), 3), (css, 2), (code, 2), (~F.contains(t, F.lit(" ")), 1), (F.length(t) > 80, 2), (signs > 5, 2), ((F.upper(t) == t) & (F.length(t) > 10), 2)]
+    like_css = lambda low: F.startswith(low, F.lit(".")) | starts_any(low, CLEANER_CSS_PREFIXES) | low.rlike(r"\A[a-z0-9]++(?:-[a-z0-9]++)++\z") | (F.contains(low, F.lit(" ")) & every_word(low, "[a-z0-9-]++"))
+    css = _bare_lower(c, like_css)
+    code = t.rlike(r"\A[\p{L}_][\p{L}\p{N}_]*+\z") | (t.rlike(r"\A[A-Z0-9_]+\z") & (F.length(t) > 4)) | (t.rlike(r"\A[a-z0-9_]+\z") & F.contains(t, F.lit("_"))) | F.endswith(t, F.lit("()"))
+    signs = F.length(F.regexp_replace(t, r"[\p{L}\p{N} .,!?]++", ""))
+    points = [(is_sql(c), 3), (is_url(c), 3), (css, 2), (code, 2), (~F.contains(t, F.lit(" ")), 1), (F.length(t) > 80, 2), (signs > 5, 2), ((F.upper(t) == t) & (F.length(t) > 10), 2)]
     return reduce(lambda a, b: a + b, (F.when(test, n).otherwise(0) for test, n in points))
 
 

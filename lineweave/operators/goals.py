@@ -16,8 +16,9 @@ SPEC_RULES = {
 
 
 def _rules(spark: SparkSession, rules: dict, key: str, value: str) -> DataFrame:
-    """A rule table; it has a fixed handful of rows, so that joins broadcast it."""
-    return F.broadcast(spark.createDataFrame([(k, n, v) for k, values in rules.items() for n, v in enumerate(values)], f"{key} string, n int, {value} string"))
+    """A rule table of literals, made without a Python worker; it has a fixed handful of rows, so that joins broadcast it."""
+    rows = [F.struct(F.lit(k).alias(key), F.lit(n).alias("n"), F.lit(v).alias(value)) for k, values in rules.items() for n, v in enumerate(values)]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
 
 
 def discover_goals(found: DataFrame, rules: dict = GOAL_RULES) -> DataFrame:

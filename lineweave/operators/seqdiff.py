@@ -94,8 +94,13 @@ def to_plan(files: DataFrame, key: str = "path", most: int = WHOLE_FILE) -> Data
 
 
 def merge_adjacent(changes: DataFrame, *by: str) -> DataFrame:
-    """Changes (start_line, end_line) of one ``by`` that touch become one: gaps and islands."""
+    """Changes (start_line, end_line) of one ``by`` that touch become one: gaps and islands.
+
+    Changes with the same lines are counted once before, so that the order within a ``by`` has no ties.
+    """
+    once = changes.groupBy(*by, "start_line", "end_line").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*by).orderBy("start_line", "end_line")
     reach = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach + 1 >= F.col("start_line"), 0).otherwise(1)).over(order)
-    return changes.withColumn("island", island).groupBy(*by, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("merged")).drop("island")
+    once = once.withColumn("reach", reach)
+    island = F.sum(F.when(F.col("reach") + 1 >= F.col("start_line"), 0).otherwise(1)).over(order)
+    return once.withColumn("island", island).groupBy(*by, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n").alias("merged")).drop("island")
