@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base patterns find emails, IP addresses, cards and phone numbers. These are seeds: the words before them are lexical
-patterns, and patterns and the identifiers that they introduce form a graph. A pattern is as reliable as the
-identifiers that it introduces, an identifier as its best pattern; the two are scored in turns. Identifiers that no
-base pattern covers are added where a reliable pattern introduces them and they have the kind's shape.
+Base patterns find emails, IP addresses, cards and phone numbers; words that look like digests are possible secrets.
+These are seeds: the words before them are lexical patterns, and patterns and the identifiers that they introduce
+form a graph. A pattern is as reliable for a kind as the identifiers that it introduces, an identifier as its best
+pattern; the two are scored in turns until neither the reliable patterns nor the reliable identifiers grow. Added are
+identifiers that no base pattern covers, have the kind's shape and stand after a reliable pattern: a secret's seed
+alone is not enough.
 """
 
 from __future__ import annotations
@@ -24,16 +26,28 @@ PATTERNS = {
     "ip": _STARTS % "0-9" + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    #: Any word with a digit or an at sign: what a pattern may introduce.
-    "word": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    #: Any word with a digit or an at sign, with groups of digits after it: what a pattern may introduce.
+    "word": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [0-9()-]++(?!\S))*+",
 }
 _NEEDS = {"email": "@", "phone": "+"}
+#: What is added beside the base kinds, and in which order spans are listed.
+SECRET = "secret"
+LISTED = (*KINDS, SECRET)
 #: Characters of the text before a match that its patterns are read from.
 CONTEXT = 64
 #: A pattern needs so many different reliable identifiers, and patterns and identifiers this reliability.
 SUPPORT, RELIABLE = 5, 0.8
-ROUNDS = 3
-_SHAPES = {"email": r"\A[^@\s]+@[^@\s]+\z", "ip": r"\A[0-9]+(?:[.:][0-9]+){3,}\z", "card": r"\A[0-9][0-9-]{11,}\z", "phone": r"\A[+(]?[0-9](?:[().-]?+[0-9]){6,}\z"}
+#: More rounds than this mean that something is wrong: scores only grow.
+MOST_ROUNDS = 100
+#: How identifiers of a kind may look, without the punctuation around them.
+_SHAPES = {
+    "email": r"\A[^@\s]+@[^@\s]+\z", "ip": r"\A[0-9]+(?:[.:][0-9]+){3,}\z", "card": r"\A[0-9][0-9 -]{11,}\z", "phone": r"\A[+(]?[0-9](?:[ ().-]{0,2}+[0-9]){6,}\z",
+    SECRET: r"\A(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])[A-Za-z0-9_.+/=-]{16,}\z",
+}
+#: A secret's seed: a digest of 32 hex digits or more.
+_DIGEST = r"\A(?=[^A-Fa-f]*[A-Fa-f])(?=[^0-9]*[0-9])[0-9A-Fa-f]{32,}\z"
+#: An identifier among the words of a pattern.
+_OTHER = "<#>"
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -62,10 +76,11 @@ def matches(df: DataFrame, text: str = "text") -> DataFrame:
     cases = []
     for kind, pattern in PATTERNS.items():
         worth = F.contains(t, F.lit(_NEEDS[kind])) if kind in _NEEDS else t.rlike("[0-9@]")
-        pair = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("match"))
+        gaps = F.split(t, pattern, -1)
+        pair = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("match"), F.concat(F.array(F.lit(None).cast("string")), gaps).alias("ahead"))
         cases.append(F.struct(F.lit(kind).alias("kind"), F.when(worth, pair).alias("pieces")))
     found = rows.where(t.rlike("[0-9@]")).select(F.md5("t").alias("key"), F.explode(F.array(*cases)).alias("c")).select("key", "c.kind", F.posexplode("c.pieces").alias("n", "piece"))
-    short = found.where(F.col("piece.match").isNotNull()).select("key", "kind", "n", F.length("piece.gap").alias("gap"), F.col("piece.match").alias("match"), F.right(F.col("piece.gap"), F.lit(CONTEXT)).alias("before"))
+    short = found.where(F.col("piece.match").isNotNull()).select("key", "kind", "n", F.length("piece.gap").alias("gap"), F.col("piece.match").alias("match"), F.right(F.concat_ws(f" {_OTHER} ", "piece.ahead", "piece.gap"), F.lit(CONTEXT)).alias("before"))
     once = short.groupBy("key", "kind", "n").agg(F.first("gap").alias("gap"), F.first("match").alias("match"), F.first("before").alias("before"))
     order = Window.partitionBy("key", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("match")).over(order)
@@ -87,14 +102,15 @@ def _trimmed(words: DataFrame) -> DataFrame:
 
 
 def _patterns(rows: DataFrame) -> DataFrame:
-    """A row for each lexical pattern before a match: the last word, and the last two."""
-    words = F.filter(F.split(F.lower("before"), r"\s+"), lambda w: w.rlike(r"[\p{L}=:]"))
+    """A row for each lexical pattern before a match: the last word, and the last two. Identifiers among them are all alike."""
+    same = F.transform(F.split(F.lower("before"), r"\s+"), lambda w: F.when(w.rlike("[0-9@]"), _OTHER).otherwise(w))
+    words = F.filter(same, lambda w: w.rlike(r"[\p{L}=:#]"))
     last = F.col("words")
     made = F.array(F.when(F.size(last) > 0, F.element_at(last, -1)), F.when(F.size(last) > 1, F.concat_ws(" ", F.slice(last, -2, 2))))
-    return rows.withColumn("words", words).withColumn("pattern", F.explode(F.array_compact(made))).drop("words", "before")
+    return rows.withColumn("words", words).withColumn("pattern", F.explode(F.array_compact(made))).where(F.col("pattern").rlike(r"[\p{L}=:]")).drop("words", "before")
 
 
-def extend(base: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def extend(base: DataFrame, words: DataFrame) -> DataFrame:
     """Spans (key, kind, start, end) of unseen identifiers among ``words`` that reliable patterns introduce."""
     spots = base.select("key", "start", "end", F.lit(True).alias("seed"), F.col("match"), "before").unionByName(_trimmed(words).select("key", "start", "end", F.lit(False).alias("seed"), "match", "before"))
     by = Window.partitionBy("key").orderBy("start", F.desc("seed"))
@@ -102,26 +118,34 @@ def extend(base: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame
     behind = F.min(F.when(F.col("seed"), F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
     free = spots.withColumn("ahead", ahead).withColumn("behind", behind).where("not seed and coalesce(ahead <= start, true) and coalesce(behind >= end, true)")
     unseen = cut(_patterns(free.select("key", "start", "end", "match", "before")), "unseen")
-    seeds = cut(_patterns(base.select("kind", "match", "before")).groupBy("pattern", "match", "kind").agg(F.count("*").alias("n")), "seeds")
-    edges = cut(seeds.select("pattern", "match", "n").unionByName(unseen.groupBy("pattern", "match").agg(F.count("*").alias("n"))).groupBy("pattern", "match").agg(F.sum("n").alias("n")), "edges")
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    known = seeds.select("match", "kind").distinct().withColumn("score", F.lit(1.0))
-    score, strong = known, None
-    for _ in range(rounds):
+    digests = unseen.where(F.col("match").rlike(_DIGEST)).select(F.lit(SECRET).alias("kind"), "match", "pattern")
+    led_seeds = _patterns(base.select("kind", "match", "before")).select("kind", "match", "pattern").unionByName(digests)
+    seeds = cut(led_seeds.groupBy("pattern", "match", "kind").agg(F.count("*").alias("n")), "seeds")
+    of_base = seeds.where(F.col("kind") != SECRET).select("pattern", "match", "n")
+    edges = cut(of_base.unionByName(unseen.groupBy("pattern", "match").agg(F.count("*").alias("n"))).groupBy("pattern", "match").agg(F.sum("n").alias("n")), "edges")
+    totals = cut(edges.groupBy("pattern").agg(F.sum("n").alias("total")), "totals")
+    known = cut(seeds.select("match", "kind").distinct().withColumn("score", F.lit(1.0)), "known")
+    score, grown = known, None
+    for _ in range(MOST_ROUNDS):
         led = edges.join(score, "match").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.count_if(F.col("score") >= RELIABLE).alias("support"))
         rated = led.join(totals, "pattern").withColumn("trust", F.col("good") / (F.col("total") + 0.5))
         strong = cut(rated.where((F.col("support") >= SUPPORT) & (F.col("trust") >= RELIABLE)).select("pattern", "kind", "trust"), "patterns")
         met = unseen.select("pattern", "match").distinct().join(strong, "pattern").where(_shaped())
-        news = met.groupBy("match", "kind").agg(F.max("trust").alias("score"))
+        news = cut(met.groupBy("match", "kind").agg(F.max("trust").alias("score")), "news")
         score = known.unionByName(news).groupBy("match", "kind").agg(F.max("score").alias("score"))
-    sure = score.where(F.col("score") >= RELIABLE).select("match", "kind")
+        before, grown = grown, (strong.count(), news.where(F.col("score") >= RELIABLE).count())
+        if before == grown:
+            break
+    else:
+        raise RuntimeError(f"patterns still grow after {MOST_ROUNDS} rounds")
+    sure = news.where(F.col("score") >= RELIABLE).select("match", "kind")
     hits = unseen.join(strong, "pattern").where(_shaped()).join(sure, ["match", "kind"], "left_semi")
     ranked = hits.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
     return ranked.select("key", "kind", "start", "end")
 
 
 def _shaped() -> Column:
-    return reduce(lambda c, k: c | ((F.col("kind") == k) & F.col("match").rlike(_SHAPES[k])), KINDS, F.lit(False))
+    return reduce(lambda c, k: c | ((F.col("kind") == k) & F.col("match").rlike(_SHAPES[k])), LISTED, F.lit(False))
 
 
 def find(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -133,13 +157,13 @@ def find(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
 
 def _listed(name: str) -> Column:
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    rank = F.array_position(F.array(*map(F.lit, LISTED)), F.col("kind"))
     line = F.concat_ws(":", "kind", "start", "end")
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(name), F.struct(rank.alias("r"), F.col("start").alias("s"), line.alias("l"))))), lambda x: x.l), ",")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``df``: id, the number of base spans of each kind, ``base_sha256`` and ``spans``.
+    """A row for each row of ``df``: id, the number of base spans of each kind, ``base_sha256``, ``spans`` and ``n_added``.
 
     Null texts count as empty: no spans, the hash of the empty list. Ids may be null or repeat. Equal texts are
     examined once. Base spans always stay; added spans never overlap one.
@@ -147,11 +171,11 @@ def report(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     base, added = find(df, text)
     both = base.withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False))).withColumn("all", F.lit(True))
     counts = [F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS]
-    by_text = both.groupBy("key").agg(*counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("all").alias("spans"))
+    by_text = both.groupBy("key").agg(*counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("all").alias("spans"), F.count_if(~F.col("base")).alias("n_added"))
     by_text = cut(by_text, "spans")  # the join below then deals out both sides itself, and can split a text with many copies
     rows = df.select(F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     out = rows.join(by_text, "key", "left")
-    return out.select(id_col, *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS), F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return out.select(id_col, *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS), F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_added", F.lit(0).cast("long")).alias("n_added"))
 
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:

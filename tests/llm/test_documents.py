@@ -115,10 +115,11 @@ def test_simhash_of_nothing(empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
-def test_bpe_matches_the_library(docs, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 40, 1 << 18])
+def test_bpe_matches_the_library(docs, monkeypatch, hot):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(bpe, "HOT", hot)  # words beyond these are joined by a shuffle
     tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.decoded, r.ids) for r in bpe.encode_decode(docs, keep=("ids", "decoded")).collect())
     want = []
@@ -218,6 +219,30 @@ def test_reliable_patterns_find_unseen_identifiers(spark):
     assert masked[100] == "Again. Phone number: <phone>, thanks" and masked[0] == "He wrote. Phone number: <phone> thanks" and masked[102] == rows[-1][1]
 
 
+def test_secrets_need_a_reliable_pattern(spark):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'word{i} set token = "{digest(i)}" end') for i in range(20)]
+    rows += [(100, "Token = Zx9-uuQ_77abcdefg!!"), (101, f"the commit {digest(101)} was good"), (102, "token = yes"), (103, f"two token = {digest(7)} token = {digest(8)}, so"), (104, "call +1 (234) 555-6695 or token = 020 7946 0958")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:20]:
+        at = text.index('"') + 1
+        assert got[i].spans == f"secret:{at}:{at + 40}" and got[i].n_added == 1
+        assert got[i].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert [got[i].spans for i in (100, 101, 102)] == ["secret:8:25", "", ""]
+    assert got[103].spans == "secret:12:52,secret:61:101"
+    assert got[104].spans == "phone:5:22"
+
+
+def test_added_spans_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {i: [m.span(1) for m in re.finditer('[Tt](?:oken|OKEN) = "([0-9a-fA-F]{40})"', t)] for i, t in texts.items()}
+    assert sum(map(len, planted.values())) > 0
+    for r in pii.report(docs).collect():
+        added = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("secret")]
+        assert added == [s for s in planted[r.doc_id] if not any(k in r.spans and int(a) < s[1] and int(b) > s[0] for k, a, b in (x.split(":") for x in r.spans.split(",") if x and not x.startswith("secret")))]
+
+
 def test_masking_keeps_rows_and_columns(docs, empty):
     out = pii.mask(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
