@@ -1,9 +1,9 @@
 """BPE encoding and decoding through one table of distinct words.
 
-Documents are packed, as they are read, into compressed blocks of bounded size. Each block lists its distinct words; the lists meet in buckets by
-the word's hash, where every distinct word of the corpus is encoded once; the ids go back to the blocks that asked
-and are joined to the words by position. Words and ids travel as packed lists, one row for each block and bucket,
-so that a word as frequent as "the" costs one entry a block and no key is hot.
+Spark splits the texts into words and counts them, each distinct word of the corpus is encoded once, and its ids are
+turned back into text by a join with the id-to-piece table. Then ids return to the words by position: the most
+frequent words, a table of bounded size, are broadcast, so that no key of a shuffle is hot; the other words of a
+document are joined by a shuffle, one row for each word and document.
 """
 
 from __future__ import annotations
@@ -11,20 +11,16 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, pack, small_batches, text_bytes, unpack
+from .common import cut, give_back, small_batches
 
-#: Text bytes of a block; a longer document is a block of its own size.
-BLOCK_BYTES = 8 << 20
-#: Buckets of the distinct-word table for each block, at least one of them.
-BUCKETS_A_BLOCK = 2
+#: The broadcast table's bounds: so many words, none longer than so many bytes. At most 64 MB of words.
+HOT, HOT_BYTES = 1 << 18, 256
 
 
 def default_tokenizer() -> str:
@@ -45,163 +41,73 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@functools.cache
-def _pieces(path: str) -> list[bytes]:
-    """The id-to-piece table as a list."""
-    tokenizer = _tokenizer(path)
-    pieces = {i: piece for piece, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-    return [pieces.get(i, "").encode() for i in range(max(pieces) + 1)]
+def words(text: str | Column) -> Column:
+    """Words between ASCII white space, which the tokenizer's own splitting never crosses; null has none."""
+    parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]++")
+    return F.filter(parts, lambda w: w != "")
 
 
-def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(number of words by text, word numbers in order, distinct words in order of first appearance).
+def _encoded(column: pa.Array, path: str) -> pa.Array:
+    """The ids of each word. Bytes that aren't UTF-8 count as U+FFFD."""
+    tokenizer, found = _tokenizer(path), []
+    texts = [x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+    for at in range(0, len(texts), 4096):
+        found += [x.ids for x in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+    return pa.array(found, pa.list_(pa.int32()))
 
-    Words end at ASCII white space, which the tokenizer's own splitting never crosses.
-    """
-    number: dict[bytes, int] = {}
-    seen = number.setdefault
-    counts, flat = [], []
-    for text in texts:
-        words = text.split()
-        counts.append(len(words))
-        flat.append(np.fromiter((seen(w, len(number)) for w in words), np.int32, len(words)))
-    return np.array(counts, np.int64), np.concatenate(flat) if flat else np.empty(0, np.int32), list(number)
-
-
-def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers ordered by bucket, and where each bucket starts."""
-    of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    return np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(buckets + 1))
-
-
-def _blocks(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
-    """(block, ids, sizes, data) and the number of buckets: documents as they are read, packed into blocks."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-    def gather(batches):
-        ids, texts, held, number = [], [], 0, TaskContext.get().partitionId() << 32
-        kind = None
-
-        def row():
-            data = b"".join(texts)
-            packed = len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
-            columns = [pa.array([number]), pa.array([ids], pa.list_(kind)), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([packed], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "data"])
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                ids.append(i)
-                texts.append(t)
-                held += len(t)
-                if held >= BLOCK_BYTES:
-                    yield row()
-                    ids, texts, held, number = [], [], 0, number + 1
-        if ids:
-            yield row()
-
-    kind = rows.schema["id"].dataType.simpleString()
-    blocks = rows.mapInArrow(gather, f"block long, ids array<{kind}>, sizes array<int>, data binary")
-    return blocks, max(1, -(-size // BLOCK_BYTES) * BUCKETS_A_BLOCK)
-
-
-def _texts(blocks: pa.Table) -> list[bytes]:
-    out = []
-    for sizes, packed in zip(blocks.column("sizes").to_pylist(), blocks.column("data").to_pylist(), strict=True):
-        data = pa.Codec("zstd").decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), asbytes=True)
-        at = 0
-        for n in sizes:
-            out.append(data[at : at + n])
-            at += n
-    return out
-
-
-def _word_lists(buckets: int):
-    def lists(key, table):
-        words = _split(_texts(table))[2]
-        order, start = _by_bucket(words, buckets)
-        rows = [(b, b"\n".join([words[i] for i in order[start[b] : start[b + 1]]])) for b in range(buckets) if start[b] < start[b + 1]]
-        del words
-        give_back()
-        packed = [len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x, asbytes=True) for _, x in rows]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int64()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "words": pa.array(packed, pa.binary())})
-
-    return lists
-
-
-def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(number of ids by word, ids in order). Bytes that aren't UTF-8 count as U+FFFD."""
-    tokenizer, ids = _tokenizer(path), []
-    for at in range(0, len(words), 4096):
-        part = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at : at + 4096]], add_special_tokens=False)
-        ids.append([x.ids for x in part])
-    counts = np.fromiter((len(x) for part in ids for x in part), np.uint32, len(words))
-    return counts, np.fromiter((i for part in ids for x in part for i in x), np.uint32, int(counts.sum()))
-
-
-def _encode_bucket(path: str):
-    def encode(key, table):
-        number: dict[bytes, int] = {}
-        asked = []
-        for data in table.column("words").to_pylist():
-            words = pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True).split(b"\n")
-            asked.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-        length, ids = encode_words(list(number), path)
-        start = np.cumsum(length, dtype=np.int64) - length
-        lengths, found = [], []
-        for words in asked:
-            lengths.append(pack(length[words]))
-            found.append(pack(ids[_spans(start[words], length[words])]))
-        give_back()
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(found, pa.binary())})
-
-    return encode
-
-
-def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Positions start[0], start[0] + 1, ... of each span in turn."""
-    length = length.astype(np.int64)
-    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-
-
-def _finish(path: str, buckets: int, keep: tuple[str, ...]):
-    def finish(key, docs, encoded):
-        counts, flat, words = _split(_texts(docs))
-        order, starts = _by_bucket(words, buckets)
-        length = np.zeros(len(words), np.uint32)
-        parts = {b: (unpack(x, np.uint32), unpack(y, np.uint32)) for b, x, y in zip(*(encoded.column(c).to_pylist() for c in ("bucket", "lengths", "ids")), strict=True)}
-        own = [parts.get(b, (np.empty(0, np.uint32),) * 2) for b in range(buckets)]
-        found = np.concatenate([x for x, _ in own])
-        if len(found) != len(words):
-            raise ValueError("a block's documents were not read in the same order again")
-        length[order] = found
-        pool = np.concatenate([y for _, y in own])
-        start = np.empty(len(words), np.int64)
-        start[order] = np.cumsum(length[order], dtype=np.int64) - length[order]
-        ends, tokens, pieces = np.cumsum(counts), [], _pieces(path)
-        shas, sums, texts, id_lists = [], [], [], []
-        for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
-            mine = flat[end - count : end]
-            ids = pool[_spans(start[mine], length[mine])]
-            tokens.append(len(ids))
-            shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            decoded = b" ".join([pieces[i] for i in ids.tolist()])
-            sums.append(hashlib.sha256(decoded).hexdigest())
-            if "decoded" in keep:
-                texts.append(decoded)
-            if "ids" in keep:
-                id_lists.append(ids.astype(np.int32))
-        out = {"id": docs.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(tokens, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(sums, pa.string())}
-        if "ids" in keep:
-            out["ids"] = pa.array(id_lists, pa.list_(pa.int32()))
-        if "decoded" in keep:
-            out["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
-        del counts, flat, words, pool
-        give_back()
-        return pa.table(out)
 
-    return finish
+def pieces(spark, tokenizer: str | None = None) -> DataFrame:
+    """The id-to-piece table (token, piece); its size is the vocabulary's."""
+    known = _tokenizer(tokenizer or default_tokenizer()).get_vocab(with_added_tokens=True)
+    table = pa.table({"token": pa.array(list(known.values()), pa.int32()), "piece": pa.array(list(known), pa.string())})
+    return spark.createDataFrame(table)
+
+
+def word_table(df: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(word, n, ids, decoded) of every distinct word: how often it occurs, its ids, and their pieces joined by spaces."""
+    path = tokenizer or default_tokenizer()
+    counted = df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    encode = F.arrow_udf(lambda column: _encoded(column, path), "array<int>").asNondeterministic()  # evaluated once
+    coded = cut(counted.withColumn("ids", encode("word")), "words")
+    at = coded.select("word", F.posexplode("ids").alias("pos", "token")).join(F.broadcast(pieces(df.sparkSession, path)), "token")
+    back = at.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pairs"))
+    decoded = back.select("word", F.array_join(F.transform("pairs", lambda x: x.piece), " ").alias("decoded"))
+    return cut(coded.join(decoded, "word", "left").select("word", "n", "ids", F.coalesce("decoded", F.lit("")).alias("decoded")), "words")
+
+
+class _Hot:
+    """The frequent words' ids, as little-endian unsigned integers, and decoded texts."""
+
+    def __init__(self, table: pa.Table):
+        ids = [np.array(x, "<u4").tobytes() for x in table.column("ids").to_pylist()]
+        decoded = table.column("decoded").cast(pa.binary()).to_pylist()
+        self.found = dict(zip(table.column("word").cast(pa.binary()).to_pylist(), zip(ids, decoded, strict=True), strict=True))
+
+
+def _finished(ids: list[bytes], decoded: list[bytes], keep: tuple[str, ...]) -> tuple:
+    """A document's digests, and its ids and text if they are kept. A word without ids adds nothing, not even a space."""
+    flat, text = b"".join(ids), b" ".join(filter(None, decoded))
+    kept = ([np.frombuffer(flat, "<i4")] if "ids" in keep else []) + ([text] if "decoded" in keep else [])
+    return len(flat) // 4, hashlib.sha256(flat).hexdigest(), hashlib.sha256(text).hexdigest(), *kept
+
+
+def _result(keep: tuple[str, ...]) -> tuple[str, list]:
+    fields = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    fields += [("ids", "array<int>", pa.list_(pa.int32()))] * ("ids" in keep) + [("decoded", "string", pa.string())] * ("decoded" in keep)
+    return ", ".join(f"{n} {t}" for n, t, _ in fields), [(n, t) for n, _, t in fields]
+
+
+def _struct(rows: list[tuple | None], fields: list) -> pa.Array:
+    columns = zip(*(r or (None,) * len(fields) for r in rows), strict=True) if rows else [[]] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields], mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def _numbered(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a batch of word lists, the number of the word at each position, and where each list ends."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    coded = column.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), np.cumsum(column.value_lengths().to_numpy())
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -211,14 +117,62 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     integers) and ``decoded_sha256``; ``keep`` may name ``ids`` and ``decoded`` to have the lists and texts too. Null
     texts count as empty: no ids, an empty decoded text. Null and repeated ids are kept as they are.
     """
-    small_batches(df.sparkSession)
-    path = tokenizer or default_tokenizer()
-    rows, buckets = _blocks(df, id_col, text)
-    lists = rows.groupBy("block").applyInArrow(_word_lists(buckets), "block long, bucket int, words binary")
-    encoded = lists.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, bucket int, lengths binary, ids binary")
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
-    return rows.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_finish(path, buckets, keep), schema).withColumnRenamed("id", id_col)
+    spark = df.sparkSession
+    small_batches(spark)
+    table = word_table(df, text, tokenizer)
+    short = table.where(F.octet_length("word") <= HOT_BYTES)
+    frequent = short.orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids", "decoded").toArrow()
+    hot = spark.sparkContext.broadcast(_Hot(frequent))
+    rare = table.count() > frequent.num_rows
+    schema, fields = _result(keep)
+
+    def known(column: pa.Array) -> pa.Array:
+        """A document's result, null if it has a word that isn't broadcast."""
+        distinct, numbers, ends = _numbered(column)
+        found, out, start = [hot.value.found.get(w) for w in distinct], [], 0
+        numbers = numbers.tolist()
+        for end in ends.tolist():
+            mine = [found[i] for i in numbers[start:end]]
+            out.append(None if rare and None in mine else _finished([x for x, _ in mine], [y for _, y in mine], keep))
+            start = end
+        give_back()
+        return _struct(out, fields)
+
+    def missing(column: pa.Array) -> pa.Array:
+        """A document's distinct words that aren't broadcast."""
+        distinct, numbers, ends = _numbered(column)
+        cold = np.array([w not in hot.value.found for w in distinct], bool)
+        out, start = [], 0
+        for end in ends.tolist():
+            mine = numbers[start:end]
+            out.append([distinct[i] for i in np.unique(mine[cold[mine]]).tolist()])
+            start = end
+        return pa.array(out, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+
+    def joined(lists: pa.Array, cold: pa.Array) -> pa.Array:
+        """A document's result from the broadcast words and those (word, ids, decoded) that were joined."""
+        distinct, numbers, ends = _numbered(lists)
+        out, start, numbers = [], 0, numbers.tolist()
+        for end, own in zip(ends.tolist(), cold.to_pylist(), strict=True):
+            extra = {x["word"].encode(): (np.array(x["ids"], "<u4").tobytes(), x["decoded"].encode()) for x in own}
+            mine = [hot.value.found.get(distinct[i]) or extra[distinct[i]] for i in numbers[start:end]]
+            out.append(_finished([x for x, _ in mine], [y for _, y in mine], keep))
+            start = end
+        return _struct(out, fields)
+
+    # udfs that Spark takes for nondeterministic aren't evaluated once for each use of their result
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if not rare:
+        return rows.select("id", F.arrow_udf(known, schema).asNondeterministic()(words("text")).alias("r")).select(F.col("id").alias(id_col), "r.*")
+    tried = rows.select("id", "text", F.arrow_udf(known, schema).asNondeterministic()(words("text")).alias("r"))
+    tried = cut(tried.select("id", F.when(F.col("r").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "r"), "documents")
+    rest = tried.where("text is not null").select("id", "text", F.monotonically_increasing_id().alias("row"))
+    rest = cut(rest.select("row", "id", "text", F.arrow_udf(missing, "array<string>").asNondeterministic()(words("text")).alias("cold")), "rest")
+    asked = rest.select("row", F.explode("cold").alias("word"))
+    met = asked.join(table.select("word", "ids", "decoded"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids", "decoded")).alias("cold"))
+    both = rest.select("row", "id", "text").join(met, "row")
+    done = both.select("id", F.arrow_udf(joined, schema).asNondeterministic()(words("text"), "cold").alias("r"))
+    return tried.where("text is null").select("id", "r").unionByName(done).select(F.col("id").alias(id_col), "r.*")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -226,10 +180,8 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids: str = "ids", tokenizer: s
 
     A null or empty list decodes to the empty text; ids outside the vocabulary are left out, as the library does.
     """
-    spark = df.sparkSession
-    pieces = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(_pieces(tokenizer or default_tokenizer()))], "token long, piece string")
     rows = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(ids).alias("ids"))
     at = rows.select("id", "row", F.posexplode_outer("ids").alias("pos", "token"))
-    joined = at.join(F.broadcast(pieces), "token", "left")
+    joined = at.join(F.broadcast(pieces(df.sparkSession, tokenizer)), "token", "left")
     pairs = joined.groupBy("row", "id").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))).alias("pairs"))
     return pairs.select(F.col("id").alias(id_col), F.array_join(F.transform("pairs", lambda x: x.piece), " ").alias("decoded"))
