@@ -1,9 +1,13 @@
 """BPE encoding and decoding through one table of distinct words.
 
-Spark splits the texts into words and counts them, each distinct word of the corpus is encoded once, and its ids are
-turned back into text by a join with the id-to-piece table. Then ids return to the words by position: the most
-frequent words, a table of bounded size, are broadcast, so that no key of a shuffle is hot; the other words of a
-document are joined by a shuffle, one row for each word and document.
+Spark splits the texts into words. Documents are dealt, as they are read, into blocks of bounded size: a block numbers
+its distinct words, keeps its documents as word numbers by position, and sends its list of words to buckets by the
+word's hash. There every distinct word of the corpus is encoded once. The ids return to the blocks and are joined to
+the positions by number; what they decode to is found by a join of each block's ids with the id-to-piece table.
+
+Words and ids travel as packed lists, a row for each block and bucket, and a word as frequent as "the" costs one entry
+a block, so that no key is hot. Blocks and buckets grow with the root of the input up to a bound, so that the number
+of these rows is in proportion to the input; beyond it there are never more of them than words in the blocks' lists.
 """
 
 from __future__ import annotations
@@ -11,16 +15,21 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, small_batches
+from .common import drop_path, give_back, pack, scratch, small_batches, unpack, written
 
-#: The broadcast table's bounds: so many words, none longer than so many bytes. At most 64 MB of words.
-HOT, HOT_BYTES = 1 << 18, 256
+#: A row for each block and bucket stands for so many bytes of text; blocks and buckets have between these sizes.
+ROW_BYTES = 32 << 10
+LEAST_BYTES, MOST_BYTES = 2 << 20, 32 << 20
+#: Bytes of text for a word, its white space included: blocks are measured in words.
+WORD_BYTES = 6
 
 
 def default_tokenizer() -> str:
@@ -47,15 +56,6 @@ def words(text: str | Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def _encoded(column: pa.Array, path: str) -> pa.Array:
-    """The ids of each word. Bytes that aren't UTF-8 count as U+FFFD."""
-    tokenizer, found = _tokenizer(path), []
-    texts = [x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
-    for at in range(0, len(texts), 4096):
-        found += [x.ids for x in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-    return pa.array(found, pa.list_(pa.int32()))
-
-
 def pieces(spark, tokenizer: str | None = None) -> DataFrame:
     """The id-to-piece table (token, piece); its size is the vocabulary's."""
     known = _tokenizer(tokenizer or default_tokenizer()).get_vocab(with_added_tokens=True)
@@ -63,51 +63,166 @@ def pieces(spark, tokenizer: str | None = None) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def word_table(df: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(word, n, ids, decoded) of every distinct word: how often it occurs, its ids, and their pieces joined by spaces."""
-    path = tokenizer or default_tokenizer()
-    counted = df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    encode = F.arrow_udf(lambda column: _encoded(column, path), "array<int>").asNondeterministic()  # evaluated once
-    coded = cut(counted.withColumn("ids", encode("word")), "words")
-    at = coded.select("word", F.posexplode("ids").alias("pos", "token")).join(F.broadcast(pieces(df.sparkSession, path)), "token")
-    back = at.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pairs"))
-    decoded = back.select("word", F.array_join(F.transform("pairs", lambda x: x.piece), " ").alias("decoded"))
-    return cut(coded.join(decoded, "word", "left").select("word", "n", "ids", F.coalesce("decoded", F.lit("")).alias("decoded")), "words")
+def sizes(total: int) -> tuple[int, int]:
+    """(words of a block, number of buckets) for so many bytes of text."""
+    size = min(MOST_BYTES, max(LEAST_BYTES, int((total * ROW_BYTES) ** 0.5)))
+    return max(1, size // WORD_BYTES), max(1, -(-total // size))
 
 
-class _Hot:
-    """The frequent words' ids, as little-endian unsigned integers, and decoded texts."""
+def _squeezed(words: list[bytes]) -> bytes:
+    data = b"\n".join(words)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
 
-    def __init__(self, table: pa.Table):
-        ids = [np.array(x, "<u4").tobytes() for x in table.column("ids").to_pylist()]
-        decoded = table.column("decoded").cast(pa.binary()).to_pylist()
-        self.found = dict(zip(table.column("word").cast(pa.binary()).to_pylist(), zip(ids, decoded, strict=True), strict=True))
 
+def _opened(data: bytes) -> list[bytes]:
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True).split(b"\n")
 
-def _finished(ids: list[bytes], decoded: list[bytes], keep: tuple[str, ...]) -> tuple:
-    """A document's digests, and its ids and text if they are kept. A word without ids adds nothing, not even a space."""
-    flat, text = b"".join(ids), b" ".join(filter(None, decoded))
-    kept = ([np.frombuffer(flat, "<i4")] if "ids" in keep else []) + ([text] if "decoded" in keep else [])
-    return len(flat) // 4, hashlib.sha256(flat).hexdigest(), hashlib.sha256(text).hexdigest(), *kept
 
+class _Block:
+    """A block as it is filled: distinct words in order of first appearance, and documents as word numbers."""
 
-def _result(keep: tuple[str, ...]) -> tuple[str, list]:
-    fields = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    fields += [("ids", "array<int>", pa.list_(pa.int32()))] * ("ids" in keep) + [("decoded", "string", pa.string())] * ("decoded" in keep)
-    return ", ".join(f"{n} {t}" for n, t, _ in fields), [(n, t) for n, _, t in fields]
+    def __init__(self, number: int):
+        self.number, self.words, self.ids, self.counts, self.flat, self.held = number, {}, [], [], [], 0
 
+    def add(self, ids: list, counts: np.ndarray, distinct: list[bytes], numbers: np.ndarray) -> None:
+        used, place = np.unique(numbers, return_inverse=True)
+        own = np.fromiter((self.words.setdefault(distinct[i], len(self.words)) for i in used.tolist()), np.int32, len(used))
+        self.ids += ids
+        self.counts.append(counts)
+        self.flat.append(own[place.ravel()])
+        self.held += len(numbers)
 
-def _struct(rows: list[tuple | None], fields: list) -> pa.Array:
-    columns = zip(*(r or (None,) * len(fields) for r in rows), strict=True) if rows else [[]] * len(fields)
-    return pa.StructArray.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields], mask=pa.array([r is None for r in rows], pa.bool_()))
+    def rows(self, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
+        """One row with the documents, and one for each bucket that has a word; words are numbered anew, by bucket."""
+        words = list(self.words)
+        of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(of, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        full, start = np.unique(of[order], return_index=True)
+        lists = [_squeezed([words[i] for i in part.tolist()]) for part in np.split(order, start[1:])] if len(words) else []
+        n = len(lists)
+        numbers = pack(rank[np.concatenate(self.flat)]) if self.flat else pack(np.empty(0, np.uint32))
+        columns = {
+            "kind": pa.array(["docs"] + ["words"] * n), "block": pa.array([self.number] * (n + 1), pa.int64()), "bucket": pa.array([None, *full.tolist()], pa.int32()), "data": pa.array([numbers, *lists], pa.binary()),
+            "ids": pa.array([self.ids] + [None] * n, pa.list_(kind)), "counts": pa.array([np.concatenate(self.counts).tolist()] + [None] * n, pa.list_(pa.int32())),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _numbered(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of a batch of word lists, the number of the word at each position, and where each list ends."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    """Distinct words of a batch of word lists, the number of the word at each position, and the lengths of the lists."""
     coded = column.flatten().dictionary_encode()
-    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), column.value_lengths().to_numpy()
+
+
+def _gather(most: int, buckets: int):
+    def gather(batches):
+        block = _Block(TaskContext.get().partitionId() << 32)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            ids = batch.column("id").to_pylist()
+            distinct, numbers, counts = _numbered(batch.column("words"))
+            ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            at = 0
+            while at < len(ids):
+                # as many documents as fit, one at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + most - block.held, "right")) - 1)
+                block.add(ids[at:to], counts[at:to], distinct, numbers[ends[at] : ends[to]])
+                at = to
+                if block.held >= most:
+                    yield block.rows(buckets, kind)
+                    block = _Block(block.number + 1)
+            del distinct, numbers
+            give_back()
+        if block.ids:
+            yield block.rows(buckets, kind)
+
+    return gather
+
+
+def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids by word, ids in order). Bytes that aren't UTF-8 count as U+FFFD."""
+    tokenizer, ids = _tokenizer(path), []
+    for at in range(0, len(words), 4096):
+        part = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at : at + 4096]], add_special_tokens=False)
+        ids.append([x.ids for x in part])
+    counts = np.fromiter((len(x) for part in ids for x in part), np.uint32, len(words))
+    return counts, np.fromiter((i for part in ids for x in part for i in x), np.uint32, int(counts.sum()))
+
+
+def _encode_bucket(path: str):
+    def encode(key, table):
+        number: dict[bytes, int] = {}
+        asked = []
+        for data in table.column("data").to_pylist():
+            words = _opened(data)
+            asked.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        length, ids = encode_words(list(number), path)
+        del number
+        start = np.cumsum(length, dtype=np.int64) - length
+        lengths = [pack(length[words]) for words in asked]
+        found = [pack(ids[_spans(start[words], length[words])]) for words in asked]
+        give_back()
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(found, pa.binary())})
+
+    return encode
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions start[0], start[0] + 1, ... of each span in turn."""
+    length = length.astype(np.int64)
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def _distinct_ids(batches):
+    """(block, token) of the ids of each (block, bucket): what is to be decoded."""
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            tokens = np.unique(unpack(data, np.uint32)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), block, np.int64)), pa.array(tokens)], ["block", "token"])
+
+
+def _finish(keep: tuple[str, ...]):
+    def finish(key, docs, encoded):
+        encoded = encoded.sort_by("bucket")
+        none = [np.empty(0, np.uint32)]
+        length = np.concatenate([unpack(x, np.uint32) for x in encoded.column("lengths").to_pylist()] or none)
+        pool = np.concatenate([unpack(x, np.uint32) for x in encoded.column("ids").to_pylist()] or none)
+        start = np.cumsum(length, dtype=np.int64) - length
+        piece = dict(zip(docs.column("tokens")[0].as_py() or [], (x.encode() for x in docs.column("pieces")[0].as_py() or []), strict=True))
+        # a word's ids decode alike wherever it stands; a word without ids adds nothing, not even a space
+        parts = list(map(piece.__getitem__, pool.tolist()))
+        ends = (start + length).tolist()
+        decoded = [b" ".join(parts[a:b]) for a, b in zip(start.tolist(), ends, strict=True)]
+        void = bool((length == 0).any())
+        del parts
+        flat = unpack(docs.column("data")[0].as_py(), np.uint32)
+        tokens, shas, sums, texts, id_lists, at = [], [], [], [], [], 0
+        for count in docs.column("counts")[0].as_py():
+            mine = flat[at : at + count]
+            at += count
+            ids = pool[_spans(start[mine], length[mine])]
+            words = [decoded[i] for i in mine.tolist()]
+            text = b" ".join(filter(None, words) if void else words)
+            tokens.append(len(ids))
+            shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            sums.append(hashlib.sha256(text).hexdigest())
+            if "decoded" in keep:
+                texts.append(text)
+            if "ids" in keep:
+                id_lists.append(ids.astype(np.int32))
+        out = {"id": docs.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(tokens, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(sums, pa.string())}
+        if "ids" in keep:
+            out["ids"] = pa.array(id_lists, pa.list_(pa.int32()))
+        if "decoded" in keep:
+            out["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
+        del decoded, pool, flat
+        give_back()
+        return pa.table(out)
+
+    return finish
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -119,60 +234,22 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     """
     spark = df.sparkSession
     small_batches(spark)
-    table = word_table(df, text, tokenizer)
-    short = table.where(F.octet_length("word") <= HOT_BYTES)
-    frequent = short.orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids", "decoded").toArrow()
-    hot = spark.sparkContext.broadcast(_Hot(frequent))
-    rare = table.count() > frequent.num_rows
-    schema, fields = _result(keep)
-
-    def known(column: pa.Array) -> pa.Array:
-        """A document's result, null if it has a word that isn't broadcast."""
-        distinct, numbers, ends = _numbered(column)
-        found, out, start = [hot.value.found.get(w) for w in distinct], [], 0
-        numbers = numbers.tolist()
-        for end in ends.tolist():
-            mine = [found[i] for i in numbers[start:end]]
-            out.append(None if rare and None in mine else _finished([x for x, _ in mine], [y for _, y in mine], keep))
-            start = end
-        give_back()
-        return _struct(out, fields)
-
-    def missing(column: pa.Array) -> pa.Array:
-        """A document's distinct words that aren't broadcast."""
-        distinct, numbers, ends = _numbered(column)
-        cold = np.array([w not in hot.value.found for w in distinct], bool)
-        out, start = [], 0
-        for end in ends.tolist():
-            mine = numbers[start:end]
-            out.append([distinct[i] for i in np.unique(mine[cold[mine]]).tolist()])
-            start = end
-        return pa.array(out, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-
-    def joined(lists: pa.Array, cold: pa.Array) -> pa.Array:
-        """A document's result from the broadcast words and those (word, ids, decoded) that were joined."""
-        distinct, numbers, ends = _numbered(lists)
-        out, start, numbers = [], 0, numbers.tolist()
-        for end, own in zip(ends.tolist(), cold.to_pylist(), strict=True):
-            extra = {x["word"].encode(): (np.array(x["ids"], "<u4").tobytes(), x["decoded"].encode()) for x in own}
-            mine = [hot.value.found.get(distinct[i]) or extra[distinct[i]] for i in numbers[start:end]]
-            out.append(_finished([x for x, _ in mine], [y for _, y in mine], keep))
-            start = end
-        return _struct(out, fields)
-
-    # udfs that Spark takes for nondeterministic aren't evaluated once for each use of their result
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    if not rare:
-        return rows.select("id", F.arrow_udf(known, schema).asNondeterministic()(words("text")).alias("r")).select(F.col("id").alias(id_col), "r.*")
-    tried = rows.select("id", "text", F.arrow_udf(known, schema).asNondeterministic()(words("text")).alias("r"))
-    tried = cut(tried.select("id", F.when(F.col("r").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "r"), "documents")
-    rest = tried.where("text is not null").select("id", "text", F.monotonically_increasing_id().alias("row"))
-    rest = cut(rest.select("row", "id", "text", F.arrow_udf(missing, "array<string>").asNondeterministic()(words("text")).alias("cold")), "rest")
-    asked = rest.select("row", F.explode("cold").alias("word"))
-    met = asked.join(table.select("word", "ids", "decoded"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids", "decoded")).alias("cold"))
-    both = rest.select("row", "id", "text").join(met, "row")
-    done = both.select("id", F.arrow_udf(joined, schema).asNondeterministic()(words("text"), "cold").alias("r"))
-    return tried.where("text is null").select("id", "r").unionByName(done).select(F.col("id").alias(id_col), "r.*")
+    path = tokenizer or default_tokenizer()
+    most, buckets = sizes(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), words(text).alias("words"))
+    schema = f"kind string, block long, bucket int, data binary, ids array<{kind}>, counts array<int>"
+    blocks = scratch(spark, "blocks")
+    rows.mapInArrow(_gather(most, buckets), schema).write.partitionBy("kind").parquet(blocks)
+    both = spark.read.schema(schema).parquet(blocks)
+    lists = both.where("kind = 'words'").select("block", "bucket", "data")
+    encoded, _ = written(lists.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, bucket int, lengths binary, ids binary"), "encoded")
+    drop_path(spark, f"{blocks}/kind=words")
+    asked = encoded.select("block", "ids").mapInArrow(_distinct_ids, "block long, token int").distinct()
+    met = asked.join(F.broadcast(pieces(spark, path)), "token").groupBy("block").agg(F.collect_list(F.struct("token", "piece")).alias("met"))
+    docs = both.where("kind = 'docs'").select("block", "data", "ids", "counts").join(met, "block", "left").select("block", "data", "ids", "counts", F.col("met.token").alias("tokens"), F.col("met.piece").alias("pieces"))
+    result = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
+    return docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_finish(keep), result).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids: str = "ids", tokenizer: str | None = None) -> DataFrame:

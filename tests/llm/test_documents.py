@@ -115,11 +115,12 @@ def test_simhash_of_nothing(empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [0, 40, 1 << 18])
-def test_bpe_matches_the_library(docs, monkeypatch, hot):
+@pytest.mark.parametrize("size", [2000, 1 << 20])
+def test_bpe_matches_the_library(docs, monkeypatch, size):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "HOT", hot)  # words beyond these are joined by a shuffle
+    monkeypatch.setattr(bpe, "LEAST_BYTES", size)
+    monkeypatch.setattr(bpe, "MOST_BYTES", size)
     tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.decoded, r.ids) for r in bpe.encode_decode(docs, keep=("ids", "decoded")).collect())
     want = []
@@ -137,6 +138,11 @@ def test_bpe_decode_joins_pieces(spark, docs, empty):
     assert bpe.encode_decode(empty).count() == 0
 
 
+def test_bpe_rows_grow_with_the_input():
+    rows = [-(-total // (bpe.sizes(total)[0] * bpe.WORD_BYTES)) * bpe.sizes(total)[1] for total in (1 << 28, 1 << 30, 1 << 32, 1 << 34)]
+    assert all(3 < b / a < 5 for a, b in zip(rows, rows[1:]))
+
+
 def slow_repeats(rows, size):
     first = {}
     for i, text in rows:
