@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import drop_path, give_back, pack, scratch, small_batches, unpack, written
 
 #: A row for each block and bucket stands for so many bytes of text; blocks and buckets have between these sizes.
-ROW_BYTES = 32 << 10
-LEAST_BYTES, MOST_BYTES = 2 << 20, 32 << 20
+ROW_BYTES = 256 << 10
+LEAST_BYTES, MOST_BYTES = 8 << 20, 32 << 20
 #: Bytes of text for a word, its white space included: blocks are measured in words.
 WORD_BYTES = 6
 
@@ -93,19 +93,24 @@ class _Block:
         self.held += len(numbers)
 
     def rows(self, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
-        """One row with the documents, and one for each bucket that has a word; words are numbered anew, by bucket."""
+        """One row with the documents, and one for each bucket that has a word.
+
+        Words are numbered anew, the most frequent first: most numbers are small and compress well.
+        """
+        flat = np.concatenate(self.flat)
         words = list(self.words)
-        of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(of, kind="stable")
+        common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        words = [words[i] for i in common.tolist()]
         rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
+        rank[common] = np.arange(len(words), dtype=np.uint32)
+        of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
+        order = np.argsort(of, kind="stable")
         full, start = np.unique(of[order], return_index=True)
         lists = [_squeezed([words[i] for i in part.tolist()]) for part in np.split(order, start[1:])] if len(words) else []
         n = len(lists)
-        numbers = pack(rank[np.concatenate(self.flat)]) if self.flat else pack(np.empty(0, np.uint32))
         columns = {
-            "kind": pa.array(["docs"] + ["words"] * n), "block": pa.array([self.number] * (n + 1), pa.int64()), "bucket": pa.array([None, *full.tolist()], pa.int32()), "data": pa.array([numbers, *lists], pa.binary()),
-            "ids": pa.array([self.ids] + [None] * n, pa.list_(kind)), "counts": pa.array([np.concatenate(self.counts).tolist()] + [None] * n, pa.list_(pa.int32())),
+            "kind": pa.array(["docs"] + ["words"] * n), "block": pa.array([self.number] * (n + 1), pa.int64()), "bucket": pa.array([None, *full.tolist()], pa.int32()), "data": pa.array([pack(rank[flat]), *lists], pa.binary()),
+            "buckets": pa.array([pack(of)] + [None] * n, pa.binary()), "ids": pa.array([self.ids] + [None] * n, pa.list_(kind)), "counts": pa.array([np.concatenate(self.counts).tolist()] + [None] * n, pa.list_(pa.int32())),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -188,9 +193,12 @@ def _finish(keep: tuple[str, ...]):
     def finish(key, docs, encoded):
         encoded = encoded.sort_by("bucket")
         none = [np.empty(0, np.uint32)]
-        length = np.concatenate([unpack(x, np.uint32) for x in encoded.column("lengths").to_pylist()] or none)
+        found = np.concatenate([unpack(x, np.uint32) for x in encoded.column("lengths").to_pylist()] or none)
         pool = np.concatenate([unpack(x, np.uint32) for x in encoded.column("ids").to_pylist()] or none)
-        start = np.cumsum(length, dtype=np.int64) - length
+        # ids come by bucket, and within a bucket in the order of the words' numbers
+        order = np.argsort(unpack(docs.column("buckets")[0].as_py(), np.uint32), kind="stable")
+        length, start = np.empty(len(order), np.uint32), np.empty(len(order), np.int64)
+        length[order], start[order] = found, np.cumsum(found, dtype=np.int64) - found
         piece = dict(zip(docs.column("tokens")[0].as_py() or [], (x.encode() for x in docs.column("pieces")[0].as_py() or []), strict=True))
         # a word's ids decode alike wherever it stands; a word without ids adds nothing, not even a space
         parts = list(map(piece.__getitem__, pool.tolist()))
@@ -238,7 +246,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     most, buckets = sizes(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), words(text).alias("words"))
-    schema = f"kind string, block long, bucket int, data binary, ids array<{kind}>, counts array<int>"
+    schema = f"kind string, block long, bucket int, data binary, buckets binary, ids array<{kind}>, counts array<int>"
     blocks = scratch(spark, "blocks")
     rows.mapInArrow(_gather(most, buckets), schema).write.partitionBy("kind").parquet(blocks)
     both = spark.read.schema(schema).parquet(blocks)
@@ -247,7 +255,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     drop_path(spark, f"{blocks}/kind=words")
     asked = encoded.select("block", "ids").mapInArrow(_distinct_ids, "block long, token int").distinct()
     met = asked.join(F.broadcast(pieces(spark, path)), "token").groupBy("block").agg(F.collect_list(F.struct("token", "piece")).alias("met"))
-    docs = both.where("kind = 'docs'").select("block", "data", "ids", "counts").join(met, "block", "left").select("block", "data", "ids", "counts", F.col("met.token").alias("tokens"), F.col("met.piece").alias("pieces"))
+    docs = both.where("kind = 'docs'").select("block", "data", "buckets", "ids", "counts").join(met, "block", "left").select("block", "data", "buckets", "ids", "counts", F.col("met.token").alias("tokens"), F.col("met.piece").alias("pieces"))
     result = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
     return docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_finish(keep), result).withColumnRenamed("id", id_col)
 
