@@ -95,21 +95,24 @@ class _Block:
     def rows(self, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
         """One row with the documents, and one for each bucket that has a word.
 
-        Words are numbered anew, the most frequent first: most numbers are small and compress well.
+        Words are numbered anew, in order of first appearance, and a first appearance is written as zero: it is the
+        next number. Most other numbers are small and compress well.
         """
-        flat = np.concatenate(self.flat)
-        words = list(self.words)
-        common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        words = [words[i] for i in common.tolist()]
+        flat, words = np.concatenate(self.flat), list(self.words)
+        used, first = np.unique(flat, return_index=True)
+        known = used[np.argsort(first)]
+        words = [words[i] for i in known.tolist()]
         rank = np.empty(len(words), np.uint32)
-        rank[common] = np.arange(len(words), dtype=np.uint32)
+        rank[known] = np.arange(1, len(words) + 1, dtype=np.uint32)
+        coded = rank[flat]
+        coded[first] = 0
         of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
         order = np.argsort(of, kind="stable")
         full, start = np.unique(of[order], return_index=True)
         lists = [_squeezed([words[i] for i in part.tolist()]) for part in np.split(order, start[1:])] if len(words) else []
         n = len(lists)
         columns = {
-            "kind": pa.array(["docs"] + ["words"] * n), "block": pa.array([self.number] * (n + 1), pa.int64()), "bucket": pa.array([None, *full.tolist()], pa.int32()), "data": pa.array([pack(rank[flat]), *lists], pa.binary()),
+            "kind": pa.array(["docs"] + ["words"] * n), "block": pa.array([self.number] * (n + 1), pa.int64()), "bucket": pa.array([None, *full.tolist()], pa.int32()), "data": pa.array([pack(coded), *lists], pa.binary()),
             "buckets": pa.array([pack(of)] + [None] * n, pa.binary()), "ids": pa.array([self.ids] + [None] * n, pa.list_(kind)), "counts": pa.array([np.concatenate(self.counts).tolist()] + [None] * n, pa.list_(pa.int32())),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -206,7 +209,8 @@ def _finish(keep: tuple[str, ...]):
         decoded = [b" ".join(parts[a:b]) for a, b in zip(start.tolist(), ends, strict=True)]
         void = bool((length == 0).any())
         del parts
-        flat = unpack(docs.column("data")[0].as_py(), np.uint32)
+        flat = unpack(docs.column("data")[0].as_py(), np.uint32).astype(np.int64) - 1
+        flat[flat < 0] = np.arange(len(order))
         tokens, shas, sums, texts, id_lists, at = [], [], [], [], [], 0
         for count in docs.column("counts")[0].as_py():
             mine = flat[at : at + count]
