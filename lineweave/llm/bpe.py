@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import drop_path, give_back, pack, scratch, small_batches, unpack, written
 
 #: A row for each block and bucket stands for so many bytes of text; blocks and buckets have between these sizes.
-ROW_BYTES = 256 << 10
+ROW_BYTES = 512 << 10
 LEAST_BYTES, MOST_BYTES = 8 << 20, 32 << 20
 #: Bytes of text for a word, its white space included: blocks are measured in words.
 WORD_BYTES = 6
@@ -257,7 +257,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text: str = "text", tok
     lists = both.where("kind = 'words'").select("block", "bucket", "data")
     encoded, _ = written(lists.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, bucket int, lengths binary, ids binary"), "encoded")
     drop_path(spark, f"{blocks}/kind=words")
-    asked = encoded.select("block", "ids").mapInArrow(_distinct_ids, "block long, token int").distinct()
+    asked = encoded.select("block", "ids").mapInArrow(_distinct_ids, "block long, token int").repartition("block").distinct()  # one shuffle for all that follows
     met = asked.join(F.broadcast(pieces(spark, path)), "token").groupBy("block").agg(F.collect_list(F.struct("token", "piece")).alias("met"))
     docs = both.where("kind = 'docs'").select("block", "data", "buckets", "ids", "counts").join(met, "block", "left").select("block", "data", "buckets", "ids", "counts", F.col("met.token").alias("tokens"), F.col("met.piece").alias("pieces"))
     result = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
