@@ -8,6 +8,7 @@ of flat arrays: vectors, their rows and ids, the levels' neighbour lists. Querie
 from __future__ import annotations
 
 import heapq
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ SHARD = 4096
 LINKS = 16
 BUILD, SEARCH = 80, 160
 QUERY_BLOCK = 256
+#: Queries whose results are compared with all vectors, and the recall below which all queries are.
+AUDIT, RECALL = 100, 0.95
+
+_log = logging.getLogger(__name__)
 
 
 def usable(column: str):
@@ -29,6 +34,11 @@ def usable(column: str):
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: no cosine changes, and no product overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, in double precision, without overflow."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -160,7 +170,7 @@ def _read(row: dict) -> tuple[Graph, np.ndarray, list[list[tuple[int, int]]]]:
     links = [np.array(row["base"], np.int32).reshape(len(x), -1), *(np.array(u, np.int32).reshape(-1, LINKS) for u in row["upper"])]
     pairs, ends = list(zip(row["ids"], row["rows"], strict=True)), np.cumsum(row["sizes"]).tolist()
     members = [pairs[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    return Graph(unit(x), levels, links, row["entry"]), x, members
+    return Graph(unit(x), levels, links, row["entry"]), scaled(x), members
 
 
 def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, width: int = SEARCH) -> DataFrame:
@@ -180,21 +190,44 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     shards = max(1, -(-classes.count() // shard))
     index = cut(build_index(classes, shards), "hnsw")
     asked = table.where(F.col("id") % every == 0).withColumn("dim", F.size("vector"))
+    best = cut(_search(asked, index, shards, k, width), "nearest")
+    sample = asked.orderBy(F.xxhash64("row"), "row").limit(AUDIT)
+    recall = _recall(best, _search(sample, index, shards, k, None))
+    _log.info("audited recall %.4f", recall)
+    if recall < RECALL:
+        _log.warning("audited recall %.4f is below %.2f: queries are compared with all vectors", recall, RECALL)
+        best = _search(asked, index, shards, k, None)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+
+def _recall(found: DataFrame, truth: DataFrame) -> float:
+    """Share of the true results' number that ``found`` has at the last true score or above."""
+    last = truth.groupBy("row").agg(F.min("score").alias("last"), F.count("*").alias("n"))
+    hits = last.join(found.select("row", "score"), "row", "left").groupBy("row", "n").agg(F.least(F.count_if(F.col("score") >= F.col("last") - 1e-12), F.col("n")).alias("hits"))
+    got = hits.agg(F.sum("hits"), F.sum("n")).first()
+    return got[0] / got[1] if got[1] else 1.0
+
+
+def _search(asked: DataFrame, index: DataFrame, shards: int, k: int, width: int | None) -> DataFrame:
+    """(row, query_id, id, score, rank) of queries (row, id, vector, dim) in every shard's graph, or without ``width`` among all its vectors."""
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     in_blocks = asked.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "id", "vector")).alias("queries"))
     pairs = in_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(index, ["shard", "dim"])
 
     def search(batches):
+        of, opened = None, None  # rows of a shard come one after the other: it is opened once
         for batch in batches:
             for one in range(batch.num_rows):
-                row = {c: batch.column(c)[one].as_py() for c in batch.schema.names}
-                graph, x, members = _read(row)
-                near, norms = graph.lists(), np.linalg.norm(x, axis=1)
+                key = (batch.column("shard")[one].as_py(), batch.column("dim")[one].as_py())
+                if key != of:
+                    graph, x, members = _read({c: batch.column(c)[one].as_py() for c in batch.schema.names if c != "queries"})
+                    of, opened = key, (graph, graph.lists(), x, np.linalg.norm(x, axis=1), members)
+                graph, near, x, norms, members = opened
                 out = []
-                for q in row["queries"]:
-                    v = np.array(q["vector"])
-                    found = [j for _, j in graph.search(near, unit(v[None])[0], width)]
-                    exact = x[found] @ v / (norms[found] * np.linalg.norm(v))
+                for q in batch.column("queries")[one].as_py():
+                    v = scaled(np.array(q["vector"])[None])[0]
+                    found = [j for _, j in graph.search(near, unit(v[None])[0], width)] if width else range(len(x))
+                    exact = (x[found] if width else x) @ v / ((norms[found] if width else norms) * np.linalg.norm(v))
                     last = np.sort(exact)[-k - 1] if len(exact) > k else -2  # one of the best may hold the query alone
                     best = sorted((-float(s), i, r) for j, s in zip(found, exact, strict=True) if s >= last for i, r in members[j] if r != q["row"])
                     out += [(q["row"], q["id"], i, -s) for s, i, _ in best[:k]]
@@ -203,5 +236,4 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
 
     found = pairs.mapInArrow(search, "row long, query_id long, id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -172,3 +172,12 @@ def test_conversations_as_calls(spark):
     out = toolcalls.link(toolcalls.as_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), toolcalls.schemas(spark))
     got = {(r.conv_id, r.pos): (r.status, r.depth, r.valid) for r in out.collect()}
     assert got == {(1, 0): ("call", 0, True), (1, 1): ("linked", 1, None), (1, 2): ("call", 1, False), (1, 3): ("linked", 2, None), (2, 0): ("message", 0, None), (2, 1): ("call", 0, True), (2, 2): ("linked", 1, None)}
+
+
+@pytest.mark.parametrize("recall", [hnsw.RECALL, 2])
+def test_nearest_of_large_and_small_components(spark, monkeypatch, recall):
+    monkeypatch.setattr(hnsw, "RECALL", recall)  # no audit reaches 2: queries meet all vectors
+    rows = [(50, [1e200, 1e200]), (1, [1e200, 0.9e200]), (2, [1.0, 0.0]), (3, [1e-200, 1e-200]), (4, [-1e-300, 1e-300])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [3, 1, 2, 4]
+    assert [r.score for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx([1.0, 1.9 / np.sqrt(2 * 1.81), np.sqrt(0.5), 0.0], abs=1e-12)
