@@ -11,10 +11,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, small_batches, text_bytes
+from .common import crc_remainder, drop_path, small_batches, text_bytes, written
 
 #: Buckets of the hashed vocabulary, and the length of a word vector: a table of 4 MB.
 BUCKETS, WIDTH = 1 << 15, 32
@@ -26,6 +27,8 @@ HIDDEN = 32
 #: Scores from here on are predicted as label 1.
 CUT = 0.3
 _ROWS = 1024
+#: Tasks whose sums are added at once.
+FAN = 32
 
 
 def index_vectors(seed: int = 5) -> np.ndarray:
@@ -56,7 +59,7 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     """Word vectors from all documents, scaled to length 1: a table of fixed size.
 
     A word gathers the mean index vector of each document that it occurs in, once for each time. Tasks sum their
-    own documents, blocks of the table are then summed over tasks.
+    own documents; blocks of the table are then summed in a tree, ``FAN`` tasks at a time.
     """
 
     def gather(batches):
@@ -67,19 +70,28 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
                 if len(ids):
                     found, times = np.unique(ids, return_counts=True)
                     total[found] += np.outer(times, times.astype(np.float32) @ index[found] / len(ids))
+        task = TaskContext.get().partitionId()
         for at in range(0, BUCKETS, _ROWS):
             part = total[at : at + _ROWS]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["task", "at", "part"])
 
     def add(key, table):
         parts = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("part").to_pylist())
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([parts.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "at long, part binary"
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([parts.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "task long, at long, part binary"
+    sums, path = df.select(F.col(text)).mapInArrow(gather, schema), None
+    while True:
+        before, (sums, path) = path, written(sums.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "at").applyInArrow(add, schema), "sums")
+        if before:
+            drop_path(df.sparkSession, before)
+        if not sums.agg(F.max("task")).first()[0]:
+            break
     out = np.zeros((BUCKETS, WIDTH), np.float32)
-    for at, part in df.select(F.col(text)).mapInArrow(gather, schema).groupBy("at").applyInArrow(add, schema).collect():
+    for _, at, part in sums.collect():  # a table of fixed size
         out[at : at + _ROWS] = np.frombuffer(part, np.float32).reshape(-1, WIDTH)
+    drop_path(df.sparkSession, path)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -169,7 +181,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
 
     # the sample's size is bounded by the parameter, so it can be broadcast
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", features("text").alias("x"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "y", features("text").alias("x"))
     learnt = rows.toPandas().sort_values("id", kind="stable").drop_duplicates("id")
     net = QualityNet().fit(np.stack(learnt["x"]).astype(np.float64) if len(learnt) else np.empty((0, 2 * WIDTH + 2)), learnt["y"].to_numpy(np.float64))
     shipped = spark.sparkContext.broadcast(net)
