@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one, which is then set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and Spark is local (tests), a temporary one, which is then set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="lineweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

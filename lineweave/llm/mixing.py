@@ -7,6 +7,8 @@ that the kept tokens have the target shares in expectation. Cells are many fewer
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ POWER = 0.9
 ROUNDS = 12
 #: Rounds of raking between two written tables.
 STEP = 4
+#: A margin further off its target than this is reported.
+POOR_FIT = 0.01
+
+_log = logging.getLogger(__name__)
 
 
 def tokens(text: str = "text") -> Column:
@@ -59,9 +65,21 @@ def rake(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS, margins:
             out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"goal_{m}"), own), F.lit(0.0)))
         if turn % STEP == STEP - 1 or turn == rounds - 1:
             out = cut(out, "cells")
+    rest = residual(out, margins)
+    if rest > POOR_FIT:
+        _log.warning("after %d rounds a margin is %.4f off its target", rounds, rest)
     return out
 
 
+def residual(cells: DataFrame, margins: tuple[str, ...] = MARGINS) -> float:
+    """The largest distance of a margin's weight from its target, of cells as :func:`rake` returns them."""
+    worst = 0.0
+    for m in margins:
+        off = cells.groupBy(m, f"goal_{m}").agg(F.sum("weight").alias("w")).agg(F.max(F.abs(F.col("w") - F.col(f"goal_{m}")))).first()[0]
+        worst = max(worst, off or 0.0)
+    return worst
+
+
 def plan(rows: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
     """(margins, ``weight``, ``rate``) of each cell of rows (margins, tokens).
 
