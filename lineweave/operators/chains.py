@@ -12,9 +12,12 @@ from ..functions.canonical import canonical_hash
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from the shared folder, where its lineage ends; a folder of its own where ``spark.checkpoint.dir`` is unset."""
+    """``df`` from the shared folder, where its lineage ends; a temporary one where ``spark.checkpoint.dir`` is unset and Spark is local."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineweave-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    folder = folder or tempfile.mkdtemp(prefix="lineweave-")
     path = f"{folder.rstrip('/')}/lineweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
