@@ -137,7 +137,9 @@ def inverted_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_ops.ordered(plan_ops.invert(_plan(spark, sf_dir))).select("id", "type", "file", "line", "original", "replacement")
 
 
-@query()
+@query(f"""WITH {_PLAN}, h6 AS (SELECT sha256(to_json({{file: file, line: line, original: original, replacement: replacement, token: NULL, type: coalesce(type, 'replace')}})::VARCHAR) AS h FROM c),
+  h4 AS (SELECT substr(h, 1, 6) || sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h6 GROUP BY substr(h, 1, 6)), h2 AS (SELECT substr(h, 1, 4) || sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h4 GROUP BY substr(h, 1, 4)),
+  h0 AS (SELECT substr(h, 1, 2) || sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h2 GROUP BY substr(h, 1, 2)) SELECT sha256(string_agg(h, ',' ORDER BY h)) AS plan_hash FROM h0""")
 def plan_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_ops.plan_hash(_plan(spark, sf_dir))
 
@@ -173,7 +175,8 @@ def applied_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_ops.apply(*_text_and_plan(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_TEXT_PLAN}, m AS (SELECT file, line, min_by(replacement, id) AS text FROM p GROUP BY ALL), n AS (SELECT file, unnest(range(1, max(line) + 1))::INT AS line FROM m GROUP BY file)
+  SELECT file, string_agg(coalesce(m.text, ''), chr(10) ORDER BY n.line) AS text FROM n LEFT JOIN m USING (file, line) GROUP BY file""")
 def rehydrated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_ops.rehydrate(_text_and_plan(spark, sf_dir)[1])
 

@@ -6,7 +6,7 @@ import json
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPTIONS = {"ignoreNullFields": "false"}
@@ -25,11 +25,62 @@ def canonical_json(**fields: Column) -> Column:
     return text
 
 
+def ascii_json(c: Column) -> Column:
+    """JSON text with each character outside ASCII written as an escape, in surrogate pairs beyond the first plane."""
+
+    def escaped(ch: Column) -> Column:
+        code = F.ascii(ch)
+        unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+        high, low = F.floor((code - 0x10000) / 1024) + 0xD800, (code - 0x10000) % 1024 + 0xDC00
+        return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).otherwise(F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), escaped), ""))
+
+
 def canonical_hash(**fields: Column) -> Column:
     """SHA-256 of the canonical JSON, in hex."""
     return F.sha2(canonical_json(**fields).cast("binary"), 256)
 
 
+#: Digits of a hash that group it, from the leaves of :func:`set_digest` to its root.
+LEVELS = (6, 4, 2, 0)
+
+
+def set_digest(hashes: DataFrame, name: str) -> DataFrame:
+    """One row: the hash of a table (h) of hex hashes in whatever order, repeats counted.
+
+    A tree of digests with up to 256 children a node: of n hashes a leaf gathers about n / 16 million. No hashes
+    have the digest of the empty text.
+    """
+    out = hashes.select("h")
+    for digits in LEVELS:
+        joined = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary"), 256)
+        group = F.substring("h", 1, digits).alias("at")
+        grouped = out.groupBy(group).agg(joined.alias("d")) if digits else out.agg(joined.alias("d"))
+        out = grouped.select((F.concat("at", "d") if digits else F.col("d")).alias("h"))
+    return out.withColumnRenamed("h", name)
+
+
+def pretty_json(**fields: Column) -> Column:
+    """An object of plain values for people: sorted keys, one a line, two spaces before, a newline at the end."""
+    members = []
+    for k in sorted(fields):
+        whole = canonical_json(**{k: fields[k]})  # {"key":value}
+        mark = len(k) + 5
+        members.append(F.concat(F.lit(f'  "{k}": '), F.substring(whole, mark, F.length(whole) - mark)))
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *members), F.lit("\n}\n"))
+
+
+def iso_time(ts: Column) -> Column:
+    """A time in UTC to the second as text. Times stay out of what is hashed."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def file_time(ts: Column) -> Column:
+    """:func:`iso_time` fit for file names."""
+    return F.replace(iso_time(ts), F.lit(":"), F.lit("-"))
+
+
 def canonical_text(document: Column, normal: bool = False) -> Column:
     """Canonical JSON of JSON text of any shape, absent keys and nulls kept apart; ``normal`` also applies NFC and LF.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_hash
+from ..functions.canonical import canonical_hash, set_digest
 from ..functions.text import strip
 
 KINDS = ("replace", "helper", "helper_remove")
@@ -54,8 +54,7 @@ def stats(changes: DataFrame) -> DataFrame:
 def plan_hash(changes: DataFrame) -> DataFrame:
     """One row: a hash that doesn't depend on the order of the changes."""
     one = canonical_hash(**{c: F.col(c) for c in ("file", "line", "original", "replacement", "token")}, type=kind())
-    parts = changes.select(one.alias("h")).groupBy(F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "d"))), ",").cast("binary"), 256).alias("plan_hash"))
+    return set_digest(changes.select(one.alias("h")), "plan_hash")
 
 
 def ordered(changes: DataFrame) -> DataFrame:
@@ -122,6 +121,23 @@ def rehydrate(changes: DataFrame) -> DataFrame:
     return whole.select("file", F.array_join(F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))), "\n").alias("text"))
 
 
+def copied(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(file, text): files rebuilt from a stored state (file, text), those in ``kept`` (file) alone if it is given.
+
+    A path that leaves the target's root fails the query; of repeated paths, which a state shouldn't hold, all are copied.
+    """
+    from .execution import unsafe
+
+    safe = F.when(unsafe(F.col("file")), F.raise_error(F.lit("path outside its root"))).otherwise(F.col("file"))
+    chosen = files if kept is None else files.join(kept.select("file").distinct(), "file", "left_semi")
+    return chosen.select(safe.alias("file"), "text")
+
+
+def minimal(changes: DataFrame) -> DataFrame:
+    """A plan as read from CSV in the plan's order; it has no times, so that equal tables give equal plans."""
+    return ordered(changes)
+
+
 def missing_helpers(changes: DataFrame, available: DataFrame) -> DataFrame:
     """Helpers that a plan refers to and nobody has."""
     return changes.where("helper_ref is not null").select("helper_ref").distinct().join(available.select("helper_ref"), "helper_ref", "left_anti")

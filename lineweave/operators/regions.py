@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_hash
 from ..functions.text import line_column
+from . import chains
 
 # The states' bits, and what a region looks like.
 STATES = {"ORIGINAL": 0, "MODIFIED": 1, "REVISION": 2, "REQUIRED": 4, "ELLIOT_NESS": 8, "IGNORE": 16}
@@ -108,6 +110,36 @@ def reconcile(before: DataFrame, after: DataFrame, file: str = "file", semantic:
     return a.join(b, [file, "id"], "full_outer").select(file, "id", status.alias("status"))
 
 
+def file_changes(snapshots: DataFrame, scope: str, order: str, file: str = "file", semantic: tuple[str, ...] = ("state", "original", "modified", "hash")) -> DataFrame:
+    """(scope, order, file, status, before, after): files whose regions differ from the snapshot before.
+
+    ``snapshots`` has a row for each region of a scope's snapshot, snapshots numbered without a gap; ``before`` and
+    ``after`` are hashes of the set of a file's regions by id and meaning, null where the file has none. A move
+    within a file, and a repeated region, is no change.
+    """
+    state = canonical_hash(**{c: F.col(c) for c in ("id", *semantic)})
+    once = snapshots.select(scope, order, file, state.alias("h")).distinct()
+    sets = once.groupBy(scope, order, file).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary"), 256).alias("after"))
+    # a state of the snapshot before is the one that this snapshot starts from
+    last = snapshots.groupBy(scope).agg(F.max(order).alias("_last"))
+    ahead = sets.select(scope, (F.col(order) + 1).alias(order), file, F.col("after").alias("before")).join(last, scope).where(F.col(order) <= F.col("_last")).drop("_last")
+    both = sets.join(ahead, [scope, order, file], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
+    return both.select(scope, order, file, status.alias("status"), "before", "after")
+
+
+def history(snapshots: DataFrame, scope: str, order: str, file: str = "file", semantic: tuple[str, ...] = ("state", "original", "modified", "hash")) -> DataFrame:
+    """(scope, order, files, changes_hash, sequence, previous_hash, state_hash): one entry for each snapshot that changes a file.
+
+    Entries are numbered from 0 and name the entry before by hash; ``chains.verify_chain`` checks them.
+    """
+    one = canonical_hash(file=F.col(file).cast("string"), status=F.col("status"), before=F.col("before"), after=F.col("after"))
+    changed = file_changes(snapshots, scope, order, file, semantic).select(scope, order, one.alias("h"))
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary"), 256)
+    entries = changed.groupBy(scope, order).agg(F.count("*").alias("files"), digest.alias("changes_hash"))
+    return chains.chain(entries, scope, order, [order, "changes_hash"])
+
+
 def intact(regions: DataFrame, manifest: DataFrame, file: str = "file") -> DataFrame:
     """(file, id, ok): every region of a manifest is there with the same hash."""
     now = regions.select(file, "id", F.col("hash").alias("now"))

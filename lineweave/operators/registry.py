@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import ascii_json, canonical_json
+
 PAGE, FEED = 20, 100
 
 
@@ -92,3 +94,36 @@ def ingestion_errors(limits: dict[str, int]) -> Column:
 
 # What an archive may hold.
 LIMITS = {"entries": 10_000, "bytes": 128 << 20, "ratio": 1_000, "ratio_floor": 1 << 20}
+
+
+def signed_subset(manifests: DataFrame) -> Column:
+    """The canonical JSON of what a signature binds: the payload's type and hash, execution, lineage, and regions if there are any.
+
+    Characters outside ASCII are escaped, as signers write them.
+    """
+    fields = {"payload_hash_algorithm": F.col("payload.hash.algorithm"), "payload_hash_value": F.col("payload.hash.value"), "payload_type": F.col("payload.type"), "execution": F.col("execution"), "lineage": F.col("lineage")}
+    plain = canonical_json(**fields)
+    if "regions" in manifests.columns:
+        plain = F.when(F.col("regions").isNull(), plain).otherwise(canonical_json(**fields, regions=F.col("regions")))
+    return ascii_json(plain)
+
+
+def bundle(plans: DataFrame, plan: str = "plan") -> DataFrame:
+    """Plans (canonical JSON) with ``hash``, sha256: and the hash of the plan, and ``bundle``, the JSON that carries both.
+
+    Bundles hold no time, so that equal plans make equal bundles; keys are sorted.
+    """
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.col(plan).cast("binary"), 256))
+    whole = F.concat(F.lit('{"hash":"'), digest, F.lit('","plan":'), F.col(plan), F.lit(',"version":"1.0"}'))
+    return plans.withColumns({"hash": digest, "bundle": whole})
+
+
+def key_count(keys: DataFrame) -> DataFrame:
+    """One row: the number of keys in the store."""
+    return keys.agg(F.count("*").alias("keys"))
+
+
+def latest(files: DataFrame, by: str, modified: str = "modified") -> DataFrame:
+    """The file changed last for each ``by``; of equal times the largest path."""
+    rest = F.struct(*(c for c in files.columns if c != by))
+    return files.groupBy(by).agg(F.max_by(rest, F.struct(modified, "path")).alias("r")).select(by, "r.*")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_hash
+from ..functions.canonical import canonical_hash, set_digest
 from ..functions.text import normal_line, split_lines
 
 #: More changed lines than this make one whole-file change.
@@ -70,12 +70,10 @@ def normalized(files: DataFrame, key: str = "path") -> DataFrame:
 def diff_hash(files: DataFrame, key: str = "path") -> DataFrame:
     """One row: the hash of a normalised diff, the same in whatever order files and changes come.
 
-    Files are hashed one by one; what is gathered is one hash for each, sorted by path.
+    Files are hashed one by one, and their hashes in a tree.
     """
-    per_file = normalized(files, key).select(F.col(key).cast("string").alias("path"), canonical_hash(path=F.col(key).cast("string"), status=F.col("status"), changes=F.col("changes")).alias("h"))
-    # 256 partial digests keep the last gathering small however many files there are
-    parts = per_file.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "h"))), ",").cast("binary"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "d"))), ",").cast("binary"), 256).alias("diff_hash"))
+    one = canonical_hash(path=F.col(key).cast("string"), status=F.col("status"), changes=F.col("changes"))
+    return set_digest(normalized(files, key).select(one.alias("h")), "diff_hash")
 
 
 def to_plan(files: DataFrame, key: str = "path", most: int = WHOLE_FILE) -> DataFrame:

@@ -124,3 +124,28 @@ def store_by_content(payloads: DataFrame, path: str, have: DataFrame | None = No
 def read_store(spark, path: str) -> DataFrame:
     """Payloads with ``intact``: whether the content still has its hash."""
     return spark.read.parquet(path).withColumn("intact", F.col("hash") == F.sha2("content", 256)).drop("s1", "s2")
+
+
+def read_helper_csv(spark, path: str) -> DataFrame:
+    """(helper, target, line) from CSV with columns helper_file, target_file, line; a line that is no number fails the query."""
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    return raw.select(F.col("helper_file").alias("helper"), F.col("target_file").alias("target"), F.col("line").cast("int").alias("line"))
+
+
+def regions_by_file(found: DataFrame, version: int = 1) -> DataFrame:
+    """(file, value): one JSON object a file, keys sorted, its regions in order of place, then id."""
+    fields = sorted(c for c in found.columns if c != "file")
+    lists = found.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "start_column", "id", F.struct(*fields).alias("r")))), lambda x: x["r"]).alias("regions"))
+    return lists.select("file", F.to_json(F.struct("file", "regions", F.lit(version).alias("version")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_regions_json(found: DataFrame, path: str, version: int = 1) -> None:
+    """Regions as JSON lines, a file a line in order of paths."""
+    regions_by_file(found, version).orderBy("file").select("value").write.text(path)
+
+
+def read_regions_json(spark, path: str, region: str) -> DataFrame:
+    """(file, region's fields) from :func:`write_regions_json`; ``region`` is the DDL of a region's fields without the file."""
+    fields = ", ".join(c.strip().replace(" ", ":", 1) for c in region.split(","))
+    rows = spark.read.schema(f"file string, regions array<struct<{fields}>>").json(path)
+    return rows.select("file", F.inline("regions"))
