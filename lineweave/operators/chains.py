@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from the shared folder, where its lineage ends; a temporary one where ``spark.checkpoint.dir`` is unset and Spark is local."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    folder = folder or tempfile.mkdtemp(prefix="lineweave-")
-    path = f"{folder.rstrip('/')}/lineweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..functions.shared import written
 
 
 def chain(entries: DataFrame, scope: str, order: str, payload: list[str]) -> DataFrame:
@@ -86,16 +72,16 @@ def walk(artifacts: DataFrame, starts: DataFrame, node: str = "hash", parent: st
     has met ends a cycle. With ``depth`` it goes so many steps at most, round a cycle too.
     """
     own = artifacts.select(F.col(node).alias("node"), F.col(parent).alias("up"))
-    known = _written(own.select("node").where("node is not null").distinct(), "artifacts")
-    jump = _written(own.join(known.withColumnRenamed("node", "up"), "up", "left_semi").select("node", "up").distinct(), "jumps")
+    known = written(own.select("node").where("node is not null").distinct(), "artifacts")
+    jump = written(own.join(known.withColumnRenamed("node", "up"), "up", "left_semi").select("node", "up").distinct(), "jumps")
     begun = starts.select(F.col(node).alias("start")).distinct().join(known.withColumnRenamed("node", "start"), "start", "left_semi")
-    now = _written(begun.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "walks")
+    now = written(begun.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "walks")
     most, step = known.count() - 1 if depth is None else depth, 1
     while step <= most and jump.limit(1).count():
         further = now.join(jump, "node").select("start", F.col("up").alias("node"), (F.col("depth") + step).alias("depth")).where(F.col("depth") <= most)
         both = now.unionByName(further)
-        now = _written(both.groupBy("start", "node").agg(F.min("depth").alias("depth")) if depth is None else both.distinct(), "walks")
-        jump = _written(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up")).distinct(), "jumps")
+        now = written(both.groupBy("start", "node").agg(F.min("depth").alias("depth")) if depth is None else both.distinct(), "walks")
+        jump = written(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up")).distinct(), "jumps")
         step *= 2
     return now
 
@@ -105,12 +91,12 @@ def approved_keys(keys: DataFrame, approvals: DataFrame) -> DataFrame:
 
     Keys are reached level by level until none is new, so chains have any length and cycles end.
     """
-    signed = _written(approvals.where("key_id is not null and key_id != signer").select("signer", F.col("key_id").alias("signed")).distinct(), "approvals")
-    now, turn = _written(keys.agg(F.min_by("key_id", "ord").alias("key_id")).where("key_id is not null").withColumn("depth", F.lit(0)), "reached"), 0
+    signed = written(approvals.where("key_id is not null and key_id != signer").select("signer", F.col("key_id").alias("signed")).distinct(), "approvals")
+    now, turn = written(keys.agg(F.min_by("key_id", "ord").alias("key_id")).where("key_id is not null").withColumn("depth", F.lit(0)), "reached"), 0
     while now.where(F.col("depth") == turn).limit(1).count():
         ahead = now.where(F.col("depth") == turn).join(signed, F.col("key_id") == F.col("signer")).select(F.col("signed").alias("key_id")).distinct()
         turn += 1
-        now = _written(now.unionByName(ahead.join(now, "key_id", "left_anti").withColumn("depth", F.lit(turn))), "reached")
+        now = written(now.unionByName(ahead.join(now, "key_id", "left_anti").withColumn("depth", F.lit(turn))), "reached")
     return now
 
 

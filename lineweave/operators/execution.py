@@ -68,7 +68,7 @@ def verify_execution(expected: DataFrame, observed: DataFrame, strict: bool = Fa
     """One row on two diffs (path, status, changes): files, hashes, matched changes, ``verified``.
 
     Equal hashes decide; only where they differ do the counts of changes say by how much. Strict mode also fails on
-    files that one side alone has, which differing hashes always show.
+    files that one side alone has, which differing hashes always show. Both diffs are read several times: give tables.
     """
     sides = {"expected": expected, "observed": observed}
     block = lambda df: df.select("path", F.posexplode("changes").alias("n", "c")).select("path", F.to_json("c.before").alias("before"), F.to_json("c.after").alias("after"), F.struct("c.start_line", "n").alias("ord"))
