@@ -18,6 +18,8 @@ MARGINS = ("source", "lang", "topic")
 #: A margin's target share of a category is its share of tokens to this power: 1 keeps the mix, 0 levels it.
 POWER = 0.9
 ROUNDS = 12
+#: A category with a smaller share of the tokens doesn't set the scale of the rates: its documents are kept whole instead.
+SMALL = 0.001
 #: Rounds of raking between two written tables.
 STEP = 4
 #: A margin further off its target than this is reported.
@@ -83,13 +85,19 @@ def residual(cells: DataFrame, margins: tuple[str, ...] = MARGINS) -> float:
 def plan(rows: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
     """(margins, ``weight``, ``rate``) of each cell of rows (margins, tokens).
 
-    Rates are scaled so that the cell that is scarcest against its weight keeps all its documents.
+    Rates are scaled so that the cell that is scarcest against its weight keeps all its documents. Cells of a source,
+    language or topic with less than ``SMALL`` of the tokens don't set that scale, else one stray document would thin
+    out all others: where they would need more than all their documents, they keep all. If every cell is one of
+    these, all set the scale.
     """
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     raked = rake(cells, power, rounds)
-    over = raked.withColumn("over", F.try_divide("weight", F.col("tokens").cast("double")))
-    most = over.agg(F.max("over")).first()[0] or 1.0
-    return over.select(*MARGINS, "weight", F.coalesce(F.col("over") / F.lit(most), F.lit(1.0)).alias("rate"))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    rare = [F.sum("tokens").over(Window.partitionBy(m)) < F.lit(SMALL * total) for m in MARGINS]
+    over = raked.withColumns({"over": F.try_divide("weight", F.col("tokens").cast("double")), "rare": rare[0] | rare[1] | rare[2]})
+    common, every = over.agg(F.max(F.when(~F.col("rare"), F.col("over"))), F.max("over")).first()
+    most = common or every or 1.0
+    return over.select(*MARGINS, "weight", F.coalesce(F.least(F.col("over") / F.lit(most), F.lit(1.0)), F.lit(1.0)).alias("rate"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", power: float = POWER, rounds: int = ROUNDS) -> DataFrame:

@@ -46,8 +46,9 @@ def _mixing() -> str:
         for m in mixing.MARGINS:
             step += 1
             parts.append(f"r{step} AS MATERIALIZED (SELECT * REPLACE (coalesce(w * goal_{m} / nullif(sum(w) OVER (PARTITION BY {m}), 0), 0) AS w) FROM r{step - 1})")
-    parts.append(f"o AS (SELECT source, lang, topic, w / nullif(t, 0) AS o FROM r{step})")
-    parts.append("rates AS (SELECT *, coalesce(o / (SELECT max(o) FROM o), 1) AS rate FROM o)")
+    rare = " OR ".join(f"sum(t) OVER (PARTITION BY {m}) < {mixing.SMALL} * sum(t) OVER ()" for m in mixing.MARGINS)
+    parts.append(f"o AS (SELECT source, lang, topic, w / nullif(t, 0) AS o, {rare} AS rare FROM r{step})")
+    parts.append("rates AS (SELECT *, coalesce(least(o / (SELECT coalesce(max(o) FILTER (NOT rare), max(o)) FROM o), 1), 1) AS rate FROM o)")
     draw = "('0x' || substr(md5('mix' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
     on = " AND ".join(f"d.{m} IS NOT DISTINCT FROM x.{m}" for m in mixing.MARGINS)
     return f"WITH {', '.join(parts)} SELECT doc_id, d.source, d.lang, d.topic, tokens, round(rate, 6) AS rate, {draw} < rate AS chosen FROM d JOIN rates x ON {on}"

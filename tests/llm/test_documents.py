@@ -308,6 +308,17 @@ def test_mixture_fits_the_margins(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_a_tiny_source_does_not_thin_out_the_rest(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    usual = [(i, "a few plain words " * 50, "en" if i % 4 else "de", "web" if i % 3 else "books") for i in range(600)]
+    rates = lambda rows: {r.row.doc_id: r.rate for r in mixing.mix(spark.createDataFrame(rows, schema)).collect()}
+    before, after = rates(usual), rates([*usual, (1000, "one stray note here", "la", "stray")])
+    assert max(after.values()) == 1.0 and after[1000] == 1.0
+    assert all(after[i] == pytest.approx(before[i], rel=0.05) for i in before)
+    few = [(i, f"word {i}", "en", f"s{i}") for i in range(2000)]  # every source is tiny: all set the scale
+    assert all(0 < r <= 1 for r in rates(few).values())
+
+
 def test_components_and_packing(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)] + [(2000, 2000 + i) for i in range(1, 300)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "src long, dst long").repartition(7)).collect()}
