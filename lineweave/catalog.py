@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_execution, catalog_records, catalog_text
+from . import catalog_execution, catalog_files, catalog_records, catalog_text
 
 FLAGSHIP = "goals_from_findings"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_text.QUERIES | catalog_records.QUERIES | catalog_execution.QUERIES
-ORACLES: dict[str, str] = catalog_text.ORACLES | catalog_records.ORACLES | catalog_execution.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_text.QUERIES | catalog_records.QUERIES | catalog_execution.QUERIES | catalog_files.QUERIES
+ORACLES: dict[str, str] = catalog_text.ORACLES | catalog_records.ORACLES | catalog_execution.ORACLES | catalog_files.ORACLES

@@ -209,7 +209,13 @@ def carried_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.findings(rows.withColumn("line", _carried(F.col("line"), F.col("line_no"))), "doc_id")
 
 
-@query()
+_CANDIDATE = rf"{_class('text')} = 'human' AND length(text) >= 3 AND regexp_matches(text, '\pL') AND contains(text, ' ')"
+_HTML = f"((contains(lower(text), '<') AND contains(lower(text), '>')) OR {_any('lower(text)', cl.HTML_SIGNS)})"
+_CONSTANT = f"(len(list_filter({_words('text')}, lambda w: contains(w, '_') AND upper(w) = w AND lower(w) <> w)) > 0)"
+
+
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no, replace(line, chr(39), '') AS text FROM lines)
+  SELECT doc_id, line_no, 0 AS n, text, upper({_class('text')}) AS type FROM t WHERE {_CANDIDATE} AND NOT {_SKIP} AND NOT {_BIN} AND NOT {_HTML} AND NOT {_CONSTANT} AND NOT {_any('text', cl.CODE_SIGNS)}""")
 def quoted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tx.lines(documents(spark, sf_dir), "doc_id")
     return detect.findings(rows.withColumn("line", F.concat(F.lit("x = '"), F.replace("line", F.lit("'"), F.lit("")), F.lit("' + y"))), "doc_id")
@@ -358,7 +364,9 @@ def marked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.extract(_marked(spark, sf_dir).where("body != ''")).drop("id", "end_column")
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id || ':' || turn AS file, turn, regexp_replace(text, '["#]', '', 'g') AS body FROM conversations WHERE text IS NOT NULL)
+  SELECT file, 1 AS line, 1 AS "column", 'closing mark without an opening' AS message FROM t WHERE turn % 2 = 0
+  UNION ALL SELECT file, 2, (17 + length((turn % 40)::VARCHAR))::INT, 'empty region' FROM t WHERE body = ''""")
 def region_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = _marked(spark, sf_dir).withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"#]} '), "text")).otherwise(F.col("text")))
     return regions.errors(broken)

@@ -15,7 +15,8 @@ _OPTIONS = {"ignoreNullFields": "false"}
 def canonical_json(**fields: Column) -> Column:
     """An object with sorted keys, no spaces and no ASCII escaping; null fields are written as null.
 
-    Spark writes control characters with upper-case hex digits, JSON's usual writers with lower-case ones.
+    Spark writes control characters with upper-case hex digits, JSON's usual writers with lower-case ones. Objects
+    inside keep their fields' order; where that matters, :func:`canonical_text` of the result sorts them.
     """
     text = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), _OPTIONS)
     for code in (11, 14, 15, *range(26, 32)):

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from the shared folder, where its lineage ends; a temporary one where ``spark.checkpoint.dir`` is unset and Spark is local."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; below a temporary one where ``spark.checkpoint.dir`` is unset and Spark is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    folder = folder or tempfile.mkdtemp(prefix="lineweave-")
-    path = f"{folder.rstrip('/')}/lineweave/{name}-{uuid.uuid4().hex}"
+    shared = shared or tempfile.mkdtemp(prefix="lineweave-")
+    return f"{shared.rstrip('/')}/lineweave/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from the shared folder, where its lineage ends."""
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

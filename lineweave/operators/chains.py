@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_hash
+from ..functions.canonical import canonical_hash, canonical_json, canonical_text
 from ..functions.shared import written
 
 
@@ -30,8 +30,9 @@ def verify_chain(entries: DataFrame, scope: str, payload: list[str]) -> DataFram
 
 
 def provenance_hash(history: Column, version: Column) -> Column:
-    """The hash of a provenance record without its own hash field."""
-    return canonical_hash(history=history, provenance_version=version)
+    """The hash of a provenance record without its own hash field; the keys of its steps are sorted too."""
+    record = canonical_json(history=history, provenance_version=version)
+    return F.sha2(canonical_text(record).cast("binary"), 256)
 
 
 def append_provenance(records: DataFrame, step: Column) -> DataFrame:
