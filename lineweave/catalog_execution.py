@@ -148,6 +148,11 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", iso_time(F.col("ts")).alias("iso"))
 
 
-@query()
+_UNIT = r"chr(92) || 'u' || lpad(lower(to_hex({})), 4, '0')"
+_ESCAPED = f"""CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN {_UNIT.format("unicode(c)")}
+  ELSE {_UNIT.format("(unicode(c) - 65536) // 1024 + 55296")} || {_UNIT.format("(unicode(c) - 65536) % 1024 + 56320")} END"""
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN text IS NULL THEN '{{}}' ELSE array_to_string(list_transform(regexp_extract_all(to_json({{text: text}})::VARCHAR, '(?s).'), lambda c: {_ESCAPED}), '') END AS json FROM conversations""")
 def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ascii_json(F.to_json(F.struct("text"))).alias("json"))

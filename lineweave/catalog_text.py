@@ -384,6 +384,6 @@ def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.normal_line("text").alias("text"))
 
 
-@query()
+@query("SELECT event_id, sha256(json(props)::VARCHAR) AS hash FROM events")
 def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.sha2(canonical_text(F.col("props")).cast("binary"), 256).alias("hash"))

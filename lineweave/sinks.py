@@ -112,18 +112,20 @@ def write_dictionary_csv(words: DataFrame, path: str) -> None:
 
 
 def store_by_content(payloads: DataFrame, path: str, have: DataFrame | None = None) -> None:
-    """Append payloads (hash, content) that the store lacks, in two levels of folders by the hash."""
+    """Append payloads (hash, content) that the store lacks, in 256 folders by the hash's first two digits.
+
+    A second level would make a file for almost every payload; up to 16 tasks write a folder instead.
+    """
     new = payloads.dropDuplicates(["hash"])
     if have is not None:
         new = new.join(have.select("hash"), "hash", "left_anti")
-    shards = {"s1": F.substring("hash", 1, 2), "s2": F.substring("hash", 3, 2)}
-    # one task for each first level keeps the number of files in proportion to folders
-    new.withColumns(shards).repartition("s1").write.mode("append").partitionBy("s1", "s2").parquet(path)
+    shard = F.substring("hash", 1, 2)
+    new.withColumn("shard", shard).repartition("shard", F.substring("hash", 3, 1)).write.mode("append").partitionBy("shard").parquet(path)
 
 
 def read_store(spark, path: str) -> DataFrame:
     """Payloads with ``intact``: whether the content still has its hash."""
-    return spark.read.parquet(path).withColumn("intact", F.col("hash") == F.sha2("content", 256)).drop("s1", "s2")
+    return spark.read.parquet(path).withColumn("intact", F.col("hash") == F.sha2("content", 256)).drop("shard")
 
 
 def read_helper_csv(spark, path: str) -> DataFrame:
