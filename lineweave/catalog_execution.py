@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_text import table
 from .functions.canonical import ascii_json, iso_time, pretty_json
 from .functions.shared import written
-from .operators import execution, plan_ops, regions, registry
+from .operators import execution, plan_ops, regions, registry, seqdiff
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,23 @@ _ESCAPED = f"""CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN {_
 @query(f"""SELECT conv_id, turn, CASE WHEN text IS NULL THEN '{{}}' ELSE array_to_string(list_transform(regexp_extract_all(to_json({{text: text}})::VARCHAR, '(?s).'), lambda c: {_ESCAPED}), '') END AS json FROM conversations""")
 def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ascii_json(F.to_json(F.struct("text"))).alias("json"))
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files before and after every third line was changed, with their diff."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])
+    edited = F.transform("lines", lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit(" !"))).otherwise(x))
+    texts = _turns(spark, sf_dir).groupBy(F.col("file").alias("path")).agg(lines.alias("lines"))
+    return seqdiff.normalized(seqdiff.diff_pairs(texts.select("path", F.array_join("lines", "\n").alias("before"), F.array_join(edited, "\n").alias("after"))))
+
+
+@query(f"WITH {_TURNS} SELECT path, 'modified' AS status, 'replace' AS type, line_no AS start_line, line_no AS end_line, line AS before, line || ' !' AS after FROM t WHERE line_no % 3 = 1")
+def edited_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _edited(spark, sf_dir).select("path", "status", F.inline("changes"))
+    return each.select("path", "status", "type", "start_line", "end_line", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
+
+
+@query(f"""WITH {_TURNS}, c AS (SELECT path, line_no, line, count(*) OVER (PARTITION BY path) AS n FROM t WHERE line_no % 3 = 1)
+  SELECT path AS file, line_no AS line, line AS original, line || ' !' AS replacement, false AS whole_file FROM c WHERE n <= {seqdiff.WHOLE_FILE} UNION ALL SELECT DISTINCT path, 1, NULL, NULL, true FROM c WHERE n > {seqdiff.WHOLE_FILE}""")
+def plan_of_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqdiff.to_plan(_edited(spark, sf_dir))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import sinks
 from .catalog_text import _q, table
 from .functions.shared import folder
-from .operators import chains, regions, treediff, validation
-from .sources import files, patches
+from .operators import chains, plan_ops, regions, treediff, validation
+from .sources import archives, files, markup, patches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,67 @@ def linked_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.expr("doc_id % 3")
     url = F.when(link == 0, F.concat(F.lit(head), digest)).when(link == 1, F.concat(F.lit(head), F.upper(digest), F.lit("/"))).otherwise(F.concat(F.lit(head), digest, F.lit("0")))
     return table(spark, sf_dir, "documents").select("doc_id", url.alias("link")).select("doc_id", patches.plan_hash_of_link("link").alias("plan_hash"))
+
+
+@query(f"WITH {_PLAN} SELECT id, file, line, original, replacement, token FROM p WHERE type IS NULL")
+def canonical_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_ops.canonical(_plan(spark, sf_dir))
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A scope file that names, leaves out and remarks on parts as files, and the tree where some are gone."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat('d', p_partkey % 3, '/f', p_partkey, '.py')").alias("path"))
+    line = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(path, ' ') WHEN 1 THEN concat('# ', path) WHEN 2 THEN '# note' ELSE '' END")
+    tree = p.where("p_partkey % 5 != 0").select("path")
+    return files.read_scope(p.select(F.col("p_partkey").alias("n"), line.alias("line")), tree), tree
+
+
+_SCOPE = """f AS (SELECT p_partkey AS n, 'd' || p_partkey % 3 || '/f' || p_partkey || '.py' AS name FROM part),
+  s AS (SELECT n, CASE n % 4 WHEN 0 THEN name || ' ' WHEN 1 THEN '# ' || name ELSE '# note' END AS line, CASE WHEN n % 4 = 2 THEN 'note' ELSE name END AS path,
+    CASE WHEN n % 4 = 0 THEN 'active' WHEN n % 4 = 1 AND n % 5 <> 0 THEN 'inactive' ELSE 'comment' END AS status FROM f WHERE n % 4 <> 3)"""
+
+
+@query(f"WITH {_SCOPE} SELECT * FROM s")
+def scope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scope(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_SCOPE} SELECT * FROM s WHERE NOT (n % 4 = 0 AND n % 5 = 0)
+  UNION ALL SELECT 0, name, name, 'active' FROM f WHERE n % 5 <> 0 AND n % 4 IN (2, 3)""")
+def refreshed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.refresh_scope(*_scope(spark, sf_dir)).select(F.col("n").cast("long").alias("n"), "line", "path", "status")
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, ([{", ".join(map(_q, _HEADS))}])[p_partkey % {len(_HEADS)} + 1] || replace(p_name, ' ', '-') || ([{", ".join(map(_q, _TAILS))}])[p_partkey % {len(_TAILS)} + 1] AS path FROM part)
+  SELECT p_partkey, path FROM t WHERE NOT suffix(path, '.so') AND (starts_with(path, 'src/') OR NOT regexp_matches(path, '(^|/)\.git/|(^|/)[^/]*\.png(/|$)|(^|/)a/.*\.txt(/|$)|^payload/c[^/]*(/|$)'))""")
+def unignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = path_rules(spark, sf_dir).select("p_partkey", "path")
+    return files.without_ignored(tree, [".git/", "*.png", "a/**.txt", "/payload/c*"], keep="src/", never=".so")
+
+
+@query("SELECT 'some' AS changes, p_partkey AS path FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 3 = 0 UNION ALL SELECT 'none', p_partkey FROM part WHERE p_partkey % 5 <> 0")
+def files_to_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"))
+    unignored, none = tree.where("path % 5 != 0"), tree.where("false")
+    some = files.changed_or_all(tree, tree.where("path % 4 = 0"), tree.where("path % 3 = 0"), unignored)
+    every = files.changed_or_all(tree, none, none, unignored)
+    return some.select(F.lit("some").alias("changes"), "path").unionByName(every.select(F.lit("none").alias("changes"), "path"))
+
+
+@query("SELECT DISTINCT lower(s_name) AS word FROM supplier WHERE s_suppkey % 3 <> 0")
+def listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "words")
+    table(spark, sf_dir, "supplier").select(F.expr("CASE s_suppkey % 6 WHEN 0 THEN concat('# ', s_name) WHEN 3 THEN ' ' ELSE concat(' ', s_name, ' ') END").alias("value")).write.text(path)
+    return files.read_words(spark, path)
+
+
+@query("SELECT o_custkey AS artifact, 'm/' || o_orderkey || '.txt' AS member, o_orderpriority AS content, NULL::VARCHAR AS error FROM orders")
+def archived_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("artifact"), F.concat(F.lit("m/"), "o_orderkey", F.lit(".txt")).alias("path"), F.col("o_orderpriority").cast("binary").alias("content"))
+    return archives.read_archives(archives.pack_groups(members), "artifact", "archive").withColumn("content", F.col("content").cast("string"))
+
+
+@query("SELECT p_partkey, 'k' || p_partkey AS key, p_type || ' & ' || p_brand AS text FROM part")
+def marked_up_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.concat(F.lit("<html><body><p>"), "p_name", F.lit('</p><b class="x" data-i18n="k'), "p_partkey", F.lit('">'), "p_type", F.lit(" &amp; "), "p_brand", F.lit("</b></body></html>"))
+    return markup.extract_i18n(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
