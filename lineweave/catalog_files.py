@@ -282,3 +282,24 @@ def archived_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked_up_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<html><body><p>"), "p_name", F.lit('</p><b class="x" data-i18n="k'), "p_partkey", F.lit('">'), "p_type", F.lit(" &amp; "), "p_brand", F.lit("</b></body></html>"))
     return markup.extract_i18n(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
+
+
+@query("""SELECT p_partkey::VARCHAR AS file, 1 AS line_no, '  new ' || p_brand AS line FROM part UNION ALL SELECT p_partkey::VARCHAR, 2, '# ' || p_type FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT p_partkey::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END, 'end' FROM part""")
+def applied_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two lines, a replacement of the first, and the same helper twice before the second in every other file."""
+    p = table(spark, sf_dir, "part").withColumn("file", F.col("p_partkey").cast("string"))
+    lines = p.select("file", F.posexplode(F.array(F.concat(F.lit("  "), "p_name"), F.lit("end"))).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
+    shape = lambda df, **c: sinks.plan_columns(df.select("file", *(v.alias(k) for k, v in c.items())))
+    replaced = shape(p, id=F.concat(F.lit("r"), "file"), line=F.lit(1), original=F.col("p_name"), replacement=F.concat(F.lit("new "), "p_brand"))
+    helpers = [shape(p.where("p_partkey % 2 = 0"), id=F.concat(F.lit(i), "file"), type=F.lit("helper"), line=F.lit(2), helper_id=F.lit("h"), helper_source=F.concat(F.lit("# "), source)) for i, source in (("x", "p_type"), ("y", "p_name"))]
+    return plan_ops.apply(lines, replaced.unionByName(helpers[0]).unionByName(helpers[1])).select("file", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+@query("SELECT s_suppkey, s_suppkey % 3 = 0 AS ok FROM supplier")
+def sealed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.lit(b"SEAL1"), F.unhex(F.md5(F.col("s_name").cast("binary"))))
+    digest = F.unhex(F.sha2(head, 256))
+    content = F.expr("s_suppkey % 3")
+    rows = table(spark, sf_dir, "supplier").withColumn("content", F.when(content == 0, F.concat(head, digest, head)).when(content == 1, F.concat(head, head)).otherwise(F.substring(head, F.lit(1), F.lit(9))))
+    return rows.select("s_suppkey", archives.sealed_header_ok("content", magic=b"SEAL1").alias("ok"))
