@@ -88,6 +88,20 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: its own where it is printable, else one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in printable)
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return [letters[b] for b in range(256)]
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions start[0], start[0] + 1, ... of each span in turn."""
+    length = length.astype(np.int64)
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 def pack(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes: high bytes are mostly alike and nearly vanish."""
     width = values.dtype.itemsize

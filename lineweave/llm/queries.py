@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, langid, mixing, nndescent, pii, quality, simhash, substring, toolcalls
+from . import alignment, bpe, hnsw, langid, mixing, nndescent, periodic, pii, quality, simhash, substring, tokencount, toolcalls
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -59,5 +59,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "chosen")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_tool_calls, op4_bpe, op5_substring_dedup, op6_pii, op7_simhash, op8_language, op9_hnsw, op10_mixing)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def planted(words: Column) -> Column:
+    """A document's words; in about a tenth of the documents, by crc32 of the id, they repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.size(words)
+    a = F.pmod(g, n)
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+    return F.when((h % 10 == 0) & (n > 0), F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))))).otherwise(words)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.words("text").alias("words"))  # split once, not for each word
+    return periodic.periodic_runs(docs, planted(F.col("words")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_tool_calls, op4_bpe, op5_substring_dedup, op6_pii, op7_simhash, op8_language, op9_hnsw, op10_mixing, op11_alignment, op12_periodic, op13_token_counts)}
 
