@@ -17,7 +17,7 @@ import functools
 import json
 import re
 import unicodedata
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +33,8 @@ SEGMENT = 4096
 REMEMBERED = 1 << 18, 1 << 22
 #: How the vocabularies that this module reads split normalised text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that have one lower-case form and nothing to compose with, and perhaps a sign after them, which is a piece by itself.
+_USUAL = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]{1,99})([.,:;!?]?)")
 _CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 
 
@@ -68,42 +70,42 @@ class Counter:
         self.rank = {m: i for i, m in enumerate(merges)}
         letters = byte_letters()
         self.letter = dict(enumerate(letters))
-        self.text = ["", *dict.fromkeys([a + b for a, b in merges] + letters + [x + self.end for x in letters])]
-        number = {t: i for i, t in enumerate(self.text)}
-        cores = {t.removesuffix(self.end) for t in number}
-        #: What letters spell: (token within a word, token at its end), 0 where there is none; all endings of tokens are there.
-        self.tokens = {t[i:]: (number.get(t[i:], 0), number.get(t[i:] + self.end, 0)) for t in cores for i in range(len(t))}
+        whole = {a + b for a, b in merges} | set(letters) | {x + self.end for x in letters}
+        #: What tokens spell; a number of it stands for the token within a word and the one at its end.
+        self.cores = ["", *sorted({t.removesuffix(self.end) for t in whole} - {""})]
+        self.there = [(t in whole, t + self.end in whole) for t in self.cores]
+        #: Numbers of all that a token may end in, 0 where it is no token by itself.
+        self.tokens = {t[i:]: 0 for t in self.cores for i in range(len(t))} | {t: n for n, t in enumerate(self.cores) if n}
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = re.compile("|".join(sorted(map(re.escape, special), key=len, reverse=True))) if special else None
-        self.known_fits: dict[int, bool] = {}
+        self.known_fits: dict[int, int] = {}
         self.kinds: dict[str, str] = {}
         self.spelt, self.last, self.inner, self.full = "", [0], [0], [0]
 
     def _merged(self, parts: list[str]) -> list[str]:
+        """The tokens of a word's letters: the first merge of the lowest rank, again and again."""
+        rank, never = self.rank.get, len(self.rank)
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), len(self.rank)))
-            if (parts[best], parts[best + 1]) not in self.rank:
+            ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+            low = min(ranks)
+            if low == never:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            at = ranks.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _letters(self, token: str) -> list[str]:
-        core = token.removesuffix(self.end)
-        return [*core[:-1], core[-1] + token[len(core) :]] if core else list(token)
-
-    def _fits(self, before: int, token: int) -> bool:
-        """Whether a token may follow ``before`` (0: begin a word)."""
-        key = before << 32 | token
+    def _fits(self, before: int, core: int) -> int:
+        """Whether a token may follow ``before`` (0: begin a word): 1 within the word, 2 at its end, 3 both."""
+        key = before << 20 | core
         found = self.known_fits.get(key)
         if found is None:
             if len(self.known_fits) > 1 << 20:
                 self.known_fits.clear()
-            text = self.text[token]
-            letters = self._letters(text)
-            if before:
-                found = self._fits(0, token) and self._merged([*self.text[before], *letters]) == [self.text[before], text]
-            else:
-                found = self._merged(letters) == [text]
+            text, first, found = self.cores[core], self.cores[before], 0
+            for bit, there, end in ((1, self.there[core][0], ""), (2, self.there[core][1], self.end)):
+                if there and (not before or self._fits(0, core) & bit):
+                    parts = self._merged([*first, *text[:-1], text[-1] + end])
+                    found |= bit * (parts == ([first, text + end] if before else [text + end]))
             self.known_fits[key] = found
         return found
 
@@ -120,32 +122,32 @@ class Counter:
         for i in range(same + 1, len(spelt) + 1):
             going = done = token = 0
             for j in range(i - 1, -1, -1):
-                found = spell(spelt[j:i])
-                if found is None:
+                core = spell(spelt[j:i])
+                if core is None:
                     break  # nor does a token end in more letters
-                within, final = found
-                if within and not going:
-                    fits = known(last[j] << 32 | within)
-                    if self._fits(last[j], within) if fits is None else fits:
-                        going, token = inner[j] + 1, within
-                if final and not done:
-                    fits = known(last[j] << 32 | final)
-                    if self._fits(last[j], final) if fits is None else fits:
-                        done = inner[j] + 1
-                if going and done:
-                    break
+                if core:
+                    fits = known(last[j] << 20 | core)
+                    if fits is None:
+                        fits = self._fits(last[j], core)
+                    if fits:
+                        if fits & 1:
+                            going, token = inner[j] + 1, core
+                        if fits & 2:
+                            done = inner[j] + 1
+                        if going and done:
+                            break
             last.append(token)
             inner.append(going)
             full.append(done)
         self.spelt = spelt
         return full
 
-    def _run(self, text: str) -> list[int]:
+    def run(self, text: str) -> list[int]:
         """Counts after each character of what splitting leaves whole."""
-        if text.isascii() and text.isprintable() and " " not in text:
+        if text.isascii() and text.isalpha():
             return self.cells(text)[1:]
-        full = self.cells("".join(map(self.letter.__getitem__, text.encode())))
-        return [full[i] for i in accumulate(len(c.encode()) for c in text)]
+        full = self.cells(text.encode().decode("latin-1").translate(self.letter))
+        return [full[i] for i in accumulate([1 if c < "\x80" else len(c.encode()) for c in text])]
 
     def _kind(self, c: str) -> str:
         """How splitting sees a character: white space, a letter, a digit or anything else. The library tells."""
@@ -167,16 +169,16 @@ class Counter:
             elif short:
                 to = short.end()
                 part = short.group()
-                mark = self._run(part[0])[-1]
+                mark = self.run(part[0])[-1]
                 if len(part) == 3:  # its first two characters are no contraction, but two pieces
-                    counts += [base + mark, base + mark + self._run(part[1])[-1]]
+                    counts += [base + mark, base + mark + self.run(part[1])[-1]]
                 else:
                     counts.append(base + mark)
-                counts.append(base + self._run(part)[-1])
+                counts.append(base + self.run(part)[-1])
             else:
                 while kind != "digit" and to < len(text) and kinds[to] == kind:
                     to += 1
-                counts += [base + n for n in self._run(text[i:to])]
+                counts += [base + n for n in self.run(text[i:to])]
             begins += [i] * (to - i)
             i = to
         return counts, begins
@@ -184,7 +186,7 @@ class Counter:
     def _plain(self, text: str) -> list[int]:
         """Counts after 0, 1, 2, ... characters of text without special tokens."""
         if max(text) < "\u0300" and "\u0130" not in text:  # nothing to compose, a character stays one
-            return [0, *self._run(text.lower())] if text.isalpha() else self._scan(text.lower())[0]
+            return [0, *self.run(text.lower())] if text.isalpha() else self._scan(text.lower())[0]
         joiners = _joiners()
         starts = [i for i, c in enumerate(text) if not i or c not in joiners]
         normal = [self.normal(text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
@@ -233,12 +235,18 @@ class _Remembered:
         """The counts of these texts' words, and of others."""
         if len(self.words) > REMEMBERED[0] or self.letters > REMEMBERED[1]:
             self.words, self.older, self.letters = {}, self.words, 0
-        words, older, counts = self.words, self.older, self.counter.counts
-        for word in sorted(w for w in set().union(*map(bytes.split, texts)) if w not in words):
+        words, older, counts, run, usual = self.words, self.older, self.counter.counts, self.counter.run, _USUAL.fullmatch
+        for word in sorted((w for w in set().union(*map(bytes.split, texts)) if w not in words), key=bytes.lower):
             found = older.get(word)
             if found is None:
-                found = counts(word.decode("utf-8", "replace"))
-                found = bytes(found) if max(found) < 256 else tuple(found)
+                text = word.decode("utf-8", "replace")
+                short = usual(text)
+                if short:
+                    found = bytes([0, *run(short[1].lower())])
+                    found += bytes([found[-1] + 1]) if short[2] else b""
+                else:
+                    found = counts(text)
+                    found = bytes(found) if max(found) < 256 else tuple(found)
             words[word] = found
             self.letters += len(word)
         return words
@@ -254,18 +262,14 @@ def _length(text: bytes) -> int:
 
 
 def _cut(text: bytes, known: dict, limit: int) -> int:
-    """Characters of the longest prefix with ``limit`` tokens or fewer."""
-    best = used = place = 0
-    for found in re.finditer(rb"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+", text):
-        counts = known.get(found.group())
-        if counts is None:  # white space
-            place = best = place + found.end() - found.start()
-            continue
-        best = place + max(k for k, n in enumerate(counts) if used + n <= limit)
-        used, place = used + counts[-1], place + len(counts) - 1
-        if used > limit:
-            return best
-    return place
+    """Characters of the longest prefix with ``limit`` tokens or fewer, of a text with more: it ends in, or before, the word that goes past."""
+    used = 0
+    for at, word in enumerate(text.split()):
+        if used + known[word][-1] > limit:
+            break
+        used += known[word][-1]
+    start = next(islice(re.finditer(rb"[^\x20\x09-\x0D]+", text), at, None)).start()
+    return _length(text[:start]) + max(k for k, n in enumerate(known[word]) if used + n <= limit)
 
 
 def count(df: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, tokenizer: str | None = None) -> DataFrame:
