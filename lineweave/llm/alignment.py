@@ -1,7 +1,7 @@
 """Aligning the tokens of two vocabularies through one dictionary of groups.
 
 A group is a shortest stretch of tokens that begins and ends at the same bytes in both vocabularies; its key is the ids of
-both. Spark cuts texts before single spaces, where neither vocabulary has a token across, so a block of documents
+both. Texts are cut before single spaces, where neither vocabulary has a token across, so a block of documents
 encodes each of its distinct units once and keeps documents as numbers of its own groups. The groups of all blocks are
 interned in one dictionary with their frequencies; links are expanded once for each distinct group and weighed with its
 frequency; what a group's links are worth returns to the blocks by the group's key, and to documents by number.
@@ -16,9 +16,12 @@ import functools
 import hashlib
 import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +30,11 @@ from .common import byte_letters, cut, give_back, pack, scratch, small_batches,
 
 #: Units of a block.
 BLOCK = 1 << 20
-#: Before a space that follows anything but white space and isn't the last character. What some Unicode version calls white space counts as such.
-_CUT = r"(?<=[^\s\x0B\x1C-\x1F\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF])(?= [\s\S])"
+#: What some Unicode version calls white space.
+_SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: Before a space that follows anything but white space and isn't the last character.
+_CUT = re.compile(rf"(?<=[^{_SPACE}])(?= [\s\S])")
+_SPACED = re.compile(rf"[{_SPACE}]\Z")
 #: Which tokens of a group are linked: those that end together, those that begin together, or all of A with all of B.
 RULES = ("ends", "starts", "all")
 
@@ -55,7 +61,7 @@ def _byte_level(path: str):
     spelt = [b""] * tokenizer.get_vocab_size()
     for token, i in vocabulary.items():
         spelt[i] = bytes(map(byte.__getitem__, token))
-    return tokenizer, spelt
+    return tokenizer, spelt, np.array(list(map(len, spelt)), np.int64)
 
 
 @functools.cache
@@ -69,18 +75,42 @@ def _pieces(path: str):
         spelt.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
         if "▁" in piece.lstrip("▁"):
             raise ValueError(f"{path}: {piece!r} crosses a space")
-    return model, spelt
+    return model, spelt, np.array(list(map(len, spelt)), np.int64)
 
 
-def units(text: str | Column) -> Column:
-    """The text after a space, in the units that both vocabularies encode by themselves; none for null and empty."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.when(F.octet_length(text) > 0, F.split(F.concat(F.lit(" "), text), _CUT)).otherwise(F.array().cast("array<string>"))
+def _units(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Units of each text after a space: how many, the distinct ones, and which one stands at each place; none for null and empty.
+
+    Most texts are cut at every space. Those with white space that holds together go through the expression.
+    """
+    pieces = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    coded = pieces.flatten().dictionary_encode()
+    distinct, numbers, counts = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), pieces.value_lengths().to_numpy()
+    held = np.fromiter((not p or (p[-1] <= 32 or p[-1] >= 128) and bool(_SPACED.search(p.decode("utf-8", "replace"))) for p in distinct), bool, len(distinct))
+    empty = np.fromiter((not p for p in distinct), bool, len(distinct))
+    ends = np.cumsum(counts, dtype=np.int64)
+    inside = np.concatenate([[0], np.cumsum(held[numbers])])
+    last = numbers[ends - 1] if len(ends) else numbers
+    odd = np.flatnonzero((inside[ends] - inside[ends - counts] - held[last] > 0) | empty[last])
+    distinct = [b" " + p for p in distinct]
+    known: dict[bytes, int] = {}
+    parts, at = [], 0
+    counts = counts.copy()
+    for i in odd.tolist():
+        text = texts[i].as_py()
+        units = [u.encode() for u in _CUT.split(" " + text)] if text else []
+        for u in units:
+            if u not in known:
+                known[u] = len(distinct)
+                distinct.append(u)
+        parts += [numbers[at : ends[i] - counts[i]], np.fromiter(map(known.__getitem__, units), numbers.dtype, len(units))]
+        at, counts[i] = ends[i], len(units)
+    return counts, distinct, np.concatenate([*parts, numbers[at:]])
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     length = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(length.sum())), length
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(length.sum())), length
 
 
 class _Block:
@@ -97,30 +127,37 @@ class _Block:
 
     def learn(self, new: list[bytes]) -> None:
         """Encode units that the block hasn't met."""
-        (a_tokenizer, a_spelt), (b_model, b_spelt) = _byte_level(self.paths[0]), _pieces(self.paths[1])
+        (a_tokenizer, a_spelt, a_sizes), (b_model, b_spelt, b_sizes) = _byte_level(self.paths[0]), _pieces(self.paths[1])
         texts = [u.decode("utf-8", "replace") for u in new]
         a = [x.ids for x in a_tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         b = b_model.encode([t[1:] for t in texts], num_threads=1)
-        void = [b"".join(map(a_spelt.__getitem__, x)) != u or b"".join(map(b_spelt.__getitem__, y)) != u for u, x, y in zip(new, a, b, strict=True)]
-        a, b = ([[] if v else x for v, x in zip(void, side, strict=True)] for side in (a, b))
         (a_ids, a_count), (b_ids, b_count) = _flat(a), _flat(b)
-        a_end = np.cumsum(np.fromiter((len(a_spelt[i]) for i in a_ids.tolist()), np.int64, len(a_ids)))
-        b_end = np.cumsum(np.fromiter((len(b_spelt[i]) for i in b_ids.tolist()), np.int64, len(b_ids)))
+        whole, void = b"".join(new), [False] * len(new)
+        if any(b"".join(map(spelt.__getitem__, ids.tolist())) != whole for spelt, ids in ((a_spelt, a_ids), (b_spelt, b_ids))):
+            void = [b"".join(map(a_spelt.__getitem__, x)) != u or b"".join(map(b_spelt.__getitem__, y)) != u for u, x, y in zip(new, a, b, strict=True)]
+            a, b = ([[] if v else x for v, x in zip(void, side, strict=True)] for side in (a, b))
+            (a_ids, a_count), (b_ids, b_count) = _flat(a), _flat(b)
+        a_end, b_end = np.cumsum(a_sizes[a_ids]), np.cumsum(b_sizes[b_ids])
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
         a_to, b_to = np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right")
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        keys, x, y = [], 0, 0
-        for p, q in zip(a_to.tolist(), b_to.tolist(), strict=True):
-            keys.append(f"{a_text[x] if p == x + 1 else ','.join(a_text[x:p])}|{b_text[y] if q == y + 1 else ','.join(b_text[y:q])}")
-            x, y = p, q
         in_a, in_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        # groups of one token each are named by the pair, each pair once; the others one by one
+        keys, own, number = np.empty(len(cuts), object), np.empty(len(cuts), np.int64), lambda k: self.groups.setdefault(k, len(self.groups))
+        single = (in_a == 1) & (in_b == 1)
+        pairs, at = np.unique(a_ids[a_to[single] - 1] << 32 | b_ids[b_to[single] - 1], return_inverse=True)
+        named = [f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()]
+        keys[single], own[single] = np.array(named, object)[at], np.array(list(map(number, named)), np.int64)[at]
+        for i in np.flatnonzero(~single).tolist():
+            keys[i] = f"{','.join(map(str, a_ids[a_to[i] - in_a[i] : a_to[i]].tolist()))}|{','.join(map(str, b_ids[b_to[i] - in_b[i] : b_to[i]].tolist()))}"
+            own[i] = number(keys[i])
+        keys = keys.tolist()
         links = in_a * in_b if self.rule == "all" else np.ones(len(keys), np.int64)
         # a unit ends where its last tokens end; units without tokens have no groups
         last = np.searchsorted(a_to, np.cumsum(a_count), "right")
         count = np.diff(last, prepend=0)
         total = np.concatenate([[0], np.cumsum(links)])
         self.tally = np.concatenate([self.tally, np.stack([a_count, b_count, count, total[last] - total[last - count]], axis=1)])
-        self.of = np.concatenate([self.of, np.fromiter((self.groups.setdefault(k, len(self.groups)) for k in keys), np.int64, len(keys))])
+        self.of = np.concatenate([self.of, own])
         self.void += void
         self.keys += [";".join(keys[t - n : t]).encode() for t, n in zip(last.tolist(), count.tolist(), strict=True)]
         for u in new:
@@ -129,7 +166,7 @@ class _Block:
     def add(self, ids: list, counts: np.ndarray, distinct: list[bytes], numbers: np.ndarray) -> None:
         used, place = np.unique(numbers, return_inverse=True)
         words = [distinct[i] for i in used.tolist()]
-        self.learn([u for u in words if u not in self.units])
+        self.learn(list(dict.fromkeys(u for u in words if u not in self.units)))  # a unit may come from both ways of cutting
         own = np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))[place.ravel()]
         begin = np.cumsum(self.tally[:, 2]) - self.tally[:, 2]
         void = np.array(self.void, bool)
@@ -167,9 +204,7 @@ def _gather(paths: tuple[str, str], rule: str):
         for batch in batches:
             kind = batch.schema.field("id").type
             ids = batch.column("id").to_pylist()
-            coded = batch.column("units").flatten().dictionary_encode()
-            distinct, numbers = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
-            counts = batch.column("units").value_lengths().to_numpy()
+            counts, distinct, numbers = _units(batch.column("text"))
             ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             at = 0
             while at < len(ids):
@@ -237,7 +272,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabularie
     spark = df.sparkSession
     small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), units(text).alias("units"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     doc = f"struct<id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string>"
     schema = f"kind string, block long, docs array<{doc}>, data binary, number int, key string, times long"
     path = scratch(spark, "groups")
