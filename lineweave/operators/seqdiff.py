@@ -1,7 +1,7 @@
 """Sequence diffs of file versions as canonical blocks, and what is made of them.
 
-Aligning two sequences has no relational form, so each differing pair of files goes through Python's difflib in an
-Arrow group. Equal pairs are dropped by hash before that.
+Equal pairs are dropped by hash. A pair of short files is one gap that goes through Python's difflib in an Arrow batch; longer
+ones are aligned by joins (:mod:`align`).
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash, set_digest
+from ..functions.shared import written
 from ..functions.text import normal_line, split_lines
+from . import align
 
 #: More changed lines than this make one whole-file change.
 WHOLE_FILE = 200
@@ -21,40 +23,62 @@ _BLOCK = pa.struct([("type", pa.string()), ("start_line", pa.int32()), ("end_lin
 CHANGES = "array<struct<type:string,start_line:int,end_line:int,before:array<string>,after:array<string>>>"
 
 
+def joined(found: list[dict], touching: bool) -> list[dict]:
+    """Blocks in order, those that touch made one."""
+    out: list[dict] = []
+    last = None
+    for one in found:
+        begin = one["start_line"] - 1
+        if out and (out[-1]["end_line"] + 1 == one["start_line"] if touching else last == begin):
+            held = out[-1]
+            held |= {"type": "replace", "end_line": one["end_line"], "before": held["before"] + one["before"], "after": held["after"] + one["after"]}
+        else:
+            out.append(one)
+        last = begin + len(one["before"])
+    return out
+
+
 def blocks(before: list[str], after: list[str], touching: bool = False) -> list[dict]:
     """Change blocks with 1-based lines of the earlier version.
 
     An insertion takes the line that it stands before, blocks that touch are one. ``touching`` also merges blocks
     that only seem to touch because an insertion has no line of its own, across one unchanged line.
     """
-    found: list[dict] = []
-    last = None
-    for tag, a, b, c, d in difflib.SequenceMatcher(None, before, after).get_opcodes():
-        if tag == "equal":
-            continue
-        one = {"type": tag, "start_line": a + 1, "end_line": max(b, a + 1), "before": before[a:b], "after": after[c:d]}
-        if found and (found[-1]["end_line"] + 1 == one["start_line"] if touching else last == a):
-            held = found[-1]
-            held |= {"type": "replace", "end_line": one["end_line"], "before": held["before"] + one["before"], "after": held["after"] + one["after"]}
-        else:
-            found.append(one)
-        last = b
-    return found
+    codes = difflib.SequenceMatcher(None, before, after).get_opcodes()
+    return joined([{"type": tag, "start_line": a + 1, "end_line": max(b, a + 1), "before": before[a:b], "after": after[c:d]} for tag, a, b, c, d in codes if tag != "equal"], touching)
 
 
 def diff_pairs(pairs: DataFrame, key: str = "path", touching: bool = False) -> DataFrame:
-    """(key, status, changes) from (key, before, after) texts; null is a file that isn't there. Equal pairs are left out."""
+    """(key, status, changes) from (key, before, after) texts; null is a file that isn't there. Equal pairs are left out.
+
+    Keys may be null or repeated. Files of more than :data:`align.SHORT` lines are aligned as joins of their lines.
+    """
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("modified")
     rows = pairs.where(~F.col("before").eqNullSafe(F.col("after")))
-    rows = rows.select(key, status.alias("status"), *(split_lines(F.coalesce(normal_line(c), F.lit(""))).alias(c) for c in ("before", "after")))
+    texts = (split_lines(F.coalesce(normal_line(c), F.lit(""))).alias(c) for c in ("before", "after"))
+    rows = written(rows.select(key, status.alias("status"), F.monotonically_increasing_id().alias("_pair"), *texts), "pairs")
+    is_long = F.greatest(F.size("before"), F.size("after")) > align.SHORT
 
-    def align(batches):
+    def local(batches):
         for batch in batches:
             made = [blocks(x or [], y or [], touching) for x, y in zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("status"), pa.array(made, pa.list_(_BLOCK))], [key, "status", "changes"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(align, f"{key} {kind}, status string, changes {CHANGES}")
+    def touch(batches):
+        for batch in batches:
+            made = [joined(x, True) for x in batch.column("changes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("status"), pa.array(made, pa.list_(_BLOCK))], [key, "status", "changes"])
+
+    shape = f"{key} {rows.schema[key].dataType.simpleString()}, status string, changes {CHANGES}"
+    short = rows.where(~is_long).drop("_pair").mapInArrow(local, shape)
+    long = rows.where(is_long)
+    if not long.limit(1).count():
+        return short
+    lines = [long.select("_pair", F.posexplode(side).alias("n", "line")).select("_pair", (F.col("n") + 1).alias("n"), "line") for side in ("before", "after")]
+    changed = align.change_blocks(align.edits(*lines, "_pair"), "_pair")
+    # two versions whose lines differ in their ends only have no blocks
+    aligned = long.select("_pair", key, "status").join(changed, "_pair", "left").select(key, "status", F.coalesce("changes", F.array().cast(CHANGES)).alias("changes"))
+    return short.unionByName(aligned.mapInArrow(touch, shape) if touching else aligned)
 
 
 def normalized(files: DataFrame, key: str = "path") -> DataFrame:

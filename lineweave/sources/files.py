@@ -42,13 +42,15 @@ def glob_pattern(pattern: Column) -> Column:
 
 
 def without_ignored(tree: DataFrame, patterns: list[str], keep: str | None = None, never: str | None = None) -> DataFrame:
-    """Files that no ignore pattern matches, in order of paths.
+    """Files that no ignore pattern matches, in order of paths; comments don't count, and a negated pattern takes back those before.
 
-    Files below ``keep`` stay in spite of patterns; files that end in ``never`` go in spite of ``keep``.
+    Files below ``keep`` stay in spite of patterns; files that end in ``never`` go in spite of ``keep``. Patterns are looked
+    for anywhere in a path; :mod:`ignore` has the full rules of ignore files.
     """
     out = F.lit(False)
     for pattern in patterns:
-        out = out | F.regexp_like("path", glob_pattern(F.lit(pattern)))
+        if pattern.strip() and not pattern.startswith("#"):
+            out = F.when(F.regexp_like("path", glob_pattern(F.lit(pattern.removeprefix("!")))), F.lit(not pattern.startswith("!"))).otherwise(out)
     stay = ~out if keep is None else ~out | F.startswith("path", F.lit(keep))
     rows = tree.where(stay)
     return (rows.where(~F.endswith("path", F.lit(never))) if never else rows).orderBy("path")
