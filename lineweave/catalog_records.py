@@ -203,8 +203,7 @@ def registry_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_REGISTRY}, c AS (SELECT ts, hash FROM r ORDER BY ts, hash OFFSET 50 LIMIT 1) SELECT r.* FROM r, c WHERE (r.ts, r.hash) > (c.ts, c.hash) ORDER BY r.ts, r.hash LIMIT 100")
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _artifacts(spark, sf_dir)
-    seen = registry.feed(rows).orderBy("ts", "hash").offset(50).limit(1).collect()  # one row at most: the last that a reader has seen
-    return registry.feed(rows, seen[0]["ts"], seen[0]["hash"]) if seen else registry.feed(rows).limit(0)
+    return registry.feed_from(rows, registry.feed(rows).orderBy("ts", "hash").offset(50).limit(1))  # the last that a reader has seen
 
 
 @query(f"WITH {_REGISTRY} SELECT hash, ord FROM r WHERE ord % 3 <> 0 AND ord % 2 <> 0")

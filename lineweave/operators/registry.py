@@ -28,6 +28,13 @@ def feed(artifacts: DataFrame, since=None, after: str = "", limit: int = FEED, t
     return out.orderBy(ts, digest).limit(limit)
 
 
+def feed_from(artifacts: DataFrame, cursor: DataFrame, limit: int = FEED, ts: str = "ts", digest: str = "hash") -> DataFrame:
+    """:func:`feed` after a cursor that is a table of one row at most (ts, hash); without a row no page."""
+    at = F.broadcast(cursor.select(F.col(ts).alias("_ts"), F.col(digest).alias("_hash")).limit(1))  # one row
+    later = (F.col(ts) > F.col("_ts")) | ((F.col(ts) == F.col("_ts")) & (F.col(digest) > F.col("_hash")))
+    return artifacts.join(at, later).drop("_ts", "_hash").orderBy(ts, digest).limit(limit)
+
+
 def not_yet_known(remote: DataFrame, local: DataFrame, digest: str = "hash") -> DataFrame:
     """What the remote has and the local side lacks: what to pull; swap the sides for what to push."""
     return remote.join(local.select(digest).distinct(), digest, "left_anti")
