@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_execution, catalog_files, catalog_records, catalog_text
+from . import catalog_execution, catalog_files, catalog_forms, catalog_records, catalog_scopes, catalog_text
 
 FLAGSHIP = "goals_from_findings"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog_text.QUERIES | catalog_records.QUERIES | catalog_execution.QUERIES | catalog_files.QUERIES
-ORACLES: dict[str, str] = catalog_text.ORACLES | catalog_records.ORACLES | catalog_execution.ORACLES | catalog_files.ORACLES
+_MODULES = (catalog_text, catalog_records, catalog_execution, catalog_files, catalog_scopes, catalog_forms)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -76,6 +76,30 @@ def verified_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execution.verify_execution(written(execution.planned_diff(files, plan), "expected"), observed, strict=True).drop("expected_hash", "observed_hash")
 
 
+def _hashed(name: str, where: str) -> str:
+    """The hash of a planned diff as SQL: files one by one, then the tree of their digests, as table ``name``."""
+    level = lambda at, of, digits: f"{at} AS (SELECT substr(h, 1, {digits}) || sha256(string_agg(h, ',' ORDER BY h)) AS h FROM {of} GROUP BY substr(h, 1, {digits}))"
+    block = """'{"type":"replace","start_line":' || start_line || ',"end_line":' || end_line || ',"before":' || to_json(before)::VARCHAR || ',"after":' || to_json(after)::VARCHAR || '}'"""
+    blocks = f"""SELECT path, min(line_no) AS start_line, max(line_no) AS end_line, list(line ORDER BY line_no) AS before, list(line || '!' ORDER BY line_no) AS after
+      FROM (SELECT *, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS island FROM t WHERE turn % 3 <> 0 AND NOT ({where})) GROUP BY path, island"""
+    files = f"""{name}9 AS (SELECT sha256('{{"changes":[' || string_agg({block}, ',' ORDER BY start_line) || '],"path":"' || path || '","status":"modified"}}') AS h FROM ({blocks}) GROUP BY path)"""
+    return ", ".join([files, level(f"{name}6", f"{name}9", 6), level(f"{name}4", f"{name}6", 4), level(f"{name}2", f"{name}4", 2), f"{name} AS (SELECT sha256(coalesce(string_agg(h, ',' ORDER BY h), '')) AS h FROM {name}2)"])
+
+
+@query(f"""WITH {_TURNS}, {_hashed("p", "conv_id % 7 = 0")}, {_hashed("o", _SKIPPED)}, n AS (SELECT count(*) AS files FROM p9)
+  SELECT 'turned' AS observed, p.h AS expected_hash, p.h AS observed_hash, true AS match, true AS verified, files AS expected_files, files AS observed_files FROM p, n
+  UNION ALL SELECT 'other', p.h, o.h, p.h = o.h, p.h = o.h, files, (SELECT count(*) FROM o9) FROM p, o, n""")
+def verified_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planned diff against itself, its files and changes in another order, and against another diff, by their hashes."""
+    files, plan = _files_and_plan(spark, sf_dir, "conv_id % 7 = 0")
+    expected = written(execution.planned_diff(files, plan), "expected")
+    turned = written(expected.withColumn("changes", F.reverse("changes")).orderBy(F.desc("path")), "turned")
+    other = written(execution.planned_diff(files, _files_and_plan(spark, sf_dir, _SKIPPED)[1]), "observed")
+    columns = ("expected_hash", "observed_hash", "match", "verified", "expected_files", "observed_files")
+    found = [execution.verify_execution(expected, df, strict=True).select(F.lit(name).alias("observed"), *columns) for name, df in (("turned", turned), ("other", other))]
+    return found[0].unionByName(found[1])
+
+
 @query(f"""WITH {_TURNS}, c AS (SELECT *, turn + CASE WHEN conv_id % 4 = 0 THEN 2 ELSE 1 END AS at FROM t WHERE turn % 3 <> 0)
   SELECT conv_id || '-' || turn AS id, e.condition, e.error FROM c, (VALUES ('safety', 'path outside its root', 11), ('source', 'missing file', 11), ('source', 'stale', 13), ('structure', 'missing replacement', 17), ('authorization', 'removal is not authorized', 19), ('structure', 'missing helper_id', 19), ('structure', 'missing helper_ref', 19)) e(condition, error, k)
   WHERE conv_id % k = 0 AND NOT (error = 'stale' AND (conv_id % 11 = 0 OR conv_id % 19 = 0)) AND NOT (error = 'missing replacement' AND conv_id % 19 = 0)

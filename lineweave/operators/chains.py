@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash, canonical_json, canonical_text
-from ..functions.shared import written
+from ..functions.shared import drop, written, written_at
 
 
 def chain(entries: DataFrame, scope: str, order: str, payload: list[str]) -> DataFrame:
@@ -90,15 +90,41 @@ def walk(artifacts: DataFrame, starts: DataFrame, node: str = "hash", parent: st
 def approved_keys(keys: DataFrame, approvals: DataFrame) -> DataFrame:
     """(key_id, depth): the first key is trusted, others if a trusted key has signed them; ``keys`` has ord.
 
-    Keys are reached level by level until none is new, so chains have any length and cycles end.
+    A key with a single signer is as far behind it as the signer is from the root, so chains of them are followed by
+    pointer doubling to their heads; only between heads, which are the root and keys with several signers, distances go round
+    by round. A cycle that no trusted key signs into isn't reached.
     """
-    signed = written(approvals.where("key_id is not null and key_id != signer").select("signer", F.col("key_id").alias("signed")).distinct(), "approvals")
-    now, turn = written(keys.agg(F.min_by("key_id", "ord").alias("key_id")).where("key_id is not null").withColumn("depth", F.lit(0)), "reached"), 0
-    while now.where(F.col("depth") == turn).limit(1).count():
-        ahead = now.where(F.col("depth") == turn).join(signed, F.col("key_id") == F.col("signer")).select(F.col("signed").alias("key_id")).distinct()
-        turn += 1
-        now = written(now.unionByName(ahead.join(now, "key_id", "left_anti").withColumn("depth", F.lit(turn))), "reached")
-    return now
+    spark = keys.sparkSession
+    root = keys.agg(F.min_by("key_id", "ord").alias("key_id")).where("key_id is not null")
+    signed = approvals.where("key_id is not null and signer is not null and key_id != signer").select("signer", "key_id").distinct().join(F.broadcast(root), "key_id", "left_anti")  # one row
+    signed, signed_at = written_at(signed, "approvals")
+    single = signed.groupBy("key_id").agg(F.count("*").alias("n"), F.min("signer").alias("up")).where("n = 1").select("key_id", "up", F.lit(1).alias("steps"))
+    chains, chains_at = written_at(single.join(single.select(F.col("key_id").alias("up"), F.lit(False).alias("done")), "up", "left").select("key_id", "up", "steps", F.coalesce("done", F.lit(True)).alias("done")), "chains")
+    ahead = chains.where("not done").count()
+    for _ in range(ahead.bit_length() + 1):
+        if not chains.where("not done").limit(1).count():
+            break
+        further = chains.select(F.col("key_id").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"), F.col("done").alias("ended"))
+        moved = chains.where("not done").join(further, "up").select("key_id", F.col("top").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ended").alias("done"))
+        old, (chains, chains_at) = chains_at, written_at(chains.where("done").unionByName(moved), "chains")
+        drop(spark, old)
+    # what isn't done by now goes round in a cycle
+    behind, behind_at = written_at(chains.where("done").select("key_id", F.col("up").alias("head"), "steps"), "behind")
+    several = signed.join(single.select("key_id"), "key_id", "left_anti")
+    reach = several.join(behind.withColumnRenamed("key_id", "signer"), "signer", "left").select(F.coalesce("head", "signer").alias("head"), "key_id", (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    in_cycle = several.select("signer").join(single.select(F.col("key_id").alias("signer")), "signer", "left_semi").join(behind.select(F.col("key_id").alias("signer")), "signer", "left_anti").distinct()
+    links, links_at = written_at(reach.join(in_cycle.withColumnRenamed("signer", "head"), "head", "left_anti").groupBy("head", "key_id").agg(F.min("steps").alias("steps")), "links")
+    depths, depths_at = written_at(root.withColumn("depth", F.lit(0)).withColumn("new", F.lit(True)), "depths")
+    while depths.where("new").limit(1).count():
+        near = depths.where("new").select(F.col("key_id").alias("head"), "depth").join(links, "head").groupBy("key_id").agg(F.min(F.col("depth") + F.col("steps")).alias("better"))
+        both = depths.select("key_id", "depth").join(near, "key_id", "full")
+        better = F.coalesce(F.col("better") < F.col("depth"), F.col("depth").isNull())
+        old, (depths, depths_at) = depths_at, written_at(both.select("key_id", F.least("depth", "better").alias("depth"), better.alias("new")), "depths")
+        drop(spark, old)
+    rest = behind.join(depths.select(F.col("key_id").alias("head"), "depth"), "head").select("key_id", (F.col("depth") + F.col("steps")).alias("depth"))
+    found = written(depths.select("key_id", "depth").unionByName(rest), "reached")
+    drop(spark, signed_at, chains_at, behind_at, links_at, depths_at)
+    return found
 
 
 def revisions(states: DataFrame, scope: str, order: str, semantic: list[str]) -> DataFrame:

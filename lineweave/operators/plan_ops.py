@@ -15,6 +15,8 @@ from ..functions.text import strip
 KINDS = ("replace", "helper", "helper_remove")
 #: Digits of a plan's hash that confirm its application.
 CONFIRM = 8
+#: Lines of a file that is rebuilt as one text.
+MOST_LINES = 10_000_000
 
 
 def kind() -> Column:
@@ -114,11 +116,22 @@ def confirmed(hashes: DataFrame, given: str) -> DataFrame:
     return hashes.withColumn("confirmed", F.lit(len(given) >= CONFIRM) & F.startswith("plan_hash", F.lit(given)))
 
 
-def rehydrate(changes: DataFrame) -> DataFrame:
-    """(file, text): sparse files rebuilt from a plan's replacements, a line for each changed line, gaps empty."""
-    lines = changes.where(kind() == "replace").groupBy("file", "line").agg(F.min_by("replacement", "id").alias("text"))
-    whole = lines.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias("m"), F.max("line").alias("last"))
-    return whole.select("file", F.array_join(F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))), "\n").alias("text"))
+def rehydrated_lines(changes: DataFrame) -> DataFrame:
+    """(file, line, text): the lines that a plan's replacements give; of one line the smallest id's. Lines below 1 are none."""
+    return changes.where((kind() == "replace") & (F.col("line") >= 1)).groupBy("file", "line").agg(F.min_by("replacement", "id").alias("text"))
+
+
+def rehydrate(changes: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """(file, text): sparse files rebuilt from a plan's replacements, a line for each changed line, gaps empty.
+
+    A file whose last line is beyond ``most`` has a null text: :func:`rehydrated_lines` has its lines. A file without a line
+    from 1 on isn't rebuilt.
+    """
+    before = F.lag("line", 1, 1).over(Window.partitionBy("file").orderBy("line"))
+    lines = rehydrated_lines(changes).withColumn("gap", (F.col("line") - before).cast("int"))
+    piece = F.when(F.col("line") <= most, F.concat(F.repeat(F.lit("\n"), F.col("gap")), F.coalesce("text", F.lit(""))))
+    whole = lines.withColumn("piece", piece).groupBy("file").agg(F.max("line").alias("last"), F.array_sort(F.collect_list(F.struct("line", "piece"))).alias("pieces"))
+    return whole.select("file", F.when(F.col("last") <= most, F.array_join(F.transform("pieces", lambda x: x["piece"]), "")).alias("text"))
 
 
 def copied(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups list at most this many members in their evidence row; counts are always complete, ``members`` has all.
-LISTED = 1000
 # Method names that storage backends share.
 INTERFACE_METHODS = ("connect", "execute", "fetchone", "fetchall", "commit", "rollback", "close")
 
