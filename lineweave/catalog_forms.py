@@ -10,9 +10,9 @@ from .catalog_files import _FIELDS, _PLAN, _plan
 from .catalog_records import _REGISTRY, _artifacts
 from .catalog_text import table
 from .functions.shared import folder
-from .operators import compare, registry
-from .plans import transform
-from .sources import store
+from .operators import compare, dictionary, registry, seqdiff, treediff
+from .plans import observe, pack, transform
+from .sources import archives, patches, store
 from .sources.keyed import KeyedLog
 
 QUERIES: dict = {}
@@ -100,3 +100,102 @@ def transformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise ValueError(", ".join(mapping.values()))
 
     return transform.transform(lines, words, {".bad": failing})
+
+
+@query("""WITH d AS (SELECT doc_id, 'd' || doc_id AS path, lang, source, coalesce(text, '') AS text FROM documents)
+  SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'added' ELSE 'modified' END AS status, NULL AS kind, NULL::BIGINT AS size, NULL AS sha256, '3:' || lang || '>' || source || ';5:>end' AS blocks FROM d WHERE doc_id % 4 <> 0
+  UNION ALL SELECT path, CASE doc_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END, 'binary', CASE WHEN doc_id % 3 <> 1 THEN strlen(text) END, CASE WHEN doc_id % 3 <> 1 THEN sha256(text) END, '' FROM d WHERE doc_id % 4 = 0""")
+def observed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch for each text document, with a block in two hunks, and listings that name the others as binary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("path"), "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    mode = F.when(F.col("doc_id") % 5 == 0, "new file mode 100644").otherwise("index 1..2")
+    parts = [F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), mode, F.lit("--- a"), F.lit("+++ b"), F.lit("@@ -2,2 +2,2 @@"), F.lit(" same"), F.concat(F.lit("-"), "lang"), F.concat(F.lit("+"), "source"), F.lit("@@ -4,1 +4,2 @@"), F.lit(" same"), F.lit("+end")]
+    lines = docs.where("doc_id % 4 != 0").select(F.col("doc_id").alias("patch"), F.posexplode(F.array(*parts)).alias("n", "line"))
+    letter = F.expr("CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'M' END")
+    numstat = docs.select(F.concat(F.expr("if(doc_id % 4 = 0, '-\t-\t', '2\t1\t')"), "path").alias("line"))
+    found = observe.observed(lines, numstat, docs.select(F.concat(letter, F.lit("\t"), "path").alias("line")), docs.select("path", F.col("text").cast("binary").alias("content")))
+    block = lambda c: F.concat(c["start_line"], F.lit(":"), F.array_join(c["before"], ","), F.lit(">"), F.array_join(c["after"], ","))
+    return found.select("path", "status", "kind", "metadata.size", "metadata.sha256", F.array_join(F.transform("changes", block), ";").alias("blocks"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS artifact, '{"balance":' || round(s_acctbal)::BIGINT || ',"name":"' || s_name || '"}' AS canonical, '{"name": "' || s_name || '", "balance": ' || round(s_acctbal)::BIGINT || '}' AS payload, s_suppkey % 5 = 0 AS detached,
+    CASE WHEN s_suppkey % 3 = 0 THEN md5(s_name) WHEN s_suppkey % 4 = 0 THEN 'context' END AS parent, CASE WHEN s_suppkey % 3 = 0 THEN 'L' || s_nationkey ELSE 'C' END AS lineage, s_suppkey % 3 = 0 AS given FROM supplier),
+  e AS (SELECT *, detached AND given AS wrong, CASE WHEN detached THEN '{"lineage_id":null,"parent":null,"type":"detached"}' WHEN parent IS NOT NULL THEN '{"lineage_id":"' || lineage || '","parent":"' || parent || '","type":"derived"}' ELSE '{"lineage_id":"' || sha256(canonical) || '","parent":null,"type":"root"}' END AS own FROM s)
+  SELECT artifact, 'manifest.json' AS member, '{"execution":{},"lineage":' || own || ',"meta":{"created_at":"2024-01-01T00:00:00Z","created_by":"weave","format":"pack","version":1},"payload":{"hash":{"algorithm":"sha256","value":"' || sha256(canonical) || '"},"type":"plan"},"signatures":[]}' AS content, NULL AS error FROM e WHERE NOT wrong
+  UNION ALL SELECT artifact, 'payload/plan.json', payload, NULL FROM e WHERE NOT wrong UNION ALL SELECT artifact, NULL, NULL, 'both a parent and detached' FROM e WHERE wrong""")
+def packed_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as payloads with a parent, the context or neither, packed and read back."""
+    s = table(spark, sf_dir, "supplier")
+    above = lambda lineage, parent: F.concat(F.lit('{"lineage":{"type":"root","lineage_id":"'), lineage, F.lit('"},"payload":{"hash":{"value":"'), parent, F.lit('"}}}'))
+    key = F.col("s_suppkey")
+    rows = s.select(
+        key.alias("artifact"), F.concat(F.lit('{"name": "'), "s_name", F.lit('", "balance": '), F.round("s_acctbal").cast("long"), F.lit("}")).alias("payload"), F.lit("plan").alias("type"), (key % 5 == 0).alias("detached"),
+        F.when(key % 3 == 0, above(F.concat(F.lit("L"), "s_nationkey"), F.md5(F.col("s_name").cast("binary")))).alias("parent"), F.when(key % 4 == 0, above(F.lit("C"), F.lit("context"))).alias("context"),
+    )
+    packed = pack.pack(rows, "pack", "weave", "2024-01-01T00:00:00Z")
+    read = archives.read_archives(packed.where("error is null"), "artifact", "archive").withColumn("content", F.col("content").cast("string"))
+    return read.unionByName(packed.where("error is not null").select("artifact", *(F.lit(None).cast("string").alias(c) for c in ("member", "content")), "error"))
+
+
+@query("SELECT 'T' || p_size AS token, arg_max(p_name || ', \"' || p_brand || '\" ' || p_partkey, p_partkey) AS text FROM part GROUP BY 1")
+def dictionary_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that come again and again, with white space around them, in files whose names are in order."""
+    path = folder(spark, "edited")
+    rows = table(spark, sf_dir, "part").orderBy("p_partkey").select(F.concat(F.lit(" T"), "p_size", F.lit(" ")).alias("token"), F.concat(F.lit("  "), "p_name", F.lit(', "'), "p_brand", F.lit('" '), "p_partkey").alias("text"))
+    rows.write.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return dictionary.read_csv(spark, path)
+
+
+@query(f"WITH {_PLAN} SELECT * REPLACE (coalesce(type, 'replace') AS type) FROM p")
+def plan_changes_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "changes-csv")
+    sinks.write_plan_csv(_plan(spark, sf_dir), path)
+    return sinks.read_changes_csv(spark, path).select(*_FIELDS)
+
+
+@query(f"""WITH {_PLAN}, m AS (SELECT token, arg_max(replacement, (file, line, id, replacement)) AS r FROM p WHERE token IS NOT NULL GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY token DESC) AS back FROM m)
+  SELECT '  "' || token || '": "' || r || '"' || CASE WHEN back > 1 THEN ',' ELSE '' END AS value FROM n UNION ALL SELECT unnest(['// made', 'export default {{', '}};'])""")
+def token_module(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tokens") + ".js"
+    documents.write_token_module(_plan(spark, sf_dir), path, "// made\n")
+    return spark.read.text(path)
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), l AS (SELECT *, doc_id % 4 AS form FROM d)
+  SELECT doc_id, CASE WHEN form = 0 THEN h END AS strict, CASE WHEN form < 3 THEN 'x' ELSE 'https' END AS scheme, CASE WHEN form < 3 THEN 'v1' ELSE 'a.b:8' END AS host, CASE form WHEN 0 THEN '/forge/' || h WHEN 1 THEN '/forge/' || upper(h) WHEN 2 THEN '/forge/' || h || '/' ELSE '/p' END AS path,
+    CASE WHEN form = 3 THEN h END AS hash, CASE WHEN form = 3 THEN '2 b' ELSE '1' END AS version FROM l""")
+def link_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    form, head = F.expr("doc_id % 4"), patches.LINK.split("(")[0].removeprefix(r"\A")
+    link = F.when(form == 0, patches.link_of_plan(digest)).when(form == 1, F.concat(F.lit(head), F.upper(digest))).when(form == 2, F.concat(F.lit(head), digest, F.lit("/"))).otherwise(F.concat(F.lit("https://a.b:8/p?v=2%20b&hash="), digest, F.lit("#x")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", link.alias("link")).select("doc_id", patches.strict_hash_of_link("link").alias("strict"), patches.link_parts("link").alias("p"), form.alias("form"))
+    # the tool's own scheme is not spelt out in SQL
+    return rows.select("doc_id", "strict", F.when(F.col("form") < 3, F.when(F.startswith(F.lit(head), F.concat("p.scheme", F.lit("://"))), "x")).otherwise(F.col("p.scheme")).alias("scheme"), "p.host", "p.path", "p.hash", "p.version")
+
+
+@query("""SELECT p_partkey AS path, p_size AS start_line, '' || p_brand AS before, p_type AS after FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size + 1, p_name, p_name || '.' FROM part WHERE p_partkey % 5 = 0""")
+def viewed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of which some differ in their lines' ends only; files without another change go."""
+    block = lambda start, before, after: F.struct(F.lit("replace").alias("type"), start.cast("int").alias("start_line"), start.cast("int").alias("end_line"), F.array(before).alias("before"), F.array(after).alias("after"))
+    key = F.col("p_partkey")
+    real = F.when(key % 3 == 0, block(F.col("p_size"), F.concat("p_brand", F.lit(" ")), F.concat("p_type", F.lit("\t "))))
+    name = block(F.col("p_size") + 1, F.concat("p_name", F.lit("  ")), F.when(key % 5 == 0, F.concat("p_name", F.lit("."))).otherwise(F.col("p_name")))
+    files = table(spark, sf_dir, "part").select(key.alias("path"), F.lit("modified").alias("status"), F.array_compact(F.array(name, real)).alias("changes"))
+    shown = seqdiff.view(files, trim=True, zero_impact=False, empty_files=False).select("path", F.inline("changes"))
+    return shown.select("path", "start_line", F.col("before")[0].alias("before"), F.col("after")[0].alias("after"))
+
+
+@query("""WITH d AS (SELECT p_name AS text, 'T' || min(p_partkey) AS token FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), l AS (SELECT p_partkey, p_name, ['print("', 'raise Odd(''', 'logging.info("', 'show("'][p_partkey % 4 + 1] AS a, ['")  # "' || p_name || '"', ''')', '")', '")'][p_partkey % 4 + 1] AS b FROM part)
+  SELECT p_partkey::VARCHAR AS file, 1 AS line_no, a || p_name || b AS original, replace(replace(a || p_name || b, '"' || p_name || '"', 't("' || token || '")'), '''' || p_name || '''', 't("' || token || '")') AS replacement, token FROM l JOIN d ON text = p_name WHERE p_partkey % 4 <> 3""")
+def called_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, form = table(spark, sf_dir, "part"), F.expr("p_partkey % 4")
+    words = part.where("p_partkey % 3 != 0").groupBy(F.col("p_name").alias("text")).agg(F.concat(F.lit("T"), F.min("p_partkey")).alias("token"))
+    quote = lambda a, b: F.concat(F.lit(a), "p_name", F.lit(b))
+    line = F.when(form == 0, F.concat(quote('print("', '")  # "'), "p_name", F.lit('"'))).when(form == 1, quote("raise Odd('", "')")).when(form == 2, quote('logging.info("', '")')).otherwise(quote('show("', '")'))
+    return dictionary.substitute_calls(part.select(F.col("p_partkey").cast("string").alias("file"), F.lit(1).alias("line_no"), line.alias("line")), words)
+
+
+@query("SELECT c_name AS path FROM customer UNION SELECT s_name FROM supplier UNION SELECT 'c' || text FROM benchmark")
+def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [table(spark, sf_dir, t).select(F.concat(F.lit(p), c).alias("path")) for t, c, p in (("customer", "c_name", ""), ("supplier", "s_name", ""), ("benchmark", "text", "c"))]
+    return treediff.all_keys(*names)

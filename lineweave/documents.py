@@ -83,6 +83,14 @@ def read_plan_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return read.select("meta.*"), read.select(F.inline("changes"))
 
 
+def write_token_module(changes: DataFrame, path: str, header: str = "") -> None:
+    """A plan's tokens and replacements as a script that exports one object, sorted by token; of a token's replacements the plan's last."""
+    order = F.struct(F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), F.coalesce("id", F.lit("")), "replacement")
+    last = sinks.plan_columns(changes).where("token is not null and token != ''").groupBy("token").agg(F.max_by("replacement", order).alias("replacement"))
+    element = F.concat(F.lit("  "), _value("t", F.col("token")), F.lit(": "), _value("r", F.col("replacement")))
+    write_document(last.orderBy("token").select(element.alias("element")), path, f"{header}export default {{\n", "\n};\n", f"{header}export default {{}};\n")
+
+
 def write_evidence_document(evidence: DataFrame, path: str) -> None:
     """An evidence store (normalized_hash, count, total_lines) as one object by hash, keys sorted."""
     inside = pretty_object({c: F.col(c) for c in ("count", "normalized_hash", "total_lines")}, 4, 4)

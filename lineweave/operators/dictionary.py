@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_key
+from ..functions.text import normal_key, strip
 
 
 def build(texts: DataFrame, text: str = "text", order: str = "ord") -> DataFrame:
@@ -50,3 +50,34 @@ def substitute(text_lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     hits = spots.join(dictionary, "text").groupBy("file", "line_no", "line").agg(F.array_sort(F.collect_list(F.struct("n", "quoted", "token"))).alias("hits"))
     swap = F.aggregate("hits", F.col("line"), lambda line, h: F.replace(line, h["quoted"], F.concat(F.lit('messages["'), h["token"], F.lit('"]'))))
     return hits.select("file", "line_no", F.col("line").alias("original"), swap.alias("replacement"), F.col("hits")[0]["token"].alias("token"))
+
+
+# Where a literal may be replaced by a call, in order, with the group of its text.
+CALLS = ((r"""print\((["'])(.+?)\1\)""", 2), (r"""raise\s+(\w+)\((["'])(.+?)\2\)""", 3), (r"""logging\.(info|warning|error|debug)\((["'])(.+?)\2\)""", 3))
+
+
+def substitute_calls(text_lines: DataFrame, dictionary: DataFrame, call: str = "t") -> DataFrame:
+    """(file, line_no, original, replacement, token): lines that print, raise or log a text of the dictionary, which becomes a call.
+
+    The first of the three forms whose first place in the line has such a text decides, and all its quoted places in the
+    line are replaced. Texts of the dictionary (token, text) are distinct.
+    """
+    found = F.array(*(F.struct(F.lit(n).alias("n"), F.regexp_extract("line", pattern, group).alias("text")) for n, (pattern, group) in enumerate(CALLS)))
+    spots = text_lines.select("file", "line_no", "line", F.explode(F.filter(found, lambda x: x["text"] != "")).alias("f")).select("file", "line_no", "line", "f.*")
+    hits = spots.join(dictionary.select("text", "token"), "text").groupBy("file", "line_no", "line").agg(F.min_by(F.struct("text", "token"), "n").alias("h"))
+    made = F.concat(F.lit(f'{call}("'), F.col("h.token"), F.lit('")'))
+    quoted = lambda q: F.concat(F.lit(q), F.col("h.text"), F.lit(q))
+    return hits.select("file", "line_no", F.col("line").alias("original"), F.replace(F.replace("line", quoted('"'), made), quoted("'"), made).alias("replacement"), "h.token")
+
+
+def read_csv(spark, path: str) -> DataFrame:
+    """(token, text) of an edited dictionary in CSV with columns token and text: stripped, the last text of a token.
+
+    Rows count in the order of the files' names, and in a file from top to bottom; rows without a token are dropped.
+    """
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    raw = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
+    text = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
+    # a file of several lines a row is read by one task, in order
+    rows = raw.select(text("token").alias("token"), text("text").alias("text"), F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).alias("ord"))
+    return last_wins(rows)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_hash, set_digest
 from ..functions.shared import written
-from ..functions.text import normal_line, split_lines
+from ..functions.text import SPACE, normal_line, split_lines
 from . import align
 
 #: More changed lines than this make one whole-file change.
@@ -91,6 +91,19 @@ def normalized(files: DataFrame, key: str = "path") -> DataFrame:
     return files.withColumn("changes", by_line).where(F.size("changes") > 0)
 
 
+def view(files: DataFrame, key: str = "path", trim: bool = False, zero_impact: bool = True, empty_files: bool = True) -> DataFrame:
+    """A normalised diff for people to look at, not for its hash: on request lines without white space at their ends, and
+    without changes that change nothing, and without files that have no change left.
+    """
+    shown = normalized(files, key)
+    if trim:
+        body = lambda lines: F.transform(lines, lambda x: F.regexp_replace(x, rf"{SPACE}++\z", ""))
+        shown = shown.withColumn("changes", F.transform("changes", lambda c: c.withField("before", body(c.before)).withField("after", body(c.after))))
+    if not zero_impact:
+        shown = shown.withColumn("changes", F.filter("changes", lambda c: ~c.before.eqNullSafe(c.after)))
+    return shown if empty_files else shown.where(F.size("changes") > 0)
+
+
 def diff_hash(files: DataFrame, key: str = "path") -> DataFrame:
     """One row: the hash of a normalised diff, the same in whatever order files and changes come.
 

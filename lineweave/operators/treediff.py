@@ -41,6 +41,11 @@ def compare_trees(before: DataFrame, after: DataFrame, path: str = "path", conte
     return out.where("status != 'removed'") if target_scope else out
 
 
+def all_keys(*tables: DataFrame, key: str = "path") -> DataFrame:
+    """The keys that any of the tables has, each once, in order; null is none."""
+    return reduce(DataFrame.union, (t.select(key) for t in tables)).where(F.col(key).isNotNull()).distinct().orderBy(key)
+
+
 def compare_lines(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
     """(key, line_no, type, before, after) line by line at the same position: insert, delete or replace."""
     a = before.select(key, "line_no", F.col("line").alias("before"), F.lit(True).alias("in_a"))

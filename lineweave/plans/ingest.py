@@ -52,15 +52,30 @@ class _Unpacked:
     def __init__(self, raw: bytes, limits: dict[str, int]):
         self.rest, self.size, self.limits = memoryview(raw), len(raw), limits
         self.stream, self.held, self.total = zlib.decompressobj(31), bytearray(), 0
+        self.last, self.given = b"", 0
+
+    def _next(self) -> bytes:
+        """Packed bytes to go on with; where a stream ends, another may follow, as in archives packed in chunks."""
+        if self.stream.eof:
+            left = self.stream.unused_data or self.rest[:PIECE]
+            if self.stream.unused_data:
+                self.stream = zlib.decompressobj(31)
+                return left
+            if not left:
+                return b""
+            self.stream = zlib.decompressobj(31)
+        elif self.stream.unconsumed_tail:
+            return self.stream.unconsumed_tail
+        left, self.rest = self.rest[:PIECE], self.rest[PIECE:]
+        if not left:
+            raise Refused("decompression", "truncated")
+        return left
 
     def read(self, size: int) -> bytes:
-        while len(self.held) < size and not self.stream.eof:
-            # what the last call left over comes first
-            left = self.stream.unconsumed_tail
+        while len(self.held) < size:
+            left = self._next()
             if not left:
-                left, self.rest = self.rest[:PIECE], self.rest[PIECE:]
-                if not left:
-                    raise Refused("decompression", "truncated")
+                break
             try:
                 more = self.stream.decompress(left, PIECE)
             except zlib.error as error:
@@ -71,15 +86,19 @@ class _Unpacked:
             if self.total > self.limits["ratio_floor"] and self.total > self.limits["ratio"] * self.size:
                 raise Refused("decompression", "suspicious ratio")
             self.held += more
-        out = bytes(self.held[:size])
+        self.last = bytes(self.held[:size])
         del self.held[:size]
-        return out
+        self.given += len(self.last)
+        return self.last
 
-    def finish(self) -> None:
-        while self.read(PIECE):
-            pass
-        if self.stream.unused_data or self.rest:
-            raise Refused("decompression", "more than one stream")
+    def finish(self, at: int) -> None:
+        """Nothing but zeros may follow an archive that ends before byte ``at``, some of which has been read by now."""
+        more = self.last[len(self.last) - (self.given - at) :] if self.given > at else b""
+        while True:
+            if more.strip(b"\0"):
+                raise Refused("structure", "more than one archive")
+            if not (more := self.read(PIECE)):
+                return
 
 
 def _allowed(member: tarfile.TarInfo, seen: set[str]) -> None:
@@ -112,9 +131,10 @@ def pieces(raw: bytes, limits: dict[str, int]):
                     yield member.name, n, part
                     n += 1
                 tar.members = []  # a stream's members are not asked for again
+            end = tar.fileobj.tell()
     except (tarfile.TarError, EOFError, ValueError) as error:
         raise Refused("structure", "unreadable") from error
-    stream.finish()
+    stream.finish(end)
 
 
 def _unpack(limits: dict[str, int]):

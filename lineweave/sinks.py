@@ -52,6 +52,18 @@ def read_plan_csv(spark, path: str) -> DataFrame:
     return plan_columns(rows).withColumn("type", F.when(F.col("type") != "replace", F.col("type")))
 
 
+def read_changes_csv(spark, path: str) -> DataFrame:
+    """A plan from its CSV as it stands: no row is dropped, helpers keep their own fields only; a line that is no number fails the query."""
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    raw = raw.toDF(*(c.lstrip("\ufeff") for c in raw.columns))
+    helper = F.coalesce("type", F.lit("replace")) == "helper"
+    own = lambda c, of: F.when(of, F.col(c)).alias("helper_ref" if c == "helper_path" else c)
+    return plan_columns(raw.select(
+        own("id", ~helper), F.coalesce("type", F.lit("replace")).alias("type"), "file", F.col("line").cast("int").alias("line"), *(own(c, ~helper) for c in ("original", "replacement", "token")),
+        *(own(c, helper) for c in ("helper_id", "helper_path", "helper_source")),
+    ))
+
+
 def write_plan_xml(changes: DataFrame, path: str) -> None:
     plan_columns(changes).write.format("xml").option("rootTag", "plan").option("rowTag", "change").save(path)
 

@@ -1,72 +1,177 @@
-"""Packed artifacts: reading and checking their members, and writing them reproducibly."""
+"""Packed artifacts: reading and checking their members, and writing them reproducibly, also those that no task could hold.
+
+An archive's layout follows from the sizes of its members in order of their names: a prefix sum gives each its place. The
+archive is cut into chunks of a fixed number of bytes, which tasks fill and pack on their own; a packed archive is its packed
+chunks one after the other, as gzip allows. One chunk is packed as the whole would be, so small archives have the bytes
+of :func:`pack`.
+"""
 
 from __future__ import annotations
 
 import gzip
-import hashlib
 import io
 import tarfile
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..operators.registry import LIMITS
 
+#: Unpacked bytes of a chunk.
+CHUNK = 32 << 20
+#: Bytes of members that a reader's batch holds.
+BATCH = 8 << 20
+
+
+def _entry(name: str, size: int) -> tarfile.TarInfo:
+    info = tarfile.TarInfo(name)
+    info.size, info.mtime, info.uid, info.gid, info.uname, info.gname, info.mode = size, 0, 0, 0, "", "", 0o644
+    return info
+
 
 def pack(members: list[tuple[str, bytes]]) -> bytes:
     """A gzipped tar whose bytes depend on names and contents alone: sorted, no times, no owners."""
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w", format=tarfile.PAX_FORMAT) as tar:
         for name, content in sorted(members):
-            info = tarfile.TarInfo(name)
-            info.size, info.mtime, info.uid, info.gid, info.uname, info.gname, info.mode = len(content), 0, 0, 0, "", "", 0o644
-            tar.addfile(info, io.BytesIO(content))
+            tar.addfile(_entry(name, len(content)), io.BytesIO(content))
     return gzip.compress(raw.getvalue(), 9, mtime=0)
 
 
-def pack_groups(members: DataFrame, by: str = "artifact") -> DataFrame:
-    """(by, archive, hash) from members (by, path, content): one archive for each group, whose size a reader must bear."""
+def prefix_sums(rows: DataFrame, by: str, order: list[str], size: str) -> DataFrame:
+    """``rows`` with ``offset``: the sum of ``size`` over the rows of the same ``by`` before, in order.
 
-    def build(key, table):
-        archive = pack(list(zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True)))
-        return pa.table({by: table.column(by).slice(0, 1), "archive": pa.array([archive], pa.binary()), "hash": pa.array([hashlib.sha256(archive).hexdigest()])})
+    Sums are taken within ranges of the order first, then over the ranges, so that no task sorts all rows of one ``by``.
+    """
+    placed = written(rows.repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(by, "_range").agg(F.sum(size).alias("_sum"))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(by, "_range", F.coalesce(F.sum("_sum").over(ahead(Window.partitionBy(by).orderBy("_range"))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(size).over(ahead(Window.partitionBy(by, "_range").orderBy(*order))), F.lit(0))
+    return placed.withColumn("_inside", inside).join(base, [by, "_range"]).withColumn("offset", F.col("_base") + F.col("_inside")).drop("_range", "_base", "_inside")
+
+
+def pack_parts(members: DataFrame, by: str = "artifact", chunk: int = CHUNK) -> DataFrame:
+    """(by, part, content): the packed chunks of each group's archive, in order, from members (by, path, content).
+
+    Joined they are the archive; a task holds one chunk, and a row one member. Null contents are empty files, rows without
+    a path or a group are left out.
+    """
 
-    kind = members.schema[by].dataType.simpleString()
-    return members.select(by, "path", "content").groupBy(by).applyInArrow(build, f"{by} {kind}, archive binary, hash string")
+    @F.arrow_udf("binary")
+    def header(paths: pa.Array, sizes: pa.Array) -> pa.Array:
+        made = (_entry(name, size).tobuf(tarfile.PAX_FORMAT, "utf-8", "surrogateescape") for name, size in zip(paths.to_pylist(), sizes.to_pylist(), strict=True))
+        return pa.array(list(made), pa.binary())
+
+    block = tarfile.BLOCKSIZE
+    padded = lambda n, to: F.ceil(n / to) * to
+    content = F.coalesce("content", F.lit(b""))
+    rows = members.where(F.col("path").isNotNull() & F.col(by).isNotNull()).select(by, "path", content.alias("content")).withColumn("head", header("path", F.octet_length("content").cast("long")))
+    rows = rows.withColumn("size", (F.octet_length("head") + padded(F.octet_length("content"), block)).cast("long"))
+    placed = prefix_sums(rows, by, ["path", "content"], "size")
+    total = placed.groupBy(by).agg(F.sum("size").alias("offset"))
+    none = F.lit(b"")
+    last = total.select(by, none.alias("content"), none.alias("head"), (padded(F.col("offset") + 2 * block, tarfile.RECORDSIZE) - F.col("offset")).cast("long").alias("size"), "offset")
+    whole = placed.select(*last.columns).unionByName(last)
+    part = F.explode(F.sequence(F.floor(F.col("offset") / chunk), F.floor((F.col("offset") + F.col("size") - 1) / chunk)))
+    cut = whole.withColumn("part", part)
+    low = F.greatest(F.col("offset"), F.col("part") * chunk)
+    high = F.least(F.col("offset") + F.col("size"), (F.col("part") + 1) * chunk)
+    begin = (low - F.col("offset")).cast("int")
+    after = F.greatest(begin - F.octet_length("head"), F.lit(0))  # where in the content a piece goes on
+    data = F.concat(F.substring("head", begin + 1, (high - low).cast("int")), F.substring("content", after + 1, F.greatest((high - low).cast("int") - F.greatest(F.octet_length("head") - begin, F.lit(0)), F.lit(0))))
+    pieces = cut.select(by, "part", (low - F.col("part") * chunk).alias("start"), (high - F.col("part") * chunk).alias("end"), data.alias("data"))
+
+    def fill(key, table):
+        raw = bytearray(max(table.column("end").to_pylist()))  # members' padding and the archive's end are zeros
+        for start, data in zip(table.column("start").to_pylist(), table.column("data").to_pylist(), strict=True):
+            raw[start : start + len(data)] = data
+        return pa.table({by: table.column(by).slice(0, 1), "part": table.column("part").slice(0, 1), "content": pa.array([gzip.compress(raw, 9, mtime=0)], pa.binary())})
+
+    return pieces.groupBy(by, "part").applyInArrow(fill, f"{by} {members.schema[by].dataType.simpleString()}, part long, content binary")
+
+
+def pack_groups(members: DataFrame, by: str = "artifact", chunk: int = CHUNK) -> DataFrame:
+    """(by, archive, hash) from members (by, path, content): one archive for each group, which a row has to hold; see :func:`pack_parts`."""
+    parts = pack_parts(members, by, chunk).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]).alias("parts"))
+    whole = F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)))
+    return parts.select(by, whole.alias("archive")).withColumn("hash", F.sha2("archive", 256))
+
+
+def write_archive(parts: DataFrame, path: str) -> None:
+    """Write the parts (part, content) of one archive as one file, a part at a time."""
+    spark: SparkSession = parts.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    files = target.getFileSystem(conf)
+    out = files.create(fresh, True)
+    ordered = written(parts.select("part", "content"), "parts").orderBy("part")
+    for row in ordered.toLocalIterator(prefetchPartitions=False):
+        out.write(bytearray(row["content"]))
+    out.close()
+    files.delete(target, False)
+    files.rename(fresh, target)
+
+
+def _listed(raw: bytes):
+    """Regular members of an archive as a stream; raises ValueError where it breaks a rule."""
+    total = 0
+    # tarfile's own reader stops after the first of several packed chunks
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as unpacked, tarfile.open(fileobj=unpacked, mode="r|") as tar:
+        for n, member in enumerate(tar):
+            total += member.size
+            if member.name.startswith("/") or ".." in member.name.split("/"):
+                raise ValueError("unsafe path")
+            if not (member.isreg() or member.isdir()):
+                raise ValueError("not a regular file")
+            if n >= LIMITS["entries"] or total > LIMITS["bytes"]:
+                raise ValueError("too large")
+            tar.members = []
+            if member.isreg():
+                yield member.name, tar.extractfile(member)
+
+
+def _fault(raw: bytes) -> str | None:
+    try:
+        for _, content in _listed(raw):
+            while content.read(1 << 20):
+                pass
+    except (tarfile.TarError, OSError, EOFError, zlib.error) as error:
+        return f"unreadable: {type(error).__name__}"
+    except ValueError as error:
+        return str(error)
+    return None
 
 
 def read_archives(files: DataFrame, key: str = "path", column: str = "content") -> DataFrame:
     """(key, member, content, error) of every regular member; an archive that breaks a rule gives one row with the error.
 
-    Rules: gzip and tar can be read, no absolute path and no step upwards, no links, entries and bytes within limits.
+    Rules: gzip and tar can be read, no absolute path and no step upwards, no links, entries and bytes within limits. An
+    archive is read twice, as a stream: first to the end for faults, then for its members, which are handed on as they come.
     """
 
     def read(batches):
         for batch in batches:
-            out = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, error, total = [], None, 0
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(raw or b""), mode="r:gz") as tar:
-                        for n, member in enumerate(tar):
-                            total += member.size
-                            if member.name.startswith("/") or ".." in member.name.split("/"):
-                                error = "unsafe path"
-                            elif not (member.isreg() or member.isdir()):
-                                error = "not a regular file"
-                            elif n >= LIMITS["entries"] or total > LIMITS["bytes"]:
-                                error = "too large"
-                            if error:
-                                break
-                            if member.isreg():
-                                found.append((name, member.name, tar.extractfile(member).read(), None))
-                except (tarfile.TarError, OSError, EOFError) as e:
-                    error = f"unreadable: {type(e).__name__}"
-                out += [(name, None, None, error)] if error else found
-            columns = list(zip(*out, strict=True)) or [[]] * 4
             types = (batch.schema.field(0).type, pa.string(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "member", "content", "error"])
+            made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [key, "member", "content", "error"])  # noqa: B023, E731
+            held, size = [], 0
+            for at in range(batch.num_rows):
+                name, raw = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or b""
+                fault = _fault(raw)
+                if fault:
+                    held.append((name, None, None, fault))
+                    continue
+                for member, content in _listed(raw):
+                    held.append((name, member, content.read(), None))
+                    size += len(held[-1][2]) + 100
+                    if size >= BATCH:
+                        yield made(held)
+                        held, size = [], 0
+            if held:
+                yield made(held)
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, column).mapInArrow(read, f"{key} {kind}, member string, content binary, error string")

@@ -59,3 +59,27 @@ def binary_entries(tree: DataFrame) -> DataFrame:
 def plan_hash_of_link(link: Column | str) -> Column:
     """The plan's hash in a link; null if it isn't one."""
     return F.nullif(F.regexp_extract(link, LINK, 1), F.lit(""))
+
+
+def link_of_plan(plan_hash: Column | str, link: str = LINK) -> Column:
+    """The link of a plan's hash, which has 64 lower-case hex digits; null for anything else."""
+    c = F.col(plan_hash) if isinstance(plan_hash, str) else plan_hash
+    return F.when(c.rlike(r"\A[a-f0-9]{64}\z"), F.concat(F.lit(link.split("(")[0].removeprefix(r"\A")), c))
+
+
+def strict_hash_of_link(link: Column | str, pattern: str = LINK) -> Column:
+    """The plan's hash in a link exactly as :func:`link_of_plan` makes it; null if it isn't one."""
+    c = F.col(link) if isinstance(link, str) else link
+    found = plan_hash_of_link(c)
+    return F.when(c == link_of_plan(found, pattern), found)
+
+
+def link_parts(link: Column | str) -> Column:
+    """A link's scheme, host and path, and the values of ``hash`` (null without one) and ``v`` (1 without one) in its query."""
+    c = F.col(link) if isinstance(link, str) else link
+    part = lambda pattern: F.coalesce(F.regexp_extract(c, pattern, 1), F.lit(""))
+    query = lambda name: F.nullif(F.try_url_decode(F.regexp_extract(part(r"\A[^?#]*\?([^#]*)"), rf"(?:\A|&){name}=([^&]+)", 1)), F.lit(""))
+    return F.struct(
+        F.lower(part(r"\A([A-Za-z][A-Za-z0-9+.-]*):")).alias("scheme"), part(r"\A(?:[^:/?#]+:)?//([^/?#]*)").alias("host"), part(r"\A(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)").alias("path"),
+        query("hash").alias("hash"), F.coalesce(query("v"), F.lit("1")).alias("version"),
+    )

@@ -64,7 +64,7 @@ def test_each_stage_refuses_its_own(spark):
     digest = lambda member: hashlib.sha256(member[1]).hexdigest()
     faulty = {
         "null": (None, "header", "no content"), "empty": (b"", "header", "no gzip header"), "zip": (b"PK\x03\x04" + good, "header", "no gzip header"), "fat": (b"\x1f\x8b\x08" + b"0" * 9000, "header", "too large"),
-        "cut": (good[:-20], "decompression", "truncated"), "garbled": (good[:12] + bytes(30) + good[42:], "decompression", "unreadable"), "two": (good + good, "decompression", "more than one stream"), "tail": (good + b"x", "decompression", "more than one stream"),
+        "cut": (good[:-20], "decompression", "truncated"), "garbled": (good[:12] + bytes(30) + good[42:], "decompression", "unreadable"), "two": (good + good, "structure", "more than one archive"), "tail": (good + b"x", "decompression", "truncated"), "noisy": (good + b"hello", "decompression", "unreadable"),
         "bomb": (archive(*GOOD, ("payload/z", bytes(1 << 22))), "decompression", "too large"), "no tar": (gzip.compress(b"hello" * 300), "structure", "unreadable"),
         "up": (archive(*GOOD, ("payload/../../x", b"")), "structure", "unsafe path"), "root": (archive(*GOOD, ("/x", b"")), "structure", "unsafe path"), "link": (archive(*GOOD, entries=[link("payload/l")]), "structure", "not a regular file"),
         "hard": (archive(*GOOD, entries=[link("payload/l", tarfile.LNKTYPE)]), "structure", "not a regular file"), "device": (archive(*GOOD, entries=[link("payload/l", tarfile.CHRTYPE)]), "structure", "not a regular file"),
@@ -315,8 +315,65 @@ def test_a_pair_of_a_million_lines(spark):
     assert wrong.count() == 0
 
 
+def test_archives_of_many_chunks(spark, tmp_path):
+    """Small chunks, members over several of them, long and odd names: the tar is the one that is packed whole."""
+    rng = random.Random(15)
+    own = {"a": [(f"m/{'long' * 30}{i}é.txt", rng.randbytes(rng.choice((0, 1, 511, 512, 513, 9000)))) for i in range(12)], "b": [("x", b"")], "c": [("p", b"1"), ("p", b"0"), ("q", None)]}
+    rows = [(k, n, c) for k, members in own.items() for n, c in members]
+    rng.shuffle(rows)
+    members = spark.createDataFrame([*rows, (None, "x", b""), ("d", None, b"")], "artifact string, path string, content binary")
+    plain = {k: [(n, c or b"") for n, c in v] for k, v in own.items()}
+    whole = {r.artifact: bytes(r.archive) for r in archives.pack_groups(members).collect()}
+    assert whole == {k: archives.pack(v) for k, v in plain.items()}
+    parts = archives.pack_parts(members, chunk=3000)
+    cut = {r.artifact: bytes(r.archive) for r in archives.pack_groups(members, chunk=3000).collect()}
+    assert {k: gzip.decompress(v) for k, v in cut.items()} == {k: gzip.decompress(v) for k, v in whole.items()} and parts.where("artifact = 'a'").count() > 10
+    archives.write_archive(parts.where("artifact = 'a'"), str(tmp_path / "a.tgz"))
+    assert (tmp_path / "a.tgz").read_bytes() == cut["a"]
+    back = archives.read_archives(spark.createDataFrame(list(cut.items()), "path string, content binary")).collect()
+    assert sorted((r.path, r.member, bytes(r.content)) for r in back) == sorted((k, n, c) for k, v in plain.items() for n, c in v)
+    seen = [(n, c) for n, _, c in ingest.pieces(gzip.compress(b"") + archive(*GOOD), ingest.LIMITS)]
+    assert seen == GOOD  # a stream of several parts is read through
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(16)
+    rows = [(rng.randint(0, 2), i, rng.randint(0, 9)) for i in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r.k, r.n): r.offset for r in archives.prefix_sums(spark.createDataFrame(rows, "k int, n int, size long"), "k", ["n"], "size").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(k, n): sum(s for j, m, s in rows if j == k and m < n) for k, n, _ in rows}
+
+
 def test_packed_archives_pass(spark):
     members = spark.createDataFrame([("x", *m) for m in GOOD], "artifact string, path string, content binary")
     packed = archives.pack_groups(members).select("artifact", F.col("archive").alias("content"))
     given = {name: spark.createDataFrame([], schema) for name, schema in NONE.items()}
     assert ingest.ingest(packed, **given, formats=("pack",)).admitted.count() == 1
+
+
+def test_lineages_while_packing(spark):
+    from lineweave.plans import pack
+
+    kind = {k: json.dumps({"lineage": v, "payload": {"hash": {"value": f"h-{k}"}}}) for k, v in {"root": {"type": "root", "lineage_id": "L"}, "off": {"type": "detached"}, "bad": {"type": "root"}}.items()} | {"none": "{}"}
+    rows = [
+        ("first", '{"b": 1, "a": "é"}', "plan", None, None, None), ("after", "[1]", "plan", None, kind["root"], False), ("child", "[2]", "plan", kind["root"], kind["off"], None), ("loose", "[3]", "plan", None, kind["root"], True), ("both", "[4]", "plan", kind["root"], None, True),
+        ("of off", "[5]", "plan", kind["off"], None, None), ("of bad", "[6]", "plan", kind["bad"], None, None), ("of none", "[7]", "plan", kind["none"], None, None), ("odd", "{", "plan", None, None, None), ("void", None, "plan", None, None, None),
+    ]
+    given = spark.createDataFrame(rows, "artifact string, payload string, type string, parent string, context string, detached boolean")
+    files = spark.createDataFrame([("first", "d/x", b"X"), ("both", "y", b"")], "artifact string, path string, content binary")
+    packed = pack.pack(given, "pack", "test", "2024-01-01T00:00:00Z", files)
+    got = {r.artifact: r for r in packed.collect()}
+    assert {k: r.error for k, r in got.items() if r.error} == {"both": "both a parent and detached", "of off": "parent is detached", "of bad": "parent without lineage id", "of none": "parent without lineage", "odd": "not JSON", "void": "not JSON"}
+    lineages = {k: json.loads(r.manifest)["lineage"] for k, r in got.items() if not r.error}
+    first = got["first"].payload_hash
+    assert lineages == {"first": {"type": "root", "lineage_id": first, "parent": None}, "after": {"type": "derived", "lineage_id": "L", "parent": "h-root"}, "child": {"type": "derived", "lineage_id": "L", "parent": "h-root"}, "loose": {"type": "detached", "lineage_id": None, "parent": None}}
+    assert all(r.archive is None and r.payload_hash is None for r in got.values() if r.error)
+    assert got["first"].manifest == json.dumps(json.loads(got["first"].manifest), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert bytes(got["first"].archive) == archives.pack([("manifest.json", got["first"].manifest.encode()), ("payload/plan.json", rows[0][1].encode()), ("payload/files/d/x", b"X")])
+    # what is packed is taken in again
+    given = {name: spark.createDataFrame([], schema) for name, schema in NONE.items()}
+    done = ingest.ingest(packed.where("error is null").select("artifact", F.col("archive").alias("content")), **given, formats=("pack",))
+    assert done.quarantine.count() == 0 and {r.artifact: r.payload_hash for r in done.admitted.collect()} == {k: r.payload_hash for k, r in got.items() if not r.error}
+    left = {r.last_artifact: r.active_lineage_id for r in pack.next_context(packed).collect()}
+    assert left == {"first": first, "after": "L", "child": "L", "loose": None}
