@@ -113,7 +113,7 @@ _HITS = "len(list_filter(listed, lambda x: contains(upper(text), x)))"
 def dictionary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "part").select(F.explode(F.array_append(F.split("p_name", " "), F.col("p_name"))).alias("word"))
     words = named.unionByName(spark.createDataFrame([(w,) for w in ("select", "from", "x", "t where x = ", "a_b")], "word string"))
-    rows = wordlists.with_sql_flag(wordlists.with_sql_score(wordlists.with_cleaner_score(texts(spark, sf_dir), words), words), words)
+    rows = wordlists.with_scores(texts(spark, sf_dir), words)
     return rows.select("origin", "id", "is_sql", F.col("sql_score").cast("int").alias("sql_score"), F.col("score").cast("int").alias("score"))
 
 

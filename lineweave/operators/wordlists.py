@@ -1,8 +1,9 @@
 """Rules that look texts up in word lists of any size.
 
-Lists are joined, not held in a column or a task. What a text says is first cut to its distinct tokens, and what holds for a
-token is found once for all texts that have it. Tokens that stand in over a thousandth of all rows, which are a thousand at
-most, are joined by broadcast; the rest by a shuffle in which no key is hot.
+Lists are joined, not held in a column or a task. Before a text's tokens are shuffled, those that can't be in the list are
+dropped by a broadcast table of the list's hash buckets, which has a million rows at most whatever the list. Of the rest,
+tokens that stand in over a thousandth of all rows, a thousand at most, are joined by broadcast, the others by a
+shuffle in which no key is hot. What has to be searched for inside tokens is searched once for all texts that have the token.
 """
 
 from __future__ import annotations
@@ -18,13 +19,26 @@ from . import classify
 
 #: A key is hot if it is more than one in so many rows; there are fewer hot keys than that.
 HOT = 1000
+#: Hash buckets by which tokens that can't be in a list are told: a broadcast has no more rows.
+BUCKETS = 1 << 20
+#: Letters of a run without white space that are searched at once.
+RUN = 1000
 #: The score of a text with two words of a list, whatever else it has.
 DROPPED = 999
 
 
 def keyed(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(row, text) of all rows, written once: a row's number must not change between its uses."""
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("whole")), "texts")
+    """(row, whole, text) of all rows, written once: a row's number must not change between its uses."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("whole")
+    held = written(rows.select(F.monotonically_increasing_id().alias("row"), whole), "texts")
+    return held.select("row", "whole", F.coalesce(F.col(f"whole.`{text}`"), F.lit("")).alias("text"))
+
+
+def _possible(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows of ``many`` whose key shares its hash bucket with one of ``few``."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    buckets = few.select(bucket).distinct()  # no more than there are buckets
+    return many.select("*", bucket).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
 
 
 def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -36,16 +50,11 @@ def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return often.join(F.broadcast(few.join(F.broadcast(hot), key, "left_semi")), key).unionByName(seldom.join(few, key))
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """(row, token, times): the distinct word-like tokens of each text, lower case."""
-    counted = texts.select("row", F.explode(tokens(F.col("text"))).alias("token"))
-    return counted.groupBy("row", "token").agg(F.count("*").alias("times"))
-
-
 def token_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(row, total, strong, structural): how many tokens of a text (row, text) are in the list (word), and of which kind."""
-    listed = words.select(F.lower("word").alias("token")).distinct()
-    found = join_hot(written(_tokens(texts), "tokens"), listed, "token")
+    """(row, total, strong, structural): how many word-like tokens of a text (row, text) are in the list (word), and of which kind."""
+    listed = written(words.select(F.lower("word").alias("token")).where("token is not null").distinct(), "listed")
+    said = _possible(texts.select("row", F.explode(tokens(F.col("text"))).alias("token")), listed, "token")
+    found = join_hot(written(said.groupBy("row", "token").agg(F.count("*").alias("times")), "tokens"), listed, "token")
     count = lambda kind: F.coalesce(F.sum(F.when(F.col("token").isin(*kind), F.col("times"))), F.lit(0))
     return found.groupBy("row").agg(F.sum("times").alias("total"), count(classify.STRONG_SQL).alias("strong"), count(classify.STRUCTURAL_SQL).alias("structural"))
 
@@ -62,14 +71,18 @@ def contained_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     longest = F.element_at(F.array_sort(F.transform(parts, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("part")))), 1)
     pieces = written(upper.where(F.size(parts) > 0).select("word", longest["part"].alias("part"), (F.size(F.split("word", r"\s")) > 1).alias("spaced")), "pieces")
     one = F.lit(1).alias("one")
-    lengths = pieces.agg(F.array_sort(F.collect_set(F.length("part"))).alias("lengths")).select("lengths", one)  # one row, as many as a word has letters
-    runs = written(texts.select("row", F.explode(F.array_distinct(F.filter(F.split(F.upper("text"), r"\s+"), lambda p: p != ""))).alias("run")), "runs")
+    lengths = pieces.agg(F.array_sort(F.collect_set(F.length("part"))).alias("lengths")).where(F.size("lengths") > 0).select("lengths", one)  # one row, as many as a word has letters
+    said = texts.select("row", F.explode(F.array_distinct(F.filter(F.split(F.upper("text"), r"\s+"), lambda p: p != ""))).alias("run"), one)
+    # a long run is searched in windows, each with so much of the next one that no word is cut
+    begin = F.sequence(F.lit(0), F.floor((F.length("run") - 1) / RUN).cast("int"))
+    window = lambda k: F.substring(F.col("run"), k * RUN + 1, F.lit(RUN - 1) + F.element_at("lengths", -1))
+    runs = said.join(F.broadcast(lengths), "one").select("row", F.explode(F.array_distinct(F.transform(begin, window))).alias("run"))
     places = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda at: F.substring(F.col("run"), at, n))).otherwise(F.array().cast("array<string>"))
     cut = runs.select("run").distinct().select("run", one).join(F.broadcast(lengths), "one").select("run", F.explode(F.array_distinct(F.flatten(F.transform("lengths", places)))).alias("part"))
-    inside = written(cut.join(pieces, "part").select("run", "word", "spaced").distinct(), "inside")
+    inside = _possible(cut, pieces, "part").join(pieces, "part").select("run", "word", "spaced").distinct()
     # the words of a run: as many as it has stretches at most
-    by_run = inside.groupBy("run").agg(F.collect_list(F.struct("word", "spaced")).alias("found"))
-    hits = join_hot(runs, by_run, "run").select("row", F.explode("found").alias("f")).select("row", "f.*")
+    by_run = written(inside.groupBy("run").agg(F.collect_list(F.struct("word", "spaced")).alias("found")), "inside")
+    hits = join_hot(written(_possible(runs, by_run, "run"), "runs"), by_run, "run").select("row", F.explode("found").alias("f")).select("row", "f.*")
     plain = hits.where("not spaced").select("row", "word")
     spaced = hits.where("spaced").select("row", "word").distinct().join(texts.select("row", F.upper("text").alias("text")), "row").where(F.contains("text", F.col("word")))
     return plain.unionByName(spaced.select("row", "word")).distinct()
@@ -86,6 +99,21 @@ def _with(texts: DataFrame, counts: DataFrame, **columns: Column) -> DataFrame:
     return joined.select("whole.*", *(v.alias(k) for k, v in columns.items()))
 
 
+def _is_sql() -> Column:
+    t = F.col("text")
+    both = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))
+    signs = classify.contains_any(t, ("=", "?", "(", ")", "*", ","))
+    return ((F.col("strong") >= 1) & (F.col("structural") >= 1)) | ((F.col("total") >= 2) & signs) | ((F.col("strong") >= 1) & both) | classify.contains_any(F.upper(t), classify.SQL_PHRASES)
+
+
+def _sql_score() -> Column:
+    return F.col("hits") * 3 + classify.sql_score(F.col("text"))
+
+
+def _cleaner_score() -> Column:
+    return F.when(F.col("hits") >= 2, DROPPED).otherwise(F.when(F.col("hits") == 1, 2).otherwise(0) + classify.cleaner_score(F.col("text")))
+
+
 def with_sql_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "is_sql") -> DataFrame:
     """``rows`` and whether a text is SQL by the list's tokens.
 
@@ -93,17 +121,20 @@ def with_sql_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: s
     are not. ``rows`` keep their columns, null and repeated rows too; a column called ``name`` must not be there.
     """
     texts = keyed(rows, text)
-    t = F.col("text")
-    both = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))
-    signs = classify.contains_any(t, ("=", "?", "(", ")", "*", ","))
-    rule = ((F.col("strong") >= 1) & (F.col("structural") >= 1)) | ((F.col("total") >= 2) & signs) | ((F.col("strong") >= 1) & both) | classify.contains_any(F.upper(t), classify.SQL_PHRASES)
-    return _with(texts, token_counts(texts, words), **{name: rule})
+    return _with(texts, token_counts(texts, words), **{name: _is_sql()})
 
 
 def with_sql_score(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "sql_score") -> DataFrame:
     """``rows`` and the weighted signs of SQL: 3 for each word of the list in the text, and those of the text alone."""
     texts = keyed(rows, text)
-    return _with(texts, contained_counts(texts, words), **{name: F.col("hits") * 3 + classify.sql_score(F.col("text"))})
+    return _with(texts, contained_counts(texts, words), **{name: _sql_score()})
+
+
+def with_scores(rows: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``is_sql``, ``sql_score`` and ``score`` as the three functions beside give them, the texts written once for all."""
+    texts = keyed(rows, text)
+    counts = token_counts(texts, words).join(contained_counts(texts, words), "row", "full")
+    return _with(texts, counts, is_sql=_is_sql(), sql_score=_sql_score(), score=_cleaner_score())
 
 
 def with_constant_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "has_word") -> DataFrame:
@@ -115,8 +146,7 @@ def with_constant_flag(rows: DataFrame, words: DataFrame, text: str = "text", na
 def with_cleaner_score(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
     """``rows`` and how little a text looks like one for people: two words of the list are 999, one is 2 more."""
     texts = keyed(rows, text)
-    score = F.when(F.col("hits") >= 2, DROPPED).otherwise(F.when(F.col("hits") == 1, 2).otherwise(0) + classify.cleaner_score(F.col("text")))
-    return _with(texts, contained_counts(texts, words), **{name: score})
+    return _with(texts, contained_counts(texts, words), **{name: _cleaner_score()})
 
 
 def clean_mapping(dictionary: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:

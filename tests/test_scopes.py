@@ -193,6 +193,7 @@ def test_project_files(spark, tmp_path):
 
 def test_word_lists_against_plain_loops(spark, monkeypatch):
     monkeypatch.setattr(wordlists, "HOT", 10)  # so that there are hot tokens
+    monkeypatch.setattr(wordlists, "RUN", 4)  # and runs of several windows
     rng = random.Random(12)
     listed = ["select", "FROM", "order by", "abc", "_x", "1=1", " ", "", "bc a", "é"]
     pool = ["select", "from", "abc", "zabcz", "ORDER", "BY", "1=1", "a_x", "the", "(", ")", "=", "É", "bc", "a"]
@@ -218,7 +219,10 @@ def test_word_lists_against_plain_loops(spark, monkeypatch):
     want = lambda t: 999 if hits(t) >= 2 else 2 * hits(t) + alone[t][1]
     assert sorted((r.id, r.text, r.score) for r in wordlists.with_cleaner_score(rows.where("text != ''"), words).collect()) == sorted((i % 100, t, want(t)) for i, t in enumerate(texts) if t)
     assert {r.text: r.has_word for r in wordlists.with_constant_flag(rows.where("text is not null"), words).collect()} == {t: "_X" in t.upper() for t in texts if t is not None}
+    scored = wordlists.with_scores(rows.where("text != ''"), words)
+    assert sorted((r.id, r.text, r.is_sql, r.sql_score, r.score) for r in scored.collect()) == sorted((i % 100, t, sql(t), 3 * hits(t) + alone[t][0], want(t)) for i, t in enumerate(texts) if t)
     nothing = words.where("false")
+    assert {r.sql_score for r in wordlists.with_scores(rows.where("text = 'abc'"), nothing).collect()} == {0}
     assert {r.is_sql for r in wordlists.with_sql_flag(rows.where("id = 0"), nothing).collect()} <= {True, False} and wordlists.with_sql_flag(rows.where("false"), words).count() == 0
 
 
