@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .catalog_files import ORACLES as FILES
 from .catalog_files import path_rules
-from .catalog_text import _CLEANER, _SCORE, TEXTS, _q, table, texts
-from .operators import align, wordlists
+from .catalog_text import _BOTH_LINES, _CLEANER, _EDIT, _SCORE, TEXTS, _pairs, _q, _trees, table, texts
+from .functions.shared import written
+from .functions.text import lines, normal_line
+from .operators import align, seqdiff, wordlists
 from .operators import classify as cl
 from .plans import ingest
 from .sources import archives, ignore
@@ -131,3 +133,12 @@ def rebuilt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda df, *order: df.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(*order))).select("path", "n", "line")
     before, after = number(rows, "o", "i", "line"), number(later, F.expr("if(o % 500 < 20, o + 1000, o)"), "o", "i", "k", "line")
     return align.rebuild(before, align.edits(before, after))
+
+
+@query(rf"""WITH {_BOTH_LINES} SELECT path, line_no::BIGINT AS n, nfc_normalize(line) AS line FROM lb WHERE path IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR text IS DISTINCT FROM {_EDIT}))""")
+def rebuilt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later version of every document that changed, or is new, out of the earlier one and the blocks of its diff."""
+    before = _trees(spark, sf_dir)[0]
+    files = written(seqdiff.diff_pairs(_pairs(spark, sf_dir)), "blocks")
+    old = lines(before.join(files.select("path"), "path", "left_semi").withColumn("text", normal_line("text")), "path").withColumnRenamed("line_no", "n")
+    return align.rebuild(old, align.edits_of_blocks(files))

@@ -125,6 +125,13 @@ def rebuild(before: DataFrame, changed: DataFrame, key: str = "path") -> DataFra
     return kept.unionByName(new).select(key, F.row_number().over(Window.partitionBy(key).orderBy("at", "k")).cast("long").alias("n"), "line")
 
 
+def edits_of_blocks(files: DataFrame, key: str = "path") -> DataFrame:
+    """The edits that blocks (key, changes) stand for, as :func:`edits` gives them; ``n`` of a line that comes counts within its block."""
+    each = files.select(key, F.explode("changes").alias("c"))
+    side = lambda s, lines, n: each.select(key, (F.col("c.start_line") - 1).cast("long").alias("at"), F.lit(s).alias("side"), F.posexplode(lines).alias("i", "line")).select(key, "at", "side", n.cast("long").alias("n"), "line")
+    return side(0, "c.before", F.col("at") + F.col("i") + 1).unionByName(side(1, "c.after", F.col("i") + 1))
+
+
 def change_blocks(changed: DataFrame, key: str = "path") -> DataFrame:
     """(key, changes): the blocks of edits in order, each with its lines: a row holds all that changes in a file."""
     lines = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("n", "line")))), lambda x: x.line)

@@ -189,3 +189,18 @@ def test_approvals_against_a_plain_search(spark):
         keys = spark.createDataFrame([(3, 1), (9, 2)], "key_id long, ord long")
         assert {r.key_id: r.depth for r in chains.approved_keys(keys, spark.createDataFrame(edges, "key_id long, signer long")).collect()} == depth
     assert chains.approved_keys(keys.where("false"), spark.createDataFrame(edges, "key_id long, signer long")).count() == 0
+
+
+def test_plans_keep_their_order(spark, tmp_path):
+    """Rows by file, line and id, also through CSV files read in the order of their names."""
+    rng = random.Random(9)
+    rows = [(f"c{i:02d}", None, rng.choice(("b", "a", "c/d")), rng.randint(1, 9), "o", "r", None, None) for i in range(40)]
+    plan = spark.createDataFrame(rows, PLAN).repartition(4)
+    want = [(r[2], r[3], r[0]) for r in sorted(rows, key=lambda r: (r[2], r[3], r[0]))]
+    assert [(r.file, r.line, r.id) for r in plan_ops.ordered(plan).collect()] == want
+    sinks.write_plan_csv(plan, str(tmp_path / "plan"))
+    written = [line.split(",")[:3] for part in sorted((tmp_path / "plan").glob("part-*")) for line in part.read_text().splitlines()[1:]]
+    assert [(f, int(n), i) for i, f, n in written] == want
+    assert [(r.file, r.line, r.id) for r in plan_ops.minimal(sinks.read_plan_csv(spark, str(tmp_path / "plan"))).collect()] == want
+    again = sinks.read_changes_csv(spark, str(tmp_path / "plan"))
+    assert {r.type for r in again.collect()} == {"replace"} and again.count() == 40
