@@ -9,10 +9,10 @@ from . import documents, sinks
 from .catalog_files import _FIELDS, _PLAN, _plan
 from .catalog_records import _REGISTRY, _artifacts
 from .catalog_text import table
-from .functions.shared import folder
+from .functions.shared import folder, written
 from .operators import compare, dictionary, registry, seqdiff, treediff
-from .plans import observe, pack, transform
-from .sources import archives, patches, store
+from .plans import observe, pack, scan_tree, transform
+from .sources import archives, files, markup, patches, store
 from .sources.keyed import KeyedLog
 
 QUERIES: dict = {}
@@ -199,3 +199,53 @@ def called_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [table(spark, sf_dir, t).select(F.concat(F.lit(p), c).alias("path")) for t, c, p in (("customer", "c_name", ""), ("supplier", "s_name", ""), ("benchmark", "text", "c"))]
     return treediff.all_keys(*names)
+
+
+@query("SELECT 'h' || p_size AS helper, p_name || ', \"' || p_brand || '\"' AS target, p_size AS line FROM part")
+def helpers_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "helpers-csv")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("h"), "p_size").alias("helper_file"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("target_file"), F.col("p_size").alias("line"))
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    return sinks.read_helper_csv(spark, path)
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size, p_partkey % 9 <> 0 AS ok FROM part), n AS (SELECT p_size, count(*) AS alike FROM s WHERE ok GROUP BY 1)
+  SELECT p_partkey AS file, 'f' || p_partkey AS name, 3 AS start_line, 5 AS end_line, 3 AS line_count, alike FROM s JOIN n USING (p_size) WHERE ok UNION ALL SELECT p_partkey, 'inner', 8, 10, 3, (SELECT count(*) FROM s WHERE ok) FROM s WHERE ok""")
+def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with two functions, one of a class; those whose bodies differ in names and documentation only are alike. Some don't parse."""
+    name = F.concat(F.lit("f"), "p_partkey")
+    text = F.concat(F.lit("# "), "p_name", F.lit("\n\ndef "), name, F.lit("(x"), "p_partkey", F.lit("):\n    y = x"), "p_partkey", F.lit(" + "), "p_size", F.lit("\n    return y\n\nclass A:\n    def inner(self):\n        '''"), "p_name", F.lit("'''\n        return self\n"))
+    sources = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 9 == 0, F.concat(text, F.lit("("))).otherwise(text).alias("text"))
+    found = written(markup.extract_functions(sources), "functions")
+    alike = found.groupBy("signature").agg(F.count("*").alias("alike"))
+    return found.join(alike, "signature").select("file", "name", "start_line", "end_line", "line_count", "alike")
+
+
+@query("""SELECT s_suppkey, '{"execution":{"by":"' || s_name || '"},"lineage":{"lineage_id":"l","parent":null,"type":"root"},"payload_hash_algorithm":"sha256","payload_hash_value":"' || sha256(s_name) || '","payload_type":"plan' || chr(92) || 'u00e9"}' AS signed FROM supplier""")
+def signed_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    payload = F.struct(F.lit("plan\u00e9").alias("type"), F.struct(F.lit("sha256").alias("algorithm"), F.sha2(F.col("s_name").cast("binary"), 256).alias("value")).alias("hash"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", payload.alias("payload"), F.struct(F.lit("l").alias("lineage_id"), none.alias("parent"), F.lit("root").alias("type")).alias("lineage"), F.create_map(F.lit("by"), F.col("s_name")).alias("execution"))
+    return rows.select("s_suppkey", registry.signed_subset(rows).alias("signed"))
+
+
+@query("SELECT sha256(o_orderkey::VARCHAR) AS hash, CASE WHEN o_custkey % 3 = 0 THEN 'p' || o_custkey END AS parent, o_orderstatus AS type, o_orderkey % 5 <> 0 AS dated FROM orders")
+def feed_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved feed of one document; a time that isn't one is null."""
+    parent = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit('"parent":"p'), "o_custkey", F.lit('",'))).otherwise("")
+    ts = F.when(F.col("o_orderkey") % 5 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit('{"hash":"'), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), F.lit('",'), parent, F.lit('"type":"'), "o_orderstatus", F.lit('","ts":"'), ts, F.lit('"}')).alias("element"))
+    path = folder(spark, "feed") + ".json"
+    documents.write_document(rows, path, '{"artifacts":[\n', "\n]}", '{"artifacts":[]}')
+    return files.read_feed(spark, path).select("hash", "parent", "type", F.col("ts").isNotNull().alias("dated"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_name, ['.py', '.HTML', '.json', '.css', '.js'][p_partkey % 5 + 1] AS e FROM part)
+  SELECT 'd/f' || p_partkey || e AS path, CASE e WHEN '.HTML' THEN 1 ELSE 2 END AS line, CASE e WHEN '.HTML' THEN 'Buy ' ELSE 'Save ' END || p_name || ' Now' AS text FROM t WHERE e IN ('.py', '.HTML', '.js') AND p_partkey % 7 <> 0""")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of five kinds, of which markup goes to its reader and source to the detector; JSON, a language and binary files are left out."""
+    ending = F.element_at(F.array(*map(F.lit, (".py", ".HTML", ".json", ".css", ".js"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    body = F.when(ending == ".HTML", F.concat(F.lit("<p>Buy "), "p_name", F.lit(" Now</p>"))).otherwise(F.concat(F.lit('x = 1\ny = "Save '), "p_name", F.lit(' Now"\n')))
+    raw = F.concat(body, F.when(F.col("p_partkey") % 7 == 0, F.lit("\u0000")).otherwise("")).cast("binary")
+    tree = table(spark, sf_dir, "part").select(F.concat(F.lit("d/f"), "p_partkey", ending).alias("path"), raw.alias("content"))
+    return scan_tree.scan(tree, exclude=("css",)).select("path", "line", "text")
