@@ -72,7 +72,7 @@ def contained_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     pieces = written(upper.where(F.size(parts) > 0).select("word", longest["part"].alias("part"), (F.size(F.split("word", r"\s")) > 1).alias("spaced")), "pieces")
     one = F.lit(1).alias("one")
     lengths = pieces.agg(F.array_sort(F.collect_set(F.length("part"))).alias("lengths")).where(F.size("lengths") > 0).select("lengths", one)  # one row, as many as a word has letters
-    said = texts.select("row", F.explode(F.array_distinct(F.filter(F.split(F.upper("text"), r"\s+"), lambda p: p != ""))).alias("run"), one)
+    said = texts.select("row", F.explode(F.array_distinct(F.filter(F.split(F.translate(F.upper("text"), "\t\n\x0b\f\r", " " * 5), " "), lambda p: p != ""))).alias("run"), one)
     # a long run is searched in windows, each with so much of the next one that no word is cut
     begin = F.sequence(F.lit(0), F.floor((F.length("run") - 1) / RUN).cast("int"))
     window = lambda k: F.substring(F.col("run"), k * RUN + 1, F.lit(RUN - 1) + F.element_at("lengths", -1))
@@ -93,25 +93,31 @@ def contained_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
     return contained_words(texts, words).groupBy("row").agg(F.count("*").alias("hits"))
 
 
-def _with(texts: DataFrame, counts: DataFrame, **columns: Column) -> DataFrame:
+_SQL_SIGNS = ("_both", "_signs", "_phrase")
+
+
+def _with(texts: DataFrame, counts: DataFrame, needs: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """The rows of ``texts`` with columns made of counts and of what the texts say by themselves (``needs``), which is found before the join."""
+    t = F.col("text")
+    both, signs = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")), classify.contains_any(t, ("=", "?", "(", ")", "*", ","))
+    own = {"_both": both, "_signs": signs, "_phrase": classify.contains_any(F.upper(t), classify.SQL_PHRASES), "_sql": classify.sql_score(t), "_clean": classify.cleaner_score(t)}
+    alone = texts.select("row", "whole", *(own[n].alias(n) for n in needs))
     numbers = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts.columns if c != "row"]
-    joined = texts.join(counts, "row", "left").select("whole", "text", *numbers)
+    joined = alone.join(counts, "row", "left").select("whole", *needs, *numbers)
     return joined.select("whole.*", *(v.alias(k) for k, v in columns.items()))
 
 
 def _is_sql() -> Column:
-    t = F.col("text")
-    both = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")"))
-    signs = classify.contains_any(t, ("=", "?", "(", ")", "*", ","))
-    return ((F.col("strong") >= 1) & (F.col("structural") >= 1)) | ((F.col("total") >= 2) & signs) | ((F.col("strong") >= 1) & both) | classify.contains_any(F.upper(t), classify.SQL_PHRASES)
+    c = F.col
+    return ((c("strong") >= 1) & (c("structural") >= 1)) | ((c("total") >= 2) & c("_signs")) | ((c("strong") >= 1) & c("_both")) | c("_phrase")
 
 
 def _sql_score() -> Column:
-    return F.col("hits") * 3 + classify.sql_score(F.col("text"))
+    return F.col("hits") * 3 + F.col("_sql")
 
 
 def _cleaner_score() -> Column:
-    return F.when(F.col("hits") >= 2, DROPPED).otherwise(F.when(F.col("hits") == 1, 2).otherwise(0) + classify.cleaner_score(F.col("text")))
+    return F.when(F.col("hits") >= 2, DROPPED).otherwise(F.when(F.col("hits") == 1, 2).otherwise(0) + F.col("_clean"))
 
 
 def with_sql_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "is_sql") -> DataFrame:
@@ -121,20 +127,20 @@ def with_sql_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: s
     are not. ``rows`` keep their columns, null and repeated rows too; a column called ``name`` must not be there.
     """
     texts = keyed(rows, text)
-    return _with(texts, token_counts(texts, words), **{name: _is_sql()})
+    return _with(texts, token_counts(texts, words), _SQL_SIGNS, **{name: _is_sql()})
 
 
 def with_sql_score(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "sql_score") -> DataFrame:
     """``rows`` and the weighted signs of SQL: 3 for each word of the list in the text, and those of the text alone."""
     texts = keyed(rows, text)
-    return _with(texts, contained_counts(texts, words), **{name: _sql_score()})
+    return _with(texts, contained_counts(texts, words), ("_sql",), **{name: _sql_score()})
 
 
 def with_scores(rows: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with ``is_sql``, ``sql_score`` and ``score`` as the three functions beside give them, the texts written once for all."""
     texts = keyed(rows, text)
     counts = token_counts(texts, words).join(contained_counts(texts, words), "row", "full")
-    return _with(texts, counts, is_sql=_is_sql(), sql_score=_sql_score(), score=_cleaner_score())
+    return _with(texts, counts, (*_SQL_SIGNS, "_sql", "_clean"), is_sql=_is_sql(), sql_score=_sql_score(), score=_cleaner_score())
 
 
 def with_constant_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "has_word") -> DataFrame:
@@ -146,7 +152,7 @@ def with_constant_flag(rows: DataFrame, words: DataFrame, text: str = "text", na
 def with_cleaner_score(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
     """``rows`` and how little a text looks like one for people: two words of the list are 999, one is 2 more."""
     texts = keyed(rows, text)
-    return _with(texts, contained_counts(texts, words), **{name: _cleaner_score()})
+    return _with(texts, contained_counts(texts, words), ("_clean",), **{name: _cleaner_score()})
 
 
 def clean_mapping(dictionary: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
