@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_files import ORACLES as FILES
@@ -130,8 +130,9 @@ def rebuilt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("path"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i"), line.alias("line"))
     changed = rows.where("o % 7 != 0").select("path", "o", "i", F.lit(0).alias("k"), F.expr("if(o % 11 = 0, concat(line, '!'), line)").alias("line"))
     later = changed.unionByName(rows.where("o % 13 = 0").select("path", "o", "i", F.lit(1).alias("k"), "line"))
-    number = lambda df, *order: df.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(*order))).select("path", "n", "line")
-    before, after = number(rows, "o", "i", "line"), number(later, F.expr("if(o % 500 < 20, o + 1000, o)"), "o", "i", "k", "line")
+    # both are read several times
+    before = written(align.numbered(rows, "path", ["o", "i", "line"]), "before")
+    after = written(align.numbered(later.withColumn("place", F.expr("if(o % 500 < 20, o + 1000, o)")), "path", ["place", "o", "i", "k", "line"]), "after")
     return align.rebuild(before, align.edits(before, after))
 
 

@@ -9,6 +9,7 @@ import resource
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,22 @@ def test_long_pairs_have_the_blocks_of_short_ones(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_versions_are_looked_through_in_ranges(spark, monkeypatch):
+    """Neither matched lines nor numbers need a task that sorts a version, and gaps share a task, batches cutting some of them."""
+    monkeypatch.setattr(align, "RANGE", 7)
+    v = [f"l{i % 40 if i % 3 else i}" for i in range(300)]
+    w = [x for i, x in enumerate(v) if i % 11][20:] + ["end"] * 9
+    a, b = lines_of(spark, {"f": v, "g": w}), lines_of(spark, {"f": w, "g": v})
+    for short in (2, 50, 400):
+        monkeypatch.setattr(align, "SHORT", short)
+        got = {(r.path, r.n): r.line for r in align.rebuild(a, align.edits(a, b)).collect()}
+        assert got == {(k, i + 1): x for k, y in (("f", w), ("g", v)) for i, x in enumerate(y)}
+    gaps = [(k, g, s, i, h) for k in "ab" for g in range(30) for s, side in enumerate(("xyz", "yzx"[: g % 4])) for i, h in enumerate(side)]
+    whole = pa.Table.from_pylist([dict(zip(("path", "gap", "side", "n", "h"), r)) for r in gaps])
+    one, many = ([r for t in align._local("path")(iter(whole.to_batches(max_chunksize=size))) for r in t.to_pylist()] for size in (1000, 4))
+    assert one == many and len(one) > 50
+
+
 def test_a_pair_of_a_million_lines(spark):
     n = 1_000_000
     before = spark.range(1, n + 1).select(F.lit("f").alias("path"), F.col("id").alias("n"), F.expr("if(id % 3 = 0, concat('r', id % 100), concat('l', id))").alias("line"))
