@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .elements import elements
+
 SNIFF = 1024
 
 
@@ -133,5 +135,5 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Artifacts of a remote feed saved as JSON: an object with a list ``artifacts``."""
-    rows = spark.read.schema("artifacts array<struct<hash:string,parent:string,type:string,ts:string>>").option("multiLine", "true").json(path)
-    return rows.select(F.explode("artifacts").alias("a")).select("a.hash", "a.parent", "a.type", F.col("a.ts").try_cast("timestamp").alias("ts"))
+    rows = elements(spark, path, "artifacts").select(F.from_json("value", "hash string, parent string, type string, ts string").alias("a"))
+    return rows.select("a.hash", "a.parent", "a.type", F.col("a.ts").try_cast("timestamp").alias("ts"))

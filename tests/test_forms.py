@@ -204,3 +204,29 @@ def test_plans_keep_their_order(spark, tmp_path):
     assert [(r.file, r.line, r.id) for r in plan_ops.minimal(sinks.read_plan_csv(spark, str(tmp_path / "plan"))).collect()] == want
     again = sinks.read_changes_csv(spark, str(tmp_path / "plan"))
     assert {r.type for r in again.collect()} == {"replace"} and again.count() == 40
+
+
+def test_elements_of_a_list_are_found_from_any_split(spark, tmp_path):
+    from lineweave.sources.elements import elements
+
+    rng = random.Random(5)
+    odd = ["}", "{", "]", '"', "\\", "\\\"}", "],", "é", "a{b}c", '\\"', ""]
+    docs = []
+    for d in range(4):
+        item = lambda: {"k": "".join(rng.choices(odd, k=4)), "m": {"x": [{"y": rng.choice(odd)}, [1, [2]]]} if rng.random() < 0.3 else None}
+        members = {"meta": {"a": {"z": "}"}, "b": [{"q": 1}]}, "one": [item() for _ in range(3)], "list": [item() for _ in range(rng.choice((0, 1, 40)))], "more": {"list": [{"no": 1}]}, "n": 1}
+        names = list(members)
+        rng.shuffle(names)
+        docs.append({k: members[k] for k in names})
+        text = json.dumps(docs[-1], indent=rng.choice((None, 2)), ensure_ascii=rng.random() < 0.5) + rng.choice(("", "\n"))
+        (tmp_path / f"{d}.json").write_text(text)
+    (tmp_path / "cut.json").write_text('{"list": [{"k": "gone"}, {"k"')
+    (tmp_path / "cut2.json").write_text('{"list": [{"k": "gone"}')
+    want = sorted(json.dumps(x, sort_keys=True) for d in docs for x in d["list"])
+    for size in ("128m", "397b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = elements(spark, str(tmp_path), "list")
+            assert sorted(json.dumps(json.loads(r.value), sort_keys=True) for r in found.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
