@@ -10,6 +10,7 @@ from .catalog_files import _FIELDS, _PLAN, _plan
 from .catalog_records import _REGISTRY, _artifacts
 from .catalog_text import table
 from .functions.shared import folder, written
+from .functions.text import spread
 from .operators import compare, dictionary, registry, seqdiff, treediff
 from .plans import observe, pack, scan_tree, transform
 from .sources import archives, files, markup, patches, store
@@ -215,7 +216,7 @@ def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with two functions, one of a class; those whose bodies differ in names and documentation only are alike. Some don't parse."""
     name = F.concat(F.lit("f"), "p_partkey")
     text = F.concat(F.lit("# "), "p_name", F.lit("\n\ndef "), name, F.lit("(x"), "p_partkey", F.lit("):\n    y = x"), "p_partkey", F.lit(" + "), "p_size", F.lit("\n    return y\n\nclass A:\n    def inner(self):\n        '''"), "p_name", F.lit("'''\n        return self\n"))
-    sources = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 9 == 0, F.concat(text, F.lit("("))).otherwise(text).alias("text"))
+    sources = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 9 == 0, F.concat(text, F.lit("("))).otherwise(text).alias("text"))
     found = written(markup.extract_functions(sources), "functions")
     alike = found.groupBy("signature").agg(F.count("*").alias("alike"))
     return found.join(alike, "signature").select("file", "name", "start_line", "end_line", "line_count", "alike")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..functions.text import normal_key, strip
 
 
@@ -16,8 +17,9 @@ def build(texts: DataFrame, text: str = "text", order: str = "ord") -> DataFrame
     """
     first = texts.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(order).alias("first"))
     keyed = first.withColumn("key", normal_key("text"))
-    ranked = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("first", "text")))
-    natural = keyed.select(F.col("key").alias("token")).distinct()
+    # read four times
+    ranked = written(keyed.select("text", "key", F.row_number().over(Window.partitionBy("key").orderBy("first", "text")).alias("n")), "ranked")
+    natural = ranked.where("n = 1").select(F.col("key").alias("token"))
     want = ranked.where("n > 1").withColumn("token", F.concat_ws("_", "key", "n"))
     # suffixes up to the number of texts of a key plus the natural keys that have its shape are enough
     taken = natural.withColumn("key", F.regexp_extract("token", r"\A(.*)_([0-9]+)\z", 1)).withColumn("k", F.regexp_extract("token", r"\A(.*)_([0-9]+)\z", 2).try_cast("int"))

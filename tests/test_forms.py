@@ -230,3 +230,20 @@ def test_elements_of_a_list_are_found_from_any_split(spark, tmp_path):
             assert sorted(json.dumps(json.loads(r.value), sort_keys=True) for r in found.collect()) == want
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_xml_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "XML_ROWS", 30)
+    rows = spark.createDataFrame(plan_rows(), PLAN).where("id like 'c%' and id != 'c1'").withColumn("original", F.lit("o")).coalesce(1)
+    sinks.write_plan_xml(rows, str(tmp_path / "plan"))
+    assert len(list((tmp_path / "plan").glob("part-*"))) > 3
+    assert sinks.read_plan_xml(spark, str(tmp_path / "plan")).count() == rows.count()
+
+
+def test_sources_are_parsed_by_all_cores(spark, monkeypatch):
+    from lineweave import catalog_forms
+
+    dealt, read = [], catalog_forms.markup.extract_functions
+    monkeypatch.setattr(catalog_forms.markup, "extract_functions", lambda df: dealt.append(df.rdd.getNumPartitions()) or read(df))
+    catalog_forms.python_functions(spark, "/root/testdata/sf0.001")
+    assert dealt == [spark.sparkContext.defaultParallelism]
