@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PLAN = ("id", "type", "file", "line", "original", "replacement", "token", "helper_id", "helper_ref", "helper_source")
 CSV = ("id", "file", "line", "file_hash", "type", "original", "replacement", "token", "helper_id", "helper_path", "helper_source", "insertion_line", "confidence", "notes")
 _TYPES = {"line": "int"}
+#: Changes of an XML file, which one task reads whole.
+XML_ROWS = 100_000
 
 
 def plan_columns(changes: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def read_changes_csv(spark, path: str) -> DataFrame:
 
 
 def write_plan_xml(changes: DataFrame, path: str) -> None:
-    plan_columns(changes).write.format("xml").option("rootTag", "plan").option("rowTag", "change").save(path)
+    """XML files of a bounded number of changes each."""
+    plan_columns(changes).write.format("xml").option("maxRecordsPerFile", XML_ROWS).option("rootTag", "plan").option("rowTag", "change").save(path)
 
 
 def read_plan_xml(spark, path: str, xsd: str | None = None) -> DataFrame:
