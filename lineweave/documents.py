@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import schemas, sinks
 from .functions.canonical import canonical_json
 from .functions.shared import drop, folder
+from .sources.elements import elements
 
 #: Fields of a plan's head, in their order.
 META = ("tool", "version", "generated_at")
@@ -78,9 +79,10 @@ def write_plan_document(changes: DataFrame, meta: dict[str, str], path: str) ->
 
 
 def read_plan_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The meta data, one row for each document, and the changes of plan documents."""
+    """The meta data, one row for each document, and the changes of plan documents. Changes are read by many tasks, meta data by one a document."""
     read = spark.read.schema(schemas.PLAN).option("multiLine", "true").json(path)
-    return read.select("meta.*"), read.select(F.inline("changes"))
+    change = read.schema["changes"].dataType.elementType
+    return read.select("meta.*"), elements(spark, path, "changes").select(F.from_json("value", change).alias("c")).select("c.*")
 
 
 def write_token_module(changes: DataFrame, path: str, header: str = "") -> None:
