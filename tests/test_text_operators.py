@@ -162,3 +162,16 @@ def test_content_store(spark, tmp_path):
     sinks.store_by_content(rows, str(tmp_path / "s"))
     sinks.store_by_content(rows, str(tmp_path / "s"), sinks.read_store(spark, str(tmp_path / "s")))
     assert [r.intact for r in sinks.read_store(spark, str(tmp_path / "s")).collect()] == [True, True]
+
+
+def test_a_dictionary_is_scanned_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a b", 1), ("a, b", 2), ("c", 3)], "text string, ord int").mapInArrow(count, "text string, ord int")
+    assert {(r.token, r.text) for r in dictionary.build(rows).collect()} == {("A_B", "a b"), ("A_B_2", "a, b"), ("C", "c")}
+    assert seen.value == 3
