@@ -19,6 +19,8 @@ from . import align
 
 #: More changed lines than this make one whole-file change.
 WHOLE_FILE = 200
+#: Pairs of short files whose lines a task holds as Python objects at once.
+ROWS = 50
 _BLOCK = pa.struct([("type", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 CHANGES = "array<struct<type:string,start_line:int,end_line:int,before:array<string>,after:array<string>>>"
 
@@ -59,13 +61,18 @@ def diff_pairs(pairs: DataFrame, key: str = "path", touching: bool = False) -> D
     rows = written(rows.select(key, status.alias("status"), F.monotonically_increasing_id().alias("_pair"), *texts), "pairs")
     is_long = F.greatest(F.size("before"), F.size("after")) > align.SHORT
 
-    def local(batches):
+    def few(batches):
+        """Batches of few rows: lines as Python objects are many times as large as in Arrow."""
         for batch in batches:
+            yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+    def local(batches):
+        for batch in few(batches):
             made = [blocks(x or [], y or [], touching) for x, y in zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("status"), pa.array(made, pa.list_(_BLOCK))], [key, "status", "changes"])
 
     def touch(batches):
-        for batch in batches:
+        for batch in few(batches):
             made = [joined(x, True) for x in batch.column("changes").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("status"), pa.array(made, pa.list_(_BLOCK))], [key, "status", "changes"])
 

@@ -175,3 +175,11 @@ def test_a_dictionary_is_scanned_once(spark):
     rows = spark.createDataFrame([("a b", 1), ("a, b", 2), ("c", 3)], "text string, ord int").mapInArrow(count, "text string, ord int")
     assert {(r.token, r.text) for r in dictionary.build(rows).collect()} == {("A_B", "a b"), ("A_B_2", "a, b"), ("C", "c")}
     assert seen.value == 3
+
+
+def test_pairs_are_compared_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(seqdiff, "ROWS", 2)
+    rows = [(i, f"a\nb{i}\nc", f"a\nc\nd{i}") for i in range(7)]
+    found = seqdiff.diff_pairs(spark.createDataFrame(rows, "path int, before string, after string").coalesce(1)).collect()
+    got = {r.path: [c.asDict() for c in r.changes] for r in found}
+    assert got == {i: seqdiff.blocks(a.split("\n"), b.split("\n")) for i, a, b in rows}
