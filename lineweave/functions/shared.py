@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A text is common if it is more than one in so many rows; there are fewer common texts than that.
+COMMON = 10_000
+#: Characters of a text that may be common.
+SHORT = 256
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -34,3 +41,18 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def each_once(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """``judge(rows)``, where ``judge`` adds columns that follow from the text alone: common short texts are judged once, not in every row.
+
+    Their rows get what was found by a broadcast join, so that no row is shuffled for it; all other rows are judged one by one.
+    """
+    total = rows.count()
+    counts = rows.where(F.length(text) <= SHORT).groupBy(text).agg(F.count("*").alias("_n"))
+    common = written(counts.where(F.col("_n") * COMMON > total).select(text), "common")
+    if common.isEmpty():
+        return judge(rows)
+    often = rows.join(F.broadcast(written(judge(common), "judged")), text)
+    seldom = judge(rows.join(F.broadcast(common), text, "left_anti").select(*rows.columns))
+    return seldom.unionByName(often.select(*seldom.columns))

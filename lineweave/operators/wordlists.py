@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import written
+from ..functions.shared import each_once, written
 from ..functions.text import tokens
 from . import classify
 
@@ -138,9 +138,13 @@ def with_sql_score(rows: DataFrame, words: DataFrame, text: str = "text", name:
 
 def with_scores(rows: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with ``is_sql``, ``sql_score`` and ``score`` as the three functions beside give them, the texts written once for all."""
-    texts = keyed(rows, text)
-    counts = token_counts(texts, words).join(contained_counts(texts, words), "row", "full")
-    return _with(texts, counts, (*_SQL_SIGNS, "_sql", "_clean"), is_sql=_is_sql(), sql_score=_sql_score(), score=_cleaner_score())
+
+    def judge(some: DataFrame) -> DataFrame:
+        texts = keyed(some, text)
+        counts = token_counts(texts, words).join(contained_counts(texts, words), "row", "full")
+        return _with(texts, counts, (*_SQL_SIGNS, "_sql", "_clean"), is_sql=_is_sql(), sql_score=_sql_score(), score=_cleaner_score())
+
+    return each_once(rows, judge, text)
 
 
 def with_constant_flag(rows: DataFrame, words: DataFrame, text: str = "text", name: str = "has_word") -> DataFrame:

@@ -399,3 +399,21 @@ def test_lineages_while_packing(spark):
     assert done.quarantine.count() == 0 and {r.artifact: r.payload_hash for r in done.admitted.collect()} == {k: r.payload_hash for k, r in got.items() if not r.error}
     left = {r.last_artifact: r.active_lineage_id for r in pack.next_context(packed).collect()}
     assert left == {"first": first, "after": "L", "child": "L", "loose": None}
+
+
+def test_common_texts_are_looked_up_once(spark, monkeypatch):
+    keyed, seen = wordlists.keyed, []
+
+    def counted(rows, text="text"):
+        seen.append(rows.count())
+        return keyed(rows, text)
+
+    monkeypatch.setattr(wordlists, "keyed", counted)
+    long = "alpha " * 100
+    texts = ["x alpha"] * 500 + ["select beta from"] * 400 + ["plain"] + [long] * 3 + [None, None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    words = spark.createDataFrame([("alpha",), ("select",), ("from",)], "word string")
+    got = {r.id: (r.text, r.is_sql, r.sql_score, r.score) for r in wordlists.with_scores(rows, words).collect()}
+    want = {"x alpha": (False, 3, 4), "select beta from": (True, 6, 999), "plain": (False, 0, 3), long: (False, 3, 6), None: (False, 0, 1), "": (False, 0, 1)}
+    assert got == {i: (t, *want[t]) for i, t in enumerate(texts)}
+    assert sorted(seen) == [4, 5]  # the four short texts once, and the rows of no or long text
