@@ -137,8 +137,7 @@ def specs_from_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TEXTS} SELECT origin, id, {_class('text')} AS class FROM texts")
 def string_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, t = cl.with_forms(texts(spark, sf_dir))
-    return rows.select("origin", "id", cl.string_class(t).alias("class"))
+    return cl.judged(texts(spark, sf_dir), lambda t: {"class": cl.string_class(t)}).drop("text")
 
 
 _BIN = r"(length(text) > 0 AND (length(regexp_replace(text, '[\x20-\x7e]', '', 'g')) > 0.3 * length(text) OR contains(text, chr(0)) OR (length(text) > 20 AND NOT contains(text, ' ') AND length(regexp_replace(text, '[\pL\pN]', '', 'g')) > 0.4 * length(text))))"
@@ -155,8 +154,8 @@ _SKIP = f"""(text = '' OR {_class('text')} IN ('url', 'sql', 'css', 'identifier'
   {_BIN} AS binary_like, ((contains(lower(text), '<') AND contains(lower(text), '>')) OR {_any('lower(text)', cl.HTML_SIGNS)}) AS html_like, {_any('text', cl.CODE_SIGNS)} AS code_like,
   len(list_filter({_words('text')}, lambda w: contains(w, '_') AND upper(w) = w AND lower(w) <> w)) > 0 AS has_constant FROM texts""")
 def candidate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, t = cl.with_forms(texts(spark, sf_dir))
-    return rows.select("origin", "id", cl.is_candidate(t).alias("candidate"), cl.is_skipped(t).alias("skipped"), cl.is_binary_like(t).alias("binary_like"), cl.is_html_like(t).alias("html_like"), cl.is_code_like(t).alias("code_like"), cl.has_constant(t).alias("has_constant"))
+    rules = {"candidate": cl.is_candidate, "skipped": cl.is_skipped, "binary_like": cl.is_binary_like, "html_like": cl.is_html_like, "code_like": cl.is_code_like, "has_constant": cl.has_constant}
+    return cl.judged(texts(spark, sf_dir), lambda t: {name: rule(t) for name, rule in rules.items()}).drop("text")
 
 
 _STRICT = f"({_any('upper(text)', cl.STRICT_SQL_PHRASES)} OR {_hits('upper(text)', cl.STRICT_SQL_WORDS)} >= 2)"
@@ -171,8 +170,8 @@ _SCORE = "((contains(text, '(') AND contains(text, ')'))::INT * 2 + contains(tex
 
 @query(f"WITH {TEXTS} SELECT origin, id, {_SQL} AS is_sql, {_STRICT} AS strict_sql, {_URL} AS is_url, {_CSS} AS is_css, {_CSS_LIKE} AS css_like, {_CODE} AS is_code, {_SENTENCE} AS sentence, {_SCORE} AS score FROM texts")
 def classifier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, t = cl.with_forms(texts(spark, sf_dir))
-    return rows.select("origin", "id", cl.is_sql(t).alias("is_sql"), cl.is_sql_strict(t).alias("strict_sql"), cl.is_url(t).alias("is_url"), cl.is_css(t).alias("is_css"), cl.is_css_like(t).alias("css_like"), cl.is_code(t).alias("is_code"), cl.is_sentence(t).alias("sentence"), cl.sql_score(t).alias("score"))
+    rules = {"is_sql": cl.is_sql, "strict_sql": cl.is_sql_strict, "is_url": cl.is_url, "is_css": cl.is_css, "css_like": cl.is_css_like, "is_code": cl.is_code, "sentence": cl.is_sentence, "score": cl.sql_score}
+    return cl.judged(texts(spark, sf_dir), lambda t: {name: rule(t) for name, rule in rules.items()}).drop("text")
 
 
 @query(f"WITH {TEXTS} SELECT origin, id FROM texts WHERE NOT ({_any('upper(text)', cl.SQL_PHRASES)}) AND (NOT {_CSS} OR {_SENTENCE}) AND NOT {_starts('text', cl.URL_PREFIXES)} AND NOT {_CODE}")

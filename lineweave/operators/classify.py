@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import each_once
 from ..functions.text import INK, SPACE, bound, every_word, has_letter, strip, tokens, words
 
 # What the rules look for.
@@ -55,6 +56,16 @@ def with_forms(df: DataFrame, text: str = "text") -> tuple[DataFrame, Forms]:
     return out, Forms(*(F.col(c) for c in (text, "_bare", "_upper", "_lower", "_bare_lower")))
 
 
+def judged(rows: DataFrame, rules, text: str = "text") -> DataFrame:
+    """``rows`` with the columns that ``rules`` makes of a text's :class:`Forms`, by name; common texts are judged once."""
+
+    def judge(some: DataFrame) -> DataFrame:
+        held, t = with_forms(some, text)
+        return held.select(*some.columns, *(rule.alias(name) for name, rule in rules(t).items()))
+
+    return each_once(rows, judge, text)
+
+
 def _col(c: Column | str | Forms) -> Column:
     return c.raw if isinstance(c, Forms) else F.col(c) if isinstance(c, str) else c
 

@@ -183,3 +183,20 @@ def test_pairs_are_compared_a_few_at_a_time(spark, monkeypatch):
     found = seqdiff.diff_pairs(spark.createDataFrame(rows, "path int, before string, after string").coalesce(1)).collect()
     got = {r.path: [c.asDict() for c in r.changes] for r in found}
     assert got == {i: seqdiff.blocks(a.split("\n"), b.split("\n")) for i, a, b in rows}
+
+
+def test_common_texts_are_judged_once(spark, monkeypatch):
+    with_forms, seen = classify.with_forms, []
+
+    def counted(rows, text="text"):
+        seen.append(rows.count())
+        return with_forms(rows, text)
+
+    monkeypatch.setattr(classify, "with_forms", counted)
+    texts = ["SELECT a FROM b"] * 500 + ["Please wait here"] * 400 + ["y " * 200] * 3 + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = classify.judged(rows, lambda t: {"class": classify.string_class(t), "sql": classify.is_sql(t)})
+    assert got.columns == ["id", "text", "class", "sql"]
+    want = {"SELECT a FROM b": ("sql", True), "Please wait here": ("human", False), "y " * 200: ("css", False), None: ("empty", None), "": ("empty", False)}
+    assert {tuple(r) for r in got.collect()} == {(i, t, *want[t]) for i, t in enumerate(texts)}
+    assert sorted(seen) == [3, 4]  # the three short texts once, and the rows of no or long text
