@@ -192,8 +192,8 @@ _CLEANER = rf"({_SQL}::INT * 3 + {_URL}::INT * 3 + {_LOOKS_CSS}::INT * 2 + {_LOO
 
 @query(rf"WITH {TEXTS} SELECT origin, id, {_CLEANER} AS score, {_CLEANER} < 3 AND regexp_matches(text, '\pL') AND (contains(text, ' ') OR regexp_matches(text, '\p{{Ll}}')) AS kept FROM texts")
 def cleaner_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, t = cl.with_forms(texts(spark, sf_dir))
-    return rows.select("origin", "id", cl.cleaner_score(t).alias("score"), ((cl.cleaner_score(t) < 3) & cl.is_human(t)).alias("kept"))
+    rows = cl.judged(texts(spark, sf_dir), lambda t: {"score": cl.cleaner_score(t), "human": cl.is_human(t)})
+    return rows.select("origin", "id", "score", ((F.col("score") < 3) & F.col("human")).alias("kept"))
 
 
 def _carried(line: Column, n: Column) -> Column:

@@ -200,3 +200,18 @@ def test_common_texts_are_judged_once(spark, monkeypatch):
     want = {"SELECT a FROM b": ("sql", True), "Please wait here": ("human", False), "y " * 200: ("css", False), None: ("empty", None), "": ("empty", False)}
     assert {tuple(r) for r in got.collect()} == {(i, t, *want[t]) for i, t in enumerate(texts)}
     assert sorted(seen) == [3, 4]  # the three short texts once, and the rows of no or long text
+
+
+def test_cleaner_scores_judges_common_texts_once(spark, monkeypatch):
+    from lineweave import catalog_text
+
+    with_forms, seen = classify.with_forms, []
+
+    def counted(rows, text="text"):
+        seen.append(rows.count())
+        return with_forms(rows, text)
+
+    monkeypatch.setattr(classify, "with_forms", counted)
+    made = catalog_text.cleaner_scores(spark, "/root/testdata/sf0.001")
+    assert made.columns == ["origin", "id", "score", "kept"]
+    assert sum(seen) < catalog_text.texts(spark, "/root/testdata/sf0.001").count() / 4
