@@ -3,7 +3,7 @@
 An archive's layout follows from the sizes of its members in order of their names: a prefix sum gives each its place. The
 archive is cut into chunks of a fixed number of bytes, which tasks fill and pack on their own; a packed archive is its packed
 chunks one after the other, as gzip allows. One chunk is packed as the whole would be, so small archives have the bytes
-of :func:`pack`.
+of :func:`pack`; they are packed one after the other from members in order, without a place for each.
 """
 
 from __future__ import annotations
@@ -32,6 +32,18 @@ def _entry(name: str, size: int) -> tarfile.TarInfo:
     return info
 
 
+_PLAIN = _entry("", 0).tobuf(tarfile.PAX_FORMAT)
+_PLAIN_SUM = int(_PLAIN[148:154], 8) - sum(_PLAIN[124:135])
+
+
+def _header(name: str, size: int) -> bytes:
+    """A member's header; a short ASCII name and the size are set into the one that all such members share."""
+    if len(name) > tarfile.LENGTH_NAME or not name.isascii() or size >= 8**11:
+        return _entry(name, size).tobuf(tarfile.PAX_FORMAT, "utf-8", "surrogateescape")
+    raw, digits = name.encode(), b"%011o" % size
+    return raw + _PLAIN[len(raw) : 124] + digits + _PLAIN[135:148] + b"%06o" % (_PLAIN_SUM + sum(raw) + sum(digits)) + _PLAIN[154:]
+
+
 def pack(members: list[tuple[str, bytes]]) -> bytes:
     """A gzipped tar whose bytes depend on names and contents alone: sorted, no times, no owners."""
     raw = io.BytesIO()
@@ -61,15 +73,69 @@ def pack_parts(members: DataFrame, by: str = "artifact", chunk: int = CHUNK) ->
     a path or a group are left out.
     """
 
+    small, large = _by_size(members, by, chunk)
+    packed = _pack_small(small, by).select(by, F.lit(0).cast("long").alias("part"), "content")
+    return packed if large is None else packed.unionByName(_pack_large(large, by, chunk))
+
+
+def _by_size(members: DataFrame, by: str, chunk: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members (by, path, content) of groups whose archive surely fits in a chunk, and those of the others, if there are any."""
+    rows = written(members.where(F.col("path").isNotNull() & F.col(by).isNotNull()).select(by, "path", F.coalesce("content", F.lit(b"")).alias("content")), "members")
+    # headers of a name that isn't plain hold it up to twice
+    bound = F.octet_length("content").cast("long") + 2 * F.octet_length("path") + 6 * tarfile.BLOCKSIZE
+    sizes = rows.groupBy(by).agg(F.sum(bound).alias("_bytes"))
+    # one row for each few MB of the input at most
+    large = written(sizes.where(F.col("_bytes") + 2 * tarfile.RECORDSIZE > chunk).select(by), "large")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(F.broadcast(large), by, "left_anti"), rows.join(F.broadcast(large), by, "left_semi")
+
+
+def _pack_small(members: DataFrame, by: str) -> DataFrame:
+    """(by, content): the archive of each group, from members dealt by group and sorted; a task holds one archive beside a batch."""
+    kind = members.schema[by].dataType.simpleString()
+
+    def read(batches):
+        raw, group, made, size = bytearray(), None, [], 0
+
+        def end() -> bytes:
+            raw.extend(bytes(-(len(raw) + 2 * tarfile.BLOCKSIZE) % tarfile.RECORDSIZE + 2 * tarfile.BLOCKSIZE))
+            return gzip.compress(raw, 9, mtime=0)
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in made], key), pa.array([c for _, c in made], pa.binary())], [by, "content"])
+
+        for batch in batches:
+            key = batch.schema.field(0).type
+            for of, name, content in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if of != group and raw:
+                    made.append((group, end()))
+                    size += len(made[-1][1]) + 100
+                    raw.clear()
+                    if size >= BATCH:
+                        yield table()
+                        made, size = [], 0
+                group = of
+                raw += _header(name, len(content))
+                raw += content
+                raw += bytes(-len(content) % tarfile.BLOCKSIZE)
+        if raw:
+            made.append((group, end()))
+            yield table()
+
+    return members.repartition(by).sortWithinPartitions(by, "path", "content").mapInArrow(read, f"{by} {kind}, content binary")
+
+
+def _pack_large(rows: DataFrame, by: str, chunk: int) -> DataFrame:
+    """(by, part, content) of groups of any size, see :func:`pack_parts`."""
+
     @F.arrow_udf("binary")
     def header(paths: pa.Array, sizes: pa.Array) -> pa.Array:
-        made = (_entry(name, size).tobuf(tarfile.PAX_FORMAT, "utf-8", "surrogateescape") for name, size in zip(paths.to_pylist(), sizes.to_pylist(), strict=True))
-        return pa.array(list(made), pa.binary())
+        return pa.array([_header(name, size) for name, size in zip(paths.to_pylist(), sizes.to_pylist(), strict=True)], pa.binary())
 
     block = tarfile.BLOCKSIZE
     padded = lambda n, to: F.ceil(n / to) * to
-    content = F.coalesce("content", F.lit(b""))
-    rows = members.where(F.col("path").isNotNull() & F.col(by).isNotNull()).select(by, "path", content.alias("content")).withColumn("head", header("path", F.octet_length("content").cast("long")))
+    rows = rows.withColumn("head", header("path", F.octet_length("content").cast("long")))
     rows = rows.withColumn("size", (F.octet_length("head") + padded(F.octet_length("content"), block)).cast("long"))
     placed = prefix_sums(rows, by, ["path", "content"], "size")
     total = placed.groupBy(by).agg(F.sum("size").alias("offset"))
@@ -91,14 +157,18 @@ def pack_parts(members: DataFrame, by: str = "artifact", chunk: int = CHUNK) ->
             raw[start : start + len(data)] = data
         return pa.table({by: table.column(by).slice(0, 1), "part": table.column("part").slice(0, 1), "content": pa.array([gzip.compress(raw, 9, mtime=0)], pa.binary())})
 
-    return pieces.groupBy(by, "part").applyInArrow(fill, f"{by} {members.schema[by].dataType.simpleString()}, part long, content binary")
+    return pieces.groupBy(by, "part").applyInArrow(fill, f"{by} {rows.schema[by].dataType.simpleString()}, part long, content binary")
 
 
 def pack_groups(members: DataFrame, by: str = "artifact", chunk: int = CHUNK) -> DataFrame:
     """(by, archive, hash) from members (by, path, content): one archive for each group, which a row has to hold; see :func:`pack_parts`."""
-    parts = pack_parts(members, by, chunk).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]).alias("parts"))
+    small, large = _by_size(members, by, chunk)
+    packed = _pack_small(small, by).select(by, F.col("content").alias("archive")).withColumn("hash", F.sha2("archive", 256))
+    if large is None:
+        return packed
+    parts = _pack_large(large, by, chunk).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]).alias("parts"))
     whole = F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)))
-    return parts.select(by, whole.alias("archive")).withColumn("hash", F.sha2("archive", 256))
+    return packed.unionByName(parts.select(by, whole.alias("archive")).withColumn("hash", F.sha2("archive", 256)))
 
 
 def write_archive(parts: DataFrame, path: str) -> None:
@@ -146,11 +216,48 @@ def _fault(raw: bytes) -> str | None:
     return None
 
 
+def _entry_of(head: bytes) -> tuple[str, int] | None:
+    """Name and size of a regular file; None for any other member. A header that :func:`_header` gives isn't taken apart."""
+    try:
+        name, size = head[: tarfile.LENGTH_NAME].rstrip(b"\0").decode(), int(head[124:135], 8)
+        if head == _header(name, size):
+            return name, size
+    except ValueError:
+        pass
+    member = tarfile.TarInfo.frombuf(head, "utf-8", "surrogateescape")
+    return (member.name, member.size) if member.type == tarfile.REGTYPE and member.size >= 0 else None
+
+
+def _plain(raw: bytes) -> list[tuple[str, bytes]] | None:
+    """The members of an archive of up to a batch that has plain files alone and breaks no rule, read once; None for any other."""
+    members, at, block = [], 0, tarfile.BLOCKSIZE
+    try:
+        with gzip.GzipFile(fileobj=io.BytesIO(raw)) as unpacked:
+            data = unpacked.read(BATCH + 1)
+        while len(data) <= BATCH and len(members) < LIMITS["entries"] and at <= LIMITS["bytes"]:
+            head = data[at : at + block]
+            if len(head) == block and not head.strip(b"\0"):
+                return members
+            member = _entry_of(head)
+            if member is None or member[0].startswith("/") or ".." in member[0].split("/"):
+                return None
+            name, length = member
+            content = data[at + block : at + block + length]
+            at += block + -(-length // block) * block
+            if at > len(data):
+                return None
+            members.append((name, content))
+    except (tarfile.TarError, OSError, EOFError, zlib.error):
+        pass
+    return None
+
+
 def read_archives(files: DataFrame, key: str = "path", column: str = "content") -> DataFrame:
     """(key, member, content, error) of every regular member; an archive that breaks a rule gives one row with the error.
 
     Rules: gzip and tar can be read, no absolute path and no step upwards, no links, entries and bytes within limits. An
-    archive is read twice, as a stream: first to the end for faults, then for its members, which are handed on as they come.
+    archive of up to a batch is read once; a larger or an odd one twice, as a stream: first to the end for faults, then for its
+    members, which are handed on as they come.
     """
 
     def read(batches):
@@ -160,6 +267,14 @@ def read_archives(files: DataFrame, key: str = "path", column: str = "content")
             held, size = [], 0
             for at in range(batch.num_rows):
                 name, raw = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or b""
+                plain = _plain(raw)
+                if plain is not None:
+                    held.extend((name, member, content, None) for member, content in plain)
+                    size += sum(len(content) + 100 for _, content in plain)
+                    if size >= BATCH:
+                        yield made(held)
+                        held, size = [], 0
+                    continue
                 fault = _fault(raw)
                 if fault:
                     held.append((name, None, None, fault))

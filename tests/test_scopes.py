@@ -417,3 +417,23 @@ def test_common_texts_are_looked_up_once(spark, monkeypatch):
     want = {"x alpha": (False, 3, 4), "select beta from": (True, 6, 999), "plain": (False, 0, 3), long: (False, 3, 6), None: (False, 0, 1), "": (False, 0, 1)}
     assert got == {i: (t, *want[t]) for i, t in enumerate(texts)}
     assert sorted(seen) == [4, 5]  # the four short texts once, and the rows of no or long text
+
+
+def test_small_archives_need_no_places(spark, monkeypatch):
+    monkeypatch.setattr(archives, "prefix_sums", None)  # only members of archives over a chunk are placed
+    own = {k: [(f"m/{'d' * (60 * k)}é{i}", bytes([i]) * i * 300) for i in range(k + 1)] for k in range(40)}
+    members = spark.createDataFrame([(k, *m) for k, v in own.items() for m in v], "artifact long, path string, content binary")
+    packed = archives.pack_groups(members)
+    assert {r.artifact: bytes(r.archive) for r in packed.collect()} == {k: archives.pack(v) for k, v in own.items()}
+    back = archives.read_archives(packed, "artifact", "archive").collect()
+    assert sorted((r.artifact, r.member, bytes(r.content), r.error) for r in back) == sorted((k, *m, None) for k, v in own.items() for m in v)
+
+
+def test_headers_are_those_of_tarfile():
+    for name in ("", "x", "a" * 100, "a" * 101, "é", "a/../b", "/c", "d/"):
+        for size in (0, 511, 8**11 - 1, 8**11):
+            assert archives._header(name, size) == archives._entry(name, size).tobuf(tarfile.PAX_FORMAT, "utf-8", "surrogateescape")
+    good = archives.pack([("b", b"2"), ("a", b"")])
+    assert archives._plain(good) == [("a", b""), ("b", b"2")]
+    for odd in (good[:-20], b"no", b"", archives.pack([("../x", b"1")]), archive(*GOOD, entries=[link("payload/l")]), archives.pack([("long" * 30, b"1")]), gzip.compress(gzip.decompress(good)[:600])):
+        assert archives._plain(odd) is None  # left to the reader that knows faults
