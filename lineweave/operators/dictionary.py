@@ -15,10 +15,11 @@ def build(texts: DataFrame, text: str = "text", order: str = "ord") -> DataFrame
     Texts that share a key get suffixes _2, _3, ... A suffixed key that is another text's own key is passed over:
     the next free number is taken.
     """
-    first = texts.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(order).alias("first"))
+    # texts and keys are sorted by their hashes first: numbers are told apart faster than long strings that begin alike
+    first = texts.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).agg(F.min(order).alias("first"))
     keyed = first.withColumn("key", normal_key("text"))
     # read four times
-    ranked = written(keyed.select("text", "key", F.row_number().over(Window.partitionBy("key").orderBy("first", "text")).alias("n")), "ranked")
+    ranked = written(keyed.select("text", "key", F.row_number().over(Window.partitionBy(F.xxhash64("key"), "key").orderBy("first", "text")).alias("n")), "ranked")
     natural = ranked.where("n = 1").select(F.col("key").alias("token"))
     want = ranked.where("n > 1").withColumn("token", F.concat_ws("_", "key", "n"))
     # suffixes up to the number of texts of a key plus the natural keys that have its shape are enough

@@ -215,3 +215,12 @@ def test_cleaner_scores_judges_common_texts_once(spark, monkeypatch):
     made = catalog_text.cleaner_scores(spark, "/root/testdata/sf0.001")
     assert made.columns == ["origin", "id", "score", "kept"]
     assert sum(seen) < catalog_text.texts(spark, "/root/testdata/sf0.001").count() / 4
+
+
+def test_keys_are_sorted_by_hash(spark, monkeypatch):
+    written, held = dictionary.written, []
+    monkeypatch.setattr(dictionary, "written", lambda df, name: held.append(df) or written(df, name))
+    rows = spark.createDataFrame([("a b", 1), ("a, b", 2), ("c", 3), ("c", 0), (None, 4)], "text string, ord int")
+    assert {(r.token, r.text) for r in dictionary.build(rows).collect()} == {("A_B", "a b"), ("A_B_2", "a, b"), ("C", "c")}
+    plan = held[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(key" in plan and "xxhash64(text" in plan
