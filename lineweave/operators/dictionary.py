@@ -50,7 +50,10 @@ def substitute(text_lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     literal = F.regexp_extract_all("line", F.lit("\"([^\"]*)\"|'([^']*)'"), F.lit(0))
     spots = text_lines.select("file", "line_no", "line", F.posexplode(literal).alias("n", "quoted")).withColumn("text", F.expr("substring(quoted, 2, length(quoted) - 2)"))
-    hits = spots.join(dictionary, "text").groupBy("file", "line_no", "line").agg(F.array_sort(F.collect_list(F.struct("n", "quoted", "token"))).alias("hits"))
+    # sorted by hashes first, as in build
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64("text"))
+    found = hashed(spots).join(hashed(dictionary), ["_hash", "text"])
+    hits = found.groupBy(F.xxhash64("file", "line_no").alias("_line"), "file", "line_no", "line").agg(F.array_sort(F.collect_list(F.struct("n", "quoted", "token"))).alias("hits"))
     swap = F.aggregate("hits", F.col("line"), lambda line, h: F.replace(line, h["quoted"], F.concat(F.lit('messages["'), h["token"], F.lit('"]'))))
     return hits.select("file", "line_no", F.col("line").alias("original"), swap.alias("replacement"), F.col("hits")[0]["token"].alias("token"))
 

@@ -224,3 +224,12 @@ def test_keys_are_sorted_by_hash(spark, monkeypatch):
     assert {(r.token, r.text) for r in dictionary.build(rows).collect()} == {("A_B", "a b"), ("A_B_2", "a, b"), ("C", "c")}
     plan = held[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64(key" in plan and "xxhash64(text" in plan
+
+
+def test_literals_are_joined_by_hash_and_text(spark):
+    lines = spark.createDataFrame([("f", 1, "a = 'Yes' + \"No\" + 'Yes'"), ("f", 2, "'Yes'"), ("g", 1, "x"), ("g", 2, None)], "file string, line_no int, line string")
+    words = spark.createDataFrame([("Y", "Yes"), ("N", "No")], "token string, text string")
+    made = dictionary.substitute(lines, words)
+    want = {("f", 1, 'a = messages["Y"] + messages["N"] + messages["Y"]', "Y"), ("f", 2, 'messages["Y"]', "Y")}
+    assert {(r.file, r.line_no, r.replacement, r.token) for r in made.collect()} == want
+    assert "xxhash64(text" in made._jdf.queryExecution().optimizedPlan().toString()
