@@ -2,7 +2,8 @@
 
 Equal vectors are one node of a graph, which carries as many of their rows, smallest ids first, as a result can hold.
 Distinct vectors are dealt to shards by a hash, so that no label or source makes a shard hot. A shard's graph is a row
-of flat arrays: vectors, their rows and ids, the levels' neighbour lists. Queries go in blocks to every shard.
+of flat arrays: vectors, their rows and ids, the levels' neighbour lists. Shards are dealt to a bounded number of groups;
+queries go in blocks to every group, whose task holds a slab of them and one shard at a time.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_path, written
 
 SHARD = 4096
 LINKS = 16
 BUILD, SEARCH = 80, 160
 QUERY_BLOCK = 256
+#: Groups of shards, or as many as Spark has cores, and queries that a group's task holds at once.
+GROUPS, SLAB = 32, 1 << 16
 #: Queries whose results are compared with all vectors, and the recall below which all queries are.
 AUDIT, RECALL = 100, 0.95
 
@@ -137,7 +140,7 @@ class Graph:
         return self._walk(self.x, near[0], q, start, width)
 
 
-_INDEX = "shard long, dim int, rows array<long>, ids array<long>, sizes array<int>, vectors array<double>, levels array<int>, entry int, base array<int>, upper array<array<int>>"
+_INDEX = "shard long, dim int, rows array<long>, ids array<long>, sizes array<int>, vectors {}, levels array<int>, entry int, base array<int>, upper array<array<int>>"
 
 
 def build_index(vectors: DataFrame, shards: int) -> DataFrame:
@@ -149,28 +152,31 @@ def build_index(vectors: DataFrame, shards: int) -> DataFrame:
     def build(key, table):
         table = table.sort_by("row")
         dim = key[1].as_py()
-        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        x = flat.reshape(-1, dim)
-        g = Graph.build(unit(x))
+        flat = table.column("vector").combine_chunks().flatten()
+        g = Graph.build(unit(_doubles(flat).reshape(-1, dim)))
         lists = table.column("members").combine_chunks()
         members = lists.flatten()
         one = {"shard": [key[0].as_py()], "dim": [dim], "rows": [members.field("row")], "ids": [members.field("id")], "sizes": [lists.value_lengths()], "vectors": [flat]}
         one |= {"levels": [g.levels], "entry": [g.entry], "base": [g.links[0].ravel()], "upper": [[u.ravel() for u in g.links[1:]]]}
-        types = {"shard": pa.int64(), "dim": pa.int32(), "rows": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "vectors": pa.list_(pa.float64()), "levels": pa.list_(pa.int32()), "entry": pa.int32(), "base": pa.list_(pa.int32()), "upper": pa.list_(pa.list_(pa.int32()))}
+        types = {"shard": pa.int64(), "dim": pa.int32(), "rows": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "vectors": pa.list_(flat.type), "levels": pa.list_(pa.int32()), "entry": pa.int32(), "base": pa.list_(pa.int32()), "upper": pa.list_(pa.list_(pa.int32()))}
         return pa.table({k: pa.array([x.to_numpy() if isinstance(x, pa.Array) else x for x in v], types[k]) for k, v in one.items()})
 
     dealt = vectors.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    return dealt.groupBy("shard", "dim").applyInArrow(build, _INDEX)
+    return dealt.groupBy("shard", "dim").applyInArrow(build, _INDEX.format(vectors.schema["vector"].dataType.simpleString()))
 
 
-def _read(row: dict) -> tuple[Graph, np.ndarray, list[list[tuple[int, int]]]]:
+def _doubles(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _read(row: dict, dim: int) -> tuple[Graph, np.ndarray, list[list[tuple[int, int]]]]:
     """The graph, its vectors, and the (id, row) of each vector's rows."""
-    x = np.array(row["vectors"]).reshape(-1, row["dim"])
-    levels = np.array(row["levels"], np.int32)
-    links = [np.array(row["base"], np.int32).reshape(len(x), -1), *(np.array(u, np.int32).reshape(-1, LINKS) for u in row["upper"])]
-    pairs, ends = list(zip(row["ids"], row["rows"], strict=True)), np.cumsum(row["sizes"]).tolist()
+    of = lambda c: row[c].values.to_numpy(zero_copy_only=False)
+    x = _doubles(row["vectors"].values).reshape(-1, dim)
+    links = [of("base").reshape(len(x), -1), *(np.array(u, np.int32).reshape(-1, LINKS) for u in row["upper"].as_py())]
+    pairs, ends = list(zip(of("ids").tolist(), of("rows").tolist(), strict=True)), np.cumsum(of("sizes")).tolist()
     members = [pairs[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    return Graph(unit(x), levels, links, row["entry"]), scaled(x), members
+    return Graph(unit(x), of("levels"), links, row["entry"].as_py()), scaled(x), members
 
 
 def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, width: int = SEARCH) -> DataFrame:
@@ -181,15 +187,19 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     and rows with a null id take no part; vectors of different length never meet. Every distinct vector is indexed, and
     found ones stand for their rows: a query that is itself one of them needs ``k + 1`` of each to lose none.
     """
-    valid = df.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    table = cut(valid.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
+    spark = df.sparkSession
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"  # floats are kept as such
+    valid = df.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"))
+    table, all_rows = written(valid.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "vectors")
     order = Window.partitionBy("vector").orderBy("id", "row")
     first = table.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     classes = first.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("id", "row"))).alias("members"))
-    classes = cut(classes.select(F.col("members")[0]["row"].alias("row"), "vector", "members"), "classes")
+    classes, distinct = written(classes.select(F.col("members")[0]["row"].alias("row"), "vector", "members"), "classes")
+    asked = cut(table.where(F.col("id") % every == 0).withColumn("dim", F.size("vector")), "asked")
+    drop_path(spark, all_rows)
     shards = max(1, -(-classes.count() // shard))
     index = cut(build_index(classes, shards), "hnsw")
-    asked = table.where(F.col("id") % every == 0).withColumn("dim", F.size("vector"))
+    drop_path(spark, distinct)
     best = cut(_search(asked, index, shards, k, width), "nearest")
     sample = asked.orderBy(F.xxhash64("row"), "row").limit(AUDIT)
     recall = _recall(best, _search(sample, index, shards, k, None))
@@ -208,32 +218,55 @@ def _recall(found: DataFrame, truth: DataFrame) -> float:
     return got[0] / got[1] if got[1] else 1.0
 
 
+def _dealt(asked: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """Blocks of queries (kind 0) and shards (kind 1) by unit: a slab of queries and a group of shards, queries first.
+
+    A query is there once a group, of which there are no more for more vectors, and a shard once a slab.
+    """
+    n = asked.count()
+    blocks, slabs = max(1, -(-n // QUERY_BLOCK)), max(1, -(-n // SLAB))
+    groups = min(shards, max(GROUPS, asked.sparkSession.sparkContext.defaultParallelism))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    in_blocks = asked.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "id", "vector")).alias("queries"))
+    queries = in_blocks.select("dim", "queries", F.lit(0).alias("kind"), (F.col("block") % slabs).alias("slab"), each(groups).alias("group"))
+    graphs = index.select("*", F.lit(1).alias("kind"), (F.col("shard") % groups).alias("group"), each(slabs).alias("slab"))
+    units = graphs.unionByName(queries, allowMissingColumns=True).withColumn("unit", F.col("group") * slabs + F.col("slab"))
+    return units.drop("group", "slab").repartitionByRange(groups * slabs, "unit").sortWithinPartitions("unit", "kind")
+
+
 def _search(asked: DataFrame, index: DataFrame, shards: int, k: int, width: int | None) -> DataFrame:
     """(row, query_id, id, score, rank) of queries (row, id, vector, dim) in every shard's graph, or without ``width`` among all its vectors."""
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    in_blocks = asked.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "id", "vector")).alias("queries"))
-    pairs = in_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(index, ["shard", "dim"])
 
     def search(batches):
-        of, opened = None, None  # rows of a shard come one after the other: it is opened once
+        unit_of, slab = None, {}
         for batch in batches:
             for one in range(batch.num_rows):
-                key = (batch.column("shard")[one].as_py(), batch.column("dim")[one].as_py())
-                if key != of:
-                    graph, x, members = _read({c: batch.column(c)[one].as_py() for c in batch.schema.names if c != "queries"})
-                    of, opened = key, (graph, graph.lists(), x, np.linalg.norm(x, axis=1), members)
-                graph, near, x, norms, members = opened
-                out = []
-                for q in batch.column("queries")[one].as_py():
-                    v = scaled(np.array(q["vector"])[None])[0]
-                    found = [j for _, j in graph.search(near, unit(v[None])[0], width)] if width else range(len(x))
-                    exact = (x[found] if width else x) @ v / ((norms[found] if width else norms) * np.linalg.norm(v))
-                    last = np.sort(exact)[-k - 1] if len(exact) > k else -2  # one of the best may hold the query alone
-                    best = sorted((-float(s), i, r) for j, s in zip(found, exact, strict=True) if s >= last for i, r in members[j] if r != q["row"])
-                    out += [(q["row"], q["id"], i, -s) for s, i, _ in best[:k]]
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["row", "query_id", "id", "score"])
-
-    found = pairs.mapInArrow(search, "row long, query_id long, id long, score double")
+                row = {c: batch.column(c)[one] for c in batch.schema.names}
+                if row["unit"].as_py() != unit_of:
+                    unit_of, slab = row["unit"].as_py(), {}
+                dim = row["dim"].as_py()
+                if not row["kind"].as_py():
+                    rows, ids, vectors = row["queries"].values.flatten()
+                    slab.setdefault(dim, []).append((rows.to_pylist(), ids.to_pylist(), scaled(_doubles(vectors.flatten()).reshape(-1, dim))))
+                elif dim in slab:
+                    graph, x, members = _read(row, dim)
+                    near, norms = graph.lists() if width else None, np.linalg.norm(x, axis=1)
+                    for block in slab[dim]:
+                        yield _found(graph, near, x, norms, members, *block, k, width)
+
+    found = _dealt(asked, index, shards).mapInArrow(search, "row long, query_id long, id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _found(graph, near, x, norms, members, rows, ids, vectors, k, width) -> pa.RecordBatch:
+    """The best ``k`` rows of a shard for each query of a block."""
+    out = []
+    for row, id, v, u in zip(rows, ids, vectors, unit(vectors), strict=True):
+        found = [j for _, j in graph.search(near, u, width)] if width else range(len(x))
+        exact = (x[found] if width else x) @ v / ((norms[found] if width else norms) * np.linalg.norm(v))
+        last = np.partition(exact, -k - 1)[-k - 1] if len(exact) > k else -2  # one of the best may hold the query alone
+        best = sorted((-float(exact[n]), i, r) for n in np.flatnonzero(exact >= last).tolist() for i, r in members[found[n]] if r != row)
+        out += [(row, id, i, -s) for s, i, _ in best[:k]]
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["row", "query_id", "id", "score"])

@@ -181,3 +181,27 @@ def test_nearest_of_large_and_small_components(spark, monkeypatch, recall):
     got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [3, 1, 2, 4]
     assert [r.score for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx([1.0, 1.9 / np.sqrt(2 * 1.81), np.sqrt(0.5), 0.0], abs=1e-12)
+
+
+def test_queries_are_not_copied_for_every_shard(spark, monkeypatch):
+    """Rows grow with the queries and with the shards, not with their product; floats stay floats; slabs and groups find the same."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16), 0) for i in range(400)] + [(1000 + i, rng.normal(size=8), 0) for i in range(60)]
+    plain = sorted(map(tuple, hnsw.nearest(make(spark, rows), every=10, shard=20).collect()))
+    assert len(plain) == 46 * 5
+    seen, dealt = [], hnsw._dealt
+
+    def watched(asked, index, shards):
+        out = dealt(asked, index, shards)
+        seen.append((asked.count(), index.count(), shards, out.count(), index.schema["vectors"].dataType.simpleString()))
+        return out
+
+    monkeypatch.setattr(hnsw, "_dealt", watched)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(hnsw, "GROUPS", 2)
+    for slab in (1 << 16, 7):
+        monkeypatch.setattr(hnsw, "SLAB", slab)
+        assert sorted(map(tuple, hnsw.nearest(make(spark, rows), every=10, shard=20).collect())) == plain
+    n, graphs, shards, most, kind = seen[0]
+    assert (n, shards, kind) == (46, 23, "array<float>")
+    assert most <= graphs + n * spark.sparkContext.defaultParallelism
