@@ -131,10 +131,9 @@ def rebuilt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("path"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i"), line.alias("line"))
     changed = rows.where("o % 7 != 0").select("path", "o", "i", F.lit(0).alias("k"), F.expr("if(o % 11 = 0, concat(line, '!'), line)").alias("line"))
     later = changed.unionByName(rows.where("o % 13 = 0").select("path", "o", "i", F.lit(1).alias("k"), "line"))
-    # both are read several times
-    before = written(align.numbered(rows, "path", ["o", "i", "line"]), "before")
-    after = written(align.numbered(later.withColumn("place", F.expr("if(o % 500 < 20, o + 1000, o)")), "path", ["place", "o", "i", "k", "line"]), "after")
-    return align.rebuild(before, align.edits(before, after))
+    before = align.numbered(rows, "path", ["o", "i", "line"])
+    after = align.numbered(later.withColumn("place", F.expr("if(o % 500 < 20, o + 1000, o)")), "path", ["place", "o", "i", "k", "line"])
+    return align.rebuild(before, align.edits(before, after), n=align.passes(before.count()))
 
 
 @query(rf"""WITH {_BOTH_LINES} SELECT path, line_no::BIGINT AS n, nfc_normalize(line) AS line FROM lb WHERE path IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR text IS DISTINCT FROM {_EDIT}))""")

@@ -36,6 +36,19 @@ def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def compact(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """``df``, added to a table at ``path`` in a form that takes little disk; its shuffle files go when it is written."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        # version 2 stores numbers by their differences
+        df.write.mode(mode).option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove tables of :func:`written_at` that nothing reads any more, on whatever file system they are."""
     for path in paths:

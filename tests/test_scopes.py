@@ -1,5 +1,6 @@
 """Ingestion from bytes, ignore rules, word lists and the alignment of long files."""
 
+import bisect
 import gzip
 import io
 import json
@@ -7,6 +8,7 @@ import random
 import re
 import resource
 import tarfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -325,6 +327,45 @@ def test_versions_are_looked_through_in_ranges(spark, monkeypatch):
     assert one == many and len(one) > 50
 
 
+def test_longest_runs_in_steps(monkeypatch):
+    """Neighbours that stay neighbours are one step; runs are as long as a search over single numbers finds."""
+    monkeypatch.setattr(align, "STEP", 7)
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 40, 400):
+        for size in (1, 3, 15):
+            parts = np.split(rng.permutation(2 * n)[:n] if size == 1 else np.arange(n) * 3, range(size, n, size))
+            b = np.concatenate([parts[i] for i in rng.permutation(len(parts))])
+            tops = []
+            for x in b.tolist():
+                at = bisect.bisect_left(tops, x)
+                tops[at : at + 1] = [x]
+            got = align.longest(b)
+            assert len(got) == len(tops) and (np.diff(got) > 0).all() and (np.diff(b[got]) > 0).all()
+    rows = [(k, g, int(i), int(x)) for k in "ab" for g in range(3) for i, x in enumerate(rng.permutation(20))]
+    whole = pa.Table.from_pylist([dict(zip(("path", "gap", "a", "b"), r)) for r in rows])
+    one, many = ([r for t in align._anchors("path")(iter(whole.to_batches(max_chunksize=size))) for r in t.to_pylist()] for size in (1000, 7))
+    assert one == many and {r["path"] for r in one} == {"a", "b"} and len(one) >= 18
+
+
+def test_passes_leave_nothing_but_the_edits(spark, monkeypatch):
+    """In passes versions are edited as at once, and of what is written in between nothing is left."""
+    v = [f"a long line that is compared by its digest {i % 40 if i % 3 else i}" for i in range(300)]
+    w = [x for i, x in enumerate(v) if i % 11][20:] + ["end", None] * 9
+    a, b = lines_of(spark, {"f": v, "g": w, "h": v[:9]}), lines_of(spark, {"f": w, "g": v, "h": v[1:9]})
+    monkeypatch.setattr(align, "SHORT", 20)
+    monkeypatch.setattr(align, "RANGE", 7)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"), "lineweave")
+    tables = lambda: sorted(p.name for p in shared.glob("*"))
+    before = tables()
+    plain = sorted(align.edits(a, b).collect(), key=str)
+    monkeypatch.setattr(align, "AT_ONCE", 10)
+    changed = align.edits(a, b)
+    assert len(plain) > 50 and sorted(changed.collect(), key=str) == plain
+    assert [x.split("-")[0] for x in tables() if x not in before] == ["edits"] * 2
+    got = {(r.path, r.n): r.line for r in align.rebuild(a, changed, n=3).collect()}
+    assert got == {(k, i + 1): x for k, y in (("f", w), ("g", v), ("h", v[1:9])) for i, x in enumerate(y)}
+
+
 def test_a_pair_of_a_million_lines(spark):
     n = 1_000_000
     before = spark.range(1, n + 1).select(F.lit("f").alias("path"), F.col("id").alias("n"), F.expr("if(id % 3 = 0, concat('r', id % 100), concat('l', id))").alias("line"))
