@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_files import ORACLES as FILES
 from .catalog_files import path_rules
 from .catalog_text import _BOTH_LINES, _CLEANER, _EDIT, _SCORE, TEXTS, _pairs, _q, _trees, table, texts
-from .functions.shared import written
+from .functions.shared import drop, folder, written
 from .functions.text import lines, normal_line
 from .operators import align, seqdiff, wordlists
 from .operators import classify as cl
@@ -132,8 +132,11 @@ def rebuilt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = rows.where("o % 7 != 0").select("path", "o", "i", F.lit(0).alias("k"), F.expr("if(o % 11 = 0, concat(line, '!'), line)").alias("line"))
     later = changed.unionByName(rows.where("o % 13 = 0").select("path", "o", "i", F.lit(1).alias("k"), "line"))
     before = align.numbered(rows, "path", ["o", "i", "line"])
-    after = align.numbered(later.withColumn("place", F.expr("if(o % 500 < 20, o + 1000, o)")), "path", ["place", "o", "i", "k", "line"])
-    return align.rebuild(before, align.edits(before, after), n=align.passes(before.count()))
+    path = folder(spark, "after")
+    after = align.numbered(later.withColumn("place", F.expr("if(o % 500 < 20, o + 1000, o)")), "path", ["place", "o", "i", "k", "line"], path)
+    changed = align.edits(before, after)
+    drop(spark, path)
+    return align.rebuild(before, changed, n=align.passes(before.count()))
 
 
 @query(rf"""WITH {_BOTH_LINES} SELECT path, line_no::BIGINT AS n, nfc_normalize(line) AS line FROM lb WHERE path IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR text IS DISTINCT FROM {_EDIT}))""")

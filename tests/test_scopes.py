@@ -364,6 +364,7 @@ def test_passes_leave_nothing_but_the_edits(spark, monkeypatch):
     assert [x.split("-")[0] for x in tables() if x not in before] == ["edits"] * 2
     got = {(r.path, r.n): r.line for r in align.rebuild(a, changed, n=3).collect()}
     assert got == {(k, i + 1): x for k, y in (("f", w), ("g", v), ("h", v[1:9])) for i, x in enumerate(y)}
+    assert [x.split("-")[0] for x in tables() if x not in before] == ["edits"] * 2 + ["numbered"]
 
 
 def test_a_pair_of_a_million_lines(spark):
